@@ -50,3 +50,9 @@ def let(value: Column, body) -> Column:
 def whole(text: str = "text") -> Column:
     """The text; NULL counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def where_last(df: DataFrame, kept: Column) -> DataFrame:
+    """A filter that stays above what computes its columns. The optimizer would move a plain
+    one below and work out those columns twice; it moves none past a rand() column."""
+    return df.withColumn("_r", F.rand()).where(kept & (F.col("_r") < 2)).drop("_r")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, whole
+from .common import documents, let, where_last, whole
 
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -128,6 +128,14 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
     return df.withColumn("base_failed", failed).withColumn("kept", ~(failed | lost))
 
 
+def cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """The documents that are kept, without their failing lines."""
+    out = where_last(quality(docs, rules, text), F.col("kept")).withColumn(text, F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_words")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, token_counts
+from . import bpe, fingerprints, mixing, passages, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op3_passages": passages.op3_passages,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_line_cleaning": quality.op8_line_cleaning,
+    "op9_sketches": fingerprints.op9_sketches,
     "op10_bpe": bpe.op10_bpe,
 }
 
