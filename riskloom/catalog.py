@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import decisions, graphs, ledger, tables  # noqa: F401  the modules register their queries
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
