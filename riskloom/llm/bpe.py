@@ -27,9 +27,11 @@ from .common import documents, whole
 #: Pre-tokens above this many bytes are encoded but not remembered.
 CACHED_BYTES = 64
 #: Pre-tokens of a generation of a worker's memory.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
+#: Rows of an Arrow batch that are encoded at once.
+ROWS = 500
 #: Pre-tokens of a text that are held at once.
-CHUNK = 100_000
+CHUNK = 50_000
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -269,9 +271,12 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _worker(Encoder, (ranks_path, pattern), shared.value, pattern)
         for texts in batches:
-            packed = own.ids(texts.to_pylist())
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            parts = []
+            for k in range(0, len(texts), ROWS):
+                packed = own.ids(texts[k : k + ROWS].to_pylist())
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encoded(text)
 
