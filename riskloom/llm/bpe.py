@@ -27,7 +27,7 @@ from .common import documents, whole
 #: Pre-tokens above this many bytes are encoded but not remembered.
 CACHED_BYTES = 64
 #: Pre-tokens of a generation of a worker's memory.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 120_000
 #: Rows of an Arrow batch that are encoded at once.
 ROWS = 500
 #: Pre-tokens of a text that are held at once.

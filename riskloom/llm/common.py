@@ -56,3 +56,14 @@ def where_last(df: DataFrame, kept: Column) -> DataFrame:
     """A filter that stays above what computes its columns. The optimizer would move a plain
     one below and work out those columns twice; it moves none past a rand() column."""
     return df.withColumn("_r", F.rand()).where(kept & (F.col("_r") < 2)).drop("_r")
+
+
+def boxed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns, and the whole row as _row: so no name of docs can clash with one of ours."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unboxed(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of like out of _row, but for the new ones, in the types of like."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return df.select(*((new[c].cast(kinds[c]) if c in new else F.col("_row").getField(c)).alias(c) for c in like.columns))

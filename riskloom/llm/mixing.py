@@ -25,7 +25,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, saved, whole
+from .common import WORD, boxed, documents, saved, unboxed, whole
 
 BLOCK = 128
 SLOTS_PER_SHARD = 4096
@@ -135,13 +135,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mixed corpus as rows of docs: for each pass that takes words of a document, a row
     whose text is those words in their order, each with the white space before it."""
-    numbered = saved(docs.withColumn("size", F.regexp_count(whole(text), F.lit(WORD)).cast("long")).withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
+    n = F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size")
+    numbered = saved(boxed(docs, F.col("doc_id"), F.col("source"), F.col(text).alias("_text"), n).withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
     _, pack, dealt = mix(numbered.select("doc_id", "source", "size", "rid"), **how)
     ranges = taken_words(pack, dealt).groupBy("rid", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
     met = numbered.join(ranges, "rid")
-    met = met.withColumn("_w", F.regexp_extract_all(whole(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
+    met = met.withColumn("_w", F.regexp_extract_all(whole("_text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
     join_all = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("_w", (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), "")
-    made = met.withColumn(text, F.when((F.size("ranges") == 1) & (F.col("ranges")[0]["a"] == 0) & (F.col("ranges")[0]["b"] == F.col("size")), F.col(text)).otherwise(F.ltrim(join_all)))
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    every = (F.size("ranges") == 1) & (F.col("ranges")[0]["a"] == 0) & (F.col("ranges")[0]["b"] == F.col("size"))
+    made = met.withColumn("_mixed", F.when(every, F.col("_text")).otherwise(F.ltrim(join_all)))
+    return unboxed(made, docs, **{text: F.col("_mixed"), "n_chars": F.length("_mixed")})

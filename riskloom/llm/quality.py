@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, where_last, whole
+from .common import boxed, documents, let, unboxed, where_last, whole
 
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -130,10 +130,9 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines."""
-    out = where_last(quality(docs, rules, text), F.col("kept")).withColumn(text, F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    judged = quality(boxed(docs, F.col(text).alias("text")), rules)
+    new = {text: F.col("clean_text"), "n_chars": F.length("clean_text")}
+    return unboxed(where_last(judged, F.col("kept")), docs, **new)
 
 
 def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, saved, whole
+from .common import boxed, documents, dropped, saved, whole
 
 #: Bits of the key that each round of probes settles: of a hash of 63, then of a tie.
 KEY_BITS, FIRST, NEXT = 63, 13, 10
@@ -102,19 +102,21 @@ def find_cuts(keyed: DataFrame, goals: list[tuple[float, float]], tie_bits: int)
 
 
 def histogram_shards(df: DataFrame, key: Column, tie: Column, size: Column, n_shards: int, tolerance: float = 0.002, group_slack: float = 0.01) -> DataFrame:
-    """df with shard and slot. Shards hold equal sums of size to about tolerance of a
+    """df with shard and slot, in place of columns of those names. Shards hold equal sums of size to about tolerance of a
     shard, groups of one key are not parted where a cut at their edge misses by up to
     group_slack of a shard; tie orders and parts what is left."""
-    named = df.withColumns({"_key": F.shiftrightunsigned(key.cast("long"), 1), "_tie": F.coalesce(tie.cast("long"), F.lit(-(2**62)))})
-    keyed = saved(named.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), size.cast("long").alias("size")), "shard-keys")
+    named = boxed(df, F.shiftrightunsigned(key.cast("long"), 1).alias("_key"), tie.cast("long").alias("_tie"), size.cast("long").alias("_size"))
+    keyed = saved(named.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), F.col("_size").alias("size")), "shard-keys")
     total = keyed.agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("tie").alias("lo"), F.max("tie").alias("hi")).first()
     if not total.n:
-        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return df.withColumns({"shard": F.lit(0).cast("int"), "slot": F.lit(0).cast("long")})
     fine = min(MOST_RANGES, max(1, round(total.n / n_shards / RANGE_ROWS)))
     step = total.s / (n_shards * fine)
     slack = lambda k: step * fine * (max(tolerance, group_slack) if k % fine == 0 else 0.25 / fine)
-    based = keyed.withColumn("tie", F.col("tie") - total.lo)
-    cuts = find_cuts(based, [(step * k, slack(k)) for k in range(1, n_shards * fine)], max(1, (total.hi - total.lo).bit_length()))
+    base = (total.lo or 0) - 1  # a NULL tie comes before all others
+    from_base = lambda c: F.coalesce(F.col(c) - base, F.lit(0))
+    based = keyed.withColumn("tie", from_base("tie"))
+    cuts = find_cuts(based, [(step * k, slack(k)) for k in range(1, n_shards * fine)], max(1, ((total.hi or 0) - base).bit_length()))
     bounds = sorted((c.key, c.tie) for c in cuts)
 
     # Place of a row: the ranges before its first 13 bits, and the cuts at or below it among those.
@@ -126,7 +128,7 @@ def histogram_shards(df: DataFrame, key: Column, tie: Column, size: Column, n_sh
     lookup = df.sparkSession.createDataFrame(
         [(p, before[p], inside.get(p, [])) for p in range(1 << FIRST)], "p long, before int, cuts array<struct<k:long,t:long>>"
     )
-    own_tie = F.col("_tie") - F.lit(total.lo)
+    own_tie = from_base("_tie")
     at_or_below = lambda c: (c["k"] < F.col("_key")) | ((c["k"] == F.col("_key")) & (c["t"] <= own_tie))
     placed = lambda d: d.join(F.broadcast(lookup), F.shiftright("_key", shift) == F.col("p")).withColumn("_range", F.col("before") + F.size(F.filter("cuts", at_or_below))).drop("p", "before", "cuts")
     rows = placed(keyed.select(F.col("key").alias("_key"), F.col("tie").alias("_tie"))).groupBy("_range").count().collect()
@@ -137,8 +139,9 @@ def histogram_shards(df: DataFrame, key: Column, tie: Column, size: Column, n_sh
         first.append(0 if (r + 1) % fine == 0 else first[-1] + count.get(r, 0))
     starts = df.sparkSession.createDataFrame(list(enumerate(first)), "_range int, _first long")
     order = Window.partitionBy("_range").orderBy("_key", "_tie")
-    numbered = placed(named).withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(starts), "_range")
-    return numbered.withColumns({"shard": F.floor(F.col("_range") / fine).cast("int"), "slot": F.col("_row") + F.col("_first")}).drop("_range", "_row", "_first", "_key", "_tie")
+    numbered = placed(named).withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(starts), "_range")
+    kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return numbered.select(*kept, F.floor(F.col("_range") / fine).cast("int").alias("shard"), (F.col("_rank") + F.col("_first")).alias("slot"))
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:

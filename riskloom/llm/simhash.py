@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, whole
+from .common import boxed, documents, saved, unboxed, whole
 from .components import components
 
 #: Distinct fingerprints that a shard has on average.
@@ -268,6 +268,6 @@ def near_dedup(docs: DataFrame, radius: int = 2, id: str = "doc_id", text: str =
     from pyspark.sql import Window as W
 
     gone = simhash_components(docs, radius, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_k")).distinct()
-    keyed = docs.withColumn("_k", F.col(id)).join(gone, "_k", "left_anti")
-    own = W.partitionBy("_k", F.when(F.col("_k").isNull(), F.xxhash64(text))).orderBy(F.col(text).asc_nulls_last())
-    return keyed.withColumn("_n", F.row_number().over(own)).where("_k is null or _n = 1").drop("_k", "_n")
+    keyed = boxed(docs, F.col(id).alias("_k"), F.col(text).alias("_t")).join(gone, "_k", "left_anti")
+    own = W.partitionBy("_k", F.when(F.col("_k").isNull(), F.xxhash64("_t"))).orderBy(F.col("_t").asc_nulls_last())
+    return unboxed(keyed.withColumn("_n", F.row_number().over(own)).where("_k is null or _n = 1"), docs)
