@@ -149,14 +149,14 @@ def group_risk(members: DataFrame, accounts: DataFrame, group: str, min_size: in
     """group, size, fraud_members, mean_risk of groups of at least min_size members."""
     risk = accounts.select("account_id", (F.col("fraud_transaction_count") > 0).cast("int").alias("bad"), "risk_score")
     both = members.join(risk, "account_id", "left")
-    return both.groupBy(group).agg(F.count("*").alias("size"), F.coalesce(F.sum("bad"), F.lit(0)).alias("fraud_members"), F.round(F.avg(F.coalesce("risk_score", F.lit(0.0))), 4).alias("mean_risk")).where(F.col("size") >= min_size)
+    return both.groupBy(group).agg(F.count("*").alias("size"), F.coalesce(F.sum("bad"), F.lit(0)).alias("fraud_members"), F.avg(F.coalesce("risk_score", F.lit(0.0))).alias("mean_risk")).where(F.col("size") >= min_size)
 
 
 def community_scores(groups: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     """groups (size, fraud_members, mean_risk) with fraud_rate, suspicious and reason."""
     rate = F.round(F.col("fraud_members") / F.col("size"), 4)
     out = groups.withColumn("fraud_rate", rate)
-    by_rate, by_risk = F.col("fraud_rate") >= config.fraud_rate, F.col("mean_risk") > config.mean_risk
+    by_rate, by_risk = F.col("fraud_rate") >= config.fraud_rate, F.round("mean_risk", 4) > config.mean_risk
     return out.withColumns({"suspicious": by_rate | by_risk, "reason": F.when(by_rate, "fraud rate").when(by_risk, "mean risk")})
 
 

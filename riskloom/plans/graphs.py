@@ -162,20 +162,20 @@ def _(t: Tables) -> DataFrame:
     return _rings(t).groupBy("ring_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("rings"), F.round(F.avg(n), 4).alias("mean_size"), F.max(n).alias("largest"), F.sum(n).alias("members"))
 
 
-GROUPS_SQL = "select grp, count(*) as size, cast(sum((fraud_transaction_count > 0)::int) as bigint) as fraud_members, cast(round(cast(avg(risk_score) as decimal(18, 10)), 4) as double) as mean_risk from (select distinct dst as grp, src as account_id from {v}) join v_accounts using (account_id) group by 1 having count(*) >= {n}"
+GROUPS_SQL = "select grp, count(*) as size, cast(sum((fraud_transaction_count > 0)::int) as bigint) as fraud_members, round(avg(risk_score), 10) as mean_risk from (select distinct dst as grp, src as account_id from {v}) join v_accounts using (account_id) group by 1 having count(*) >= {n}"
 
 
 @query("device_communities", GROUPS_SQL.format(v="v_entity_edges", n=3))
 def _(t: Tables) -> DataFrame:
-    return G.group_risk(G.device_groups(t("v_entity_edges")), t("v_accounts"), "group", 3).withColumnRenamed("group", "grp")
+    return G.group_risk(G.device_groups(t("v_entity_edges")), t("v_accounts"), "group", 3).withColumnRenamed("group", "grp").withColumn("mean_risk", F.round("mean_risk", 10))
 
 
 @query("ip_groups", GROUPS_SQL.format(v="v_ip_edges", n=2))
 def _(t: Tables) -> DataFrame:
-    return G.group_risk(G.device_groups(t("v_ip_edges"), 2), t("v_accounts"), "group", 2).withColumnRenamed("group", "grp")
+    return G.group_risk(G.device_groups(t("v_ip_edges"), 2), t("v_accounts"), "group", 2).withColumnRenamed("group", "grp").withColumn("mean_risk", F.round("mean_risk", 10))
 
 
-@query("community_scores", f"with g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}) select grp, size, round(fraud_members / size, 4) as fraud_rate, round(fraud_members / size, 4) >= 0.3 or mean_risk > 0.5 as suspicious, case when round(fraud_members / size, 4) >= 0.3 then 'fraud rate' when mean_risk > 0.5 then 'mean risk' end as reason from g")
+@query("community_scores", f"with g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}) select grp, size, round(fraud_members / size, 4) as fraud_rate, round(fraud_members / size, 4) >= 0.3 or round(mean_risk, 4) > 0.5 as suspicious, case when round(fraud_members / size, 4) >= 0.3 then 'fraud rate' when round(mean_risk, 4) > 0.5 then 'mean risk' end as reason from g")
 def _(t: Tables) -> DataFrame:
     return G.community_scores(G.group_risk(G.device_groups(t("v_entity_edges")), t("v_accounts"), "group", 3)).select(F.col("group").alias("grp"), "size", "fraud_rate", "suspicious", "reason")
 
@@ -231,7 +231,7 @@ def _(t: Tables) -> DataFrame:
     return G.shortest_path(t("v_transfers"), a, z, 6).select("source", "target", "connected", "length", F.array_join("nodes", "|").alias("path"))
 
 
-@query("ring_sweep", f"{COMPONENTS_SQL}, k as (select component_id, count(*) as size, sum((fraud_transaction_count > 0)::int) as bad from c join v_accounts using (account_id) group by 1 having count(*) >= 2), g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}) select (select count(*) from g) as communities, (select count(*) from g where round(fraud_members / size, 4) >= 0.3 or mean_risk > 0.5) as suspicious, (select count(*) from k) as components, (select count(*) from k where bad / size >= 0.3) as risky_components")
+@query("ring_sweep", f"{COMPONENTS_SQL}, k as (select component_id, count(*) as size, sum((fraud_transaction_count > 0)::int) as bad from c join v_accounts using (account_id) group by 1 having count(*) >= 2), g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}) select (select count(*) from g) as communities, (select count(*) from g where round(fraud_members / size, 4) >= 0.3 or round(mean_risk, 4) > 0.5) as suspicious, (select count(*) from k) as components, (select count(*) from k where bad / size >= 0.3) as risky_components")
 def _(t: Tables) -> DataFrame:
     a = t("v_accounts")
     groups = G.community_scores(G.group_risk(G.device_groups(t("v_entity_edges")), a, "group", 3)).agg(F.count("*").alias("communities"), F.sum(F.col("suspicious").cast("long")).alias("suspicious"))
