@@ -160,25 +160,31 @@ def version_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text"
     quarter = F.expr("cast(floor(n_chars / 4) as int)")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter)))
-    rows = rows.select(
-        "range", "at", id, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), passages(F.col("text")).alias("own"), passages(F.col("edited")).alias("ed"), passages(F.col("next_text")).alias("nx")
-    )
+    # One table with a row's digests, so that the texts are shuffled once; from it, rows are
+    # dealt out once more, and a row's cells are summed, peeled and joined where it lies.
+    made = saved(
+        rows.select(
+            (F.col("range") * 2**31 + F.col("at")).alias("rid"), id, "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+            passages(F.col("text")).alias("own"), passages(F.col("edited")).alias("ed"), passages(F.col("next_text")).alias("nx"),
+        ),
+        "sketch-rows",
+    )
+    dealt = made.repartition("rid")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), F.lit(share).alias("share")) for k, (other, share) in enumerate(zip(("ed", "nx"), expected, strict=True))))
     size = F.greatest(F.lit(8), F.ceil(F.col("share") * (F.size("a") + F.size("b")))).cast("long")
-    pairs = rows.select("range", "at", F.col("own").alias("a"), F.inline(kinds)).withColumn("size", size)
-    result = peeled(pairs, ["range", "at", "kind"], 0)
-    both = result.groupBy("range", "at").agg(
-        *(F.max(F.when(F.col("kind") == k, F.struct("failed", "left", "right"))).alias(f"r{k}") for k in (0, 1))
-    )
+    pairs = dealt.select("rid", F.col("own").alias("a"), F.inline(kinds)).withColumn("size", size)
+    result = peeled(pairs, ["rid", "kind"], 0)
+    both = result.groupBy("rid").agg(*(F.max(F.when(F.col("kind") == k, F.struct("failed", "left", "right"))).alias(f"r{k}") for k in (0, 1)))
     failed = lambda k: F.coalesce(F.col(f"r{k}.failed"), F.lit(False))
     near = lambda k, other: likeness(F.coalesce(f"r{k}.left", F.lit(0)), F.coalesce(f"r{k}.right", F.lit(0)), F.size("own"), F.size(other))
-    shown = rows.withColumns({"fingerprint": sketch_string(F.col("own")), "edited_fingerprint": sketch_string(F.col("ed"))})
-    joined = shown.join(both, ["range", "at"], "left").select(
-        F.xxhash64("range", "at").alias("rid"), id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        F.when(~failed(0), near(0, "ed")).alias("near_edited"), F.when(~failed(1), near(1, "nx")).alias("near_next"),
-        *(F.when(failed(0) | failed(1), F.col(c)).alias(c) for c in ("own", "ed", "nx")),
+    first = saved(
+        dealt.join(both, "rid", "left").select(
+            "rid", id, "n_chars", "edited_sha256", sketch_string(F.col("own")).alias("fingerprint"), sketch_string(F.col("ed")).alias("edited_fingerprint"),
+            F.when(~failed(0), near(0, "ed")).alias("near_edited"), F.when(~failed(1), near(1, "nx")).alias("near_next"),
+            *(F.when(failed(0) | failed(1), F.col(c)).alias(c) for c in ("own", "ed", "nx")),
+        ),
+        "sketches",
     )
-    first = saved(joined.withColumn("rid", F.struct("rid", id)), "sketches")
     lost = first.where("near_edited is null or near_next is null")
     kinds = F.filter(
         F.array(
