@@ -9,37 +9,46 @@ from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
-OWN = Window.partitionBy("user_id").orderBy("us", "transaction_id")
-PRIOR = OWN.rowsBetween(Window.unboundedPreceding, -1)
-BY_TIME = Window.partitionBy("user_id").orderBy("us")
+
+
+def own():
+    return Window.partitionBy("user_id").orderBy("us", "transaction_id")
+
+
+def prior():
+    return own().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_time():
+    return Window.partitionBy("user_id").orderBy("us")
 
 
 def impossible_travel(df: DataFrame, minutes: int = 5) -> DataFrame:
     """Another place and another device within minutes of the transaction before."""
-    last = lambda c: F.lag(c).over(OWN)
+    last = lambda c: F.lag(c).over(own())
     hit = (F.col("location") != last("location")) & (F.col("device_id") != last("device_id")) & (F.col("us") - last("us") <= minutes * MINUTE)
     return df.withColumn("pattern_travel", F.coalesce(hit, F.lit(False)))
 
 
 def velocity_attack(df: DataFrame, n: int = 20, seconds: int = 120, most: float = 50.0) -> DataFrame:
     small = (F.col("amount") <= most).cast("int")
-    return df.withColumn("pattern_velocity", F.sum(small).over(BY_TIME.rangeBetween(-seconds * 1_000_000, 0)) >= n)
+    return df.withColumn("pattern_velocity", F.sum(small).over(by_time().rangeBetween(-seconds * 1_000_000, 0)) >= n)
 
 
 def card_testing(df: DataFrame, n: int = 5, minutes: int = 25, tiny: float = 1.0, large: float = 500.0) -> DataFrame:
-    tests = F.sum((F.col("amount") <= tiny).cast("int")).over(BY_TIME.rangeBetween(-minutes * MINUTE, -1))
+    tests = F.sum((F.col("amount") <= tiny).cast("int")).over(by_time().rangeBetween(-minutes * MINUTE, -1))
     return df.withColumn("pattern_card_testing", (F.col("amount") >= large) & (F.coalesce(tests, F.lit(0)) >= n))
 
 
 def time_anomaly(df: DataFrame, night: tuple[int, int] = (0, 5), rare: float = 0.05, large: float = 400.0, history: int = 10) -> DataFrame:
     """A large amount in the night of a user whose transactions before were hardly ever then."""
     at_night = F.expr(f"(us % {24 * HOUR}) div {HOUR} between {night[0]} and {night[1]}")
-    share, n = F.avg(at_night.cast("double")).over(PRIOR), F.count("*").over(PRIOR)
+    share, n = F.avg(at_night.cast("double")).over(prior()), F.count("*").over(prior())
     return df.withColumn("pattern_time", at_night & (F.col("amount") >= large) & (n >= history) & (share <= rare))
 
 
 def amount_spike(df: DataFrame, ratio: float = 10.0, history: int = 10) -> DataFrame:
-    mean, n = F.avg("amount").over(PRIOR), F.count("*").over(PRIOR)
+    mean, n = F.avg("amount").over(prior()), F.count("*").over(prior())
     return df.withColumn("pattern_spike", (n >= history) & (F.col("amount") > ratio * mean))
 
 
@@ -47,7 +56,7 @@ def _unseen(df: DataFrame, column: str, name: str, large: float, history: int) -
     """A value that the user's rows before do not have: its first row by user and value."""
     first = F.row_number().over(Window.partitionBy("user_id", column).orderBy("us", "transaction_id")) == 1
     marked = df.withColumn("_first", first & F.col(column).isNotNull())
-    return marked.withColumn(name, F.col("_first") & (F.count("*").over(PRIOR) >= history) & (F.col("amount") >= large)).drop("_first")
+    return marked.withColumn(name, F.col("_first") & (F.count("*").over(prior()) >= history) & (F.col("amount") >= large)).drop("_first")
 
 
 def category_anomaly(df: DataFrame, large: float = 300.0, history: int = 10) -> DataFrame:
