@@ -370,3 +370,17 @@ def _(t: Tables) -> DataFrame:
     io.write_importances(io.read_features(t.spark, f"{root}/parquet", rows.schema), f"{root}/csv")
     io.append_labels(t.spark.read.schema(rows.schema).csv(f"{root}/csv", header=True), f"{root}/json")
     return t.spark.read.schema(rows.schema).json(f"{root}/json")
+
+
+@query("model_roundtrip")
+def _(t: Tables) -> DataFrame:
+    """A fitted pipeline written and read again scores alike; the scores of the one read."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    rows = _train(t)
+    root = f"{io.shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    M.boosted_trees(FEATURES, maxIter=3, maxDepth=3).fit(rows).write().overwrite().save(root)
+    scored = PipelineModel.load(root).transform(rows)
+    return scored.select("transaction_id", F.round(M.probability(scored), 6).alias("score"))

@@ -26,7 +26,11 @@ def _(t: Tables) -> DataFrame:
     return jobs.finished(jobs.trailing_stream(_stream(t)), "stream-velocity").select("transaction_id", "user_id", "count_1h", "count_24h", "amount_1h", "amount_24h")
 
 
-@query("stream_hopping")
+@query(
+    "stream_hopping",
+    """select start, user_id, count(*) as n, round(sum(amount), 4) as amount from (select user_id, amount, (us // 3600000000 - k) * 3600 as start from v_txn, range(0, 24) r(k))
+where (start + 86400) * 1000000 <= (select max(us) - 3600000000 from v_txn) group by 1, 2""",
+)
 def _(t: Tables) -> DataFrame:
     out = jobs.finished(jobs.hopping_totals(_stream(t)), "stream-hopping")
     return out.select(F.unix_seconds("window.start").alias("start"), "user_id", "n", F.round("amount", 4).alias("amount"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import scalars as S
 from ..operators import lists, profiles, tables, velocity
 from .adapters import Tables
@@ -61,9 +62,24 @@ def _(t: Tables) -> DataFrame:
     return tables.feature_report(t("v_features"), {"avg_transaction_amount": "double", "account_type": "double", "velocity_score": "double"})
 
 
-@query("catalogue_summary", "select type_group as grp, count(*) as features from (select split_part(p_type, ' ', 1) as type_group from part) group by 1")
+@query(
+    "catalogue_summary",
+    """select 'velocity' as grp, 2 as features, count(avg_transaction_amount) + count(transaction_count) as filled from v_features union all select 'device', 2, count(device_count) + count(is_vpn) from v_features
+union all select 'network', 1, count(email_domain) from v_features union all select 'geo', 1, count(is_high_risk_country) from v_features union all select 'identity', 1, count(account_age_days) from v_features""",
+)
+def _(t: Tables) -> DataFrame:
+    return schema.filled_by_group(t("v_features"))
+
+
+@query(
+    "catalogue_defaults",
+    "select user_id, coalesce(avg_transaction_amount, 0.0) as avg_transaction_amount, coalesce(transaction_count, 0) as transaction_count, coalesce(email_domain, 'unknown') as email_domain, 'unknown' as \"3d_secure_status\", 174 as n_features from v_features",
+)
 def _(t: Tables) -> DataFrame:
-    return t("part").groupBy(F.split("p_type", " ")[0].alias("grp")).agg(F.count("*").alias("features"))
+    """Every feature of the catalogue, its default where the table has no value."""
+    rows = t("v_features")
+    made = tables.apply_defaults(rows, {"user_id": "unknown"} | schema.defaults())
+    return made.select("user_id", "avg_transaction_amount", "transaction_count", "email_domain", "3d_secure_status", F.lit(len(made.columns) - 1).alias("n_features"))
 
 
 @query("entity_projection", "select distinct user_id, device_id from v_features where device_id is not null")
@@ -362,3 +378,25 @@ def _(t: Tables) -> DataFrame:
 @query("top_scores", "select transaction_id, round(score, 6) as score from v_scored order by v_scored.score desc, transaction_id limit 50")
 def _(t: Tables) -> DataFrame:
     return t("v_scored").orderBy(F.desc("score"), "transaction_id").limit(50).select("transaction_id", F.round("score", 6).alias("score"))
+
+
+HOT_FLAT = "select 'hot' as part, count(*) as n from hot union all select 'windows', count(distinct user_id) from v_txn where us > (select max(us) from v_txn) - 86400000000 union all select 'lists', count(*) from l"
+
+
+@query("warm_report", HOT_SQL + f", l as ({LISTS_SQL}) {HOT_FLAT}")
+def _(t: Tables) -> DataFrame:
+    rows = t("v_txn")
+    parts = {"hot": _hot(t), "windows": velocity.warm_windows(rows, rows.agg(F.max("us")).first()[0]), "lists": t.sql(LISTS_SQL)}
+    counts = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, d in parts.items()]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query("hot_from_records", "select user_id, coalesce(transaction_count, 0) as transaction_count from v_features where user_id <> '' and user_id is not null and account_type is not null")
+def _(t: Tables) -> DataFrame:
+    rows = t("v_features").withColumn("user_id", F.when(F.col("account_type").isNull(), "").otherwise(F.col("user_id")))
+    return rows.where("user_id is not null and user_id <> ''").select("user_id", F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"))
+
+
+@query("profiles_serialised", f"with r as ({PROFILE_ROWS}), b as ({BUILT_SQL}) select user_id, strftime(make_timestamp(last_transaction_at), '%Y-%m-%dT%H:%M:%S') as last_transaction_at from b")
+def _(t: Tables) -> DataFrame:
+    return profiles.serialised(profiles.build_profiles(t.sql(PROFILE_ROWS)), ("last_transaction_at",)).select("user_id", "last_transaction_at")
