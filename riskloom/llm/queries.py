@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, passages, quality, sharding, simhash, token_counts, toxicity
+from . import bpe, chats, fingerprints, mixing, passages, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op2_chats": chats.op2_chats,
     "op3_passages": passages.op3_passages,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_chats": chats.OP2_SQL,
     "op8_line_cleaning": quality.OP8_SQL,
 }

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import harness
-from riskloom.llm import bpe, components, fingerprints, mixing, passages, queries, quality, sharding, simhash, token_counts, toxicity
+from riskloom.llm import bpe, chats, components, fingerprints, mixing, passages, queries, quality, sharding, simhash, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, rid string, _row string, key int"
@@ -431,9 +431,25 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.predicted for r in scored if r.toxic == 0) <= 0.02 * len(scored)
 
 
+# Operator 2.
+def test_snapshots_collapse(spark, sf_dir):
+    schema = "conv_id long, turn long, role string, text string, n int, k string, copies int"
+    talk = lambda i, *texts: [(i, k, "user" if k % 2 == 0 else "assistant", t, 1, "k", 2) for k, t in enumerate(texts)]
+    log = talk(1, "a") + talk(2, "a", "b") + talk(3, "a", "b", "c") + talk(4, "a", "x") + talk(5, "a", "b", "c") + talk(6, "b") + talk(7, None) + talk(8, "") + talk(None, "z", "a")
+    log += talk(6, "b")  # repeated rows
+    log += [(9, None, None, "late", 1, "k", 2), (9, 0, "user", "early", 1, "k", 2)]
+    got = {r.conv_id: r for r in rows(chats.rendered(spark.createDataFrame(log, schema)))}
+    assert set(got) == {3, 4, 6, 7, 8, 9, None}
+    assert (got[3].copies, got[3].n_turns, got[6].n_turns) == (2, 3, 1)
+    assert got[4].rendered == "<|user|>\na\n<|end|>\n<|assistant|>\nx\n<|end|>\n"
+    assert got[9].rendered.endswith("<|unknown|>\nlate\n<|end|>\n")
+    assert rows(chats.rendered(spark.createDataFrame([], schema))) == []
+    assert harness.differences(spark, chats.op2_chats, chats.OP2_SQL, sf_dir) == ""
+
+
 # All queries.
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name, texts):
     out = rows(queries.QUERIES[name](spark, sf_dir))
-    if name != "op3_passages":
+    if name not in ("op2_chats", "op3_passages"):
         assert sorted(r.doc_id for r in out) == sorted(texts)
