@@ -174,6 +174,9 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def learn(self, pieces: list[str]) -> list[str]:
         """Make young hold all pieces; returns those too long to keep."""
         fresh: dict[int, list[str]] = {16: [], 32: [], CACHED_BYTES: []}
@@ -277,6 +280,7 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        own.forget()  # the worker lives on, other operators need its memory
 
     return encoded(text)
 
