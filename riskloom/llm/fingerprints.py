@@ -176,24 +176,26 @@ def version_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text"
     result = peeled(pairs, ["rid", "kind"], 0)
     both = result.groupBy("rid").agg(*(F.max(F.when(F.col("kind") == k, F.struct("failed", "left", "right"))).alias(f"r{k}") for k in (0, 1)))
     failed = lambda k: F.coalesce(F.col(f"r{k}.failed"), F.lit(False))
-    near = lambda k, other: likeness(F.coalesce(f"r{k}.left", F.lit(0)), F.coalesce(f"r{k}.right", F.lit(0)), F.size("own"), F.size(other))
+    near = lambda k, other: likeness(F.coalesce(f"r{k}.left", F.lit(0)), F.coalesce(f"r{k}.right", F.lit(0)), F.col("n_own"), F.col(other))
+    # What a result needs besides: two short strings and three counts in place of the digests.
+    shown = made.select(
+        "rid", id, "n_chars", "edited_sha256", sketch_string(F.col("own")).alias("fingerprint"), sketch_string(F.col("ed")).alias("edited_fingerprint"),
+        F.size("own").alias("n_own"), F.size("ed").alias("n_ed"), F.size("nx").alias("n_nx"),
+    )
     first = saved(
-        dealt.join(both, "rid", "left").select(
-            "rid", id, "n_chars", "edited_sha256", sketch_string(F.col("own")).alias("fingerprint"), sketch_string(F.col("ed")).alias("edited_fingerprint"),
-            F.when(~failed(0), near(0, "ed")).alias("near_edited"), F.when(~failed(1), near(1, "nx")).alias("near_next"),
-            *(F.when(failed(0) | failed(1), F.col(c)).alias(c) for c in ("own", "ed", "nx")),
+        shown.join(both, "rid", "left").select(
+            "rid", id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            F.when(~failed(0), near(0, "n_ed")).alias("near_edited"), F.when(~failed(1), near(1, "n_nx")).alias("near_next"),
         ),
         "sketches",
     )
-    lost = first.where("near_edited is null or near_next is null")
-    kinds = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("ed").alias("b"), F.lit(expected[0]).alias("share"), F.col("near_edited").isNull().alias("want")),
-            F.struct(F.lit(1).alias("kind"), F.col("nx").alias("b"), F.lit(expected[1]).alias("share"), F.col("near_next").isNull().alias("want")),
-        ),
+    missed = first.where("near_edited is null or near_next is null").select("rid", F.col("near_edited").isNull().alias("want0"), F.col("near_next").isNull().alias("want1"))
+    lost = made.join(missed, "rid")
+    wanted = F.filter(
+        F.array(*(F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), F.lit(expected[k]).alias("share"), F.col(f"want{k}").alias("want")) for k, other in enumerate(("ed", "nx")))),
         lambda x: x["want"],
     )
-    again = lost.select("rid", F.col("own").alias("a"), F.inline(kinds)).withColumn("size", size).select("rid", "kind", "a", "b", "size")
+    again = lost.select("rid", F.col("own").alias("a"), F.inline(wanted)).withColumn("size", size).select("rid", "kind", "a", "b", "size")
     columns = [id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     if again.isEmpty():
         return first.select(*columns)
