@@ -6,9 +6,12 @@ passage falls into the same paragraphs wherever it stands. Equal paragraphs meet
 hash. For near ones, MinHash values of their five-word shingles form bands; the number of
 bands is tuned so that a pair at the threshold meets with probability recall. Paragraphs
 that meet are verified by exact Jaccard similarity of their shingles. A bucket of at most
-PAIRED different paragraphs is compared pair by pair, so a row has a bounded number of
-pairs; in a larger one all are compared with the smallest, and those not similar to it go
-on into finer buckets by further MinHash values, until none is left: none is cut short.
+PAIRED different paragraphs is compared pair by pair in joins; in a larger one all are
+compared with the smallest, and then each with every other in blocks of BLOCK, but for
+pairs that the distance to the smallest decides: those similar to it are linked already,
+and one further from it than twice the allowed distance is similar to none of them. So
+every similar pair of a bucket is linked, directly or by others. The work in a bucket of
+many paragraphs that are not similar grows with the square of their number.
 Components of the links are the clusters.
 
 A paragraph with a copy counts as a repeat where it stands in a run of such paragraphs of
@@ -44,6 +47,8 @@ TOKEN = re.compile(WORD)
 SMALL, SMALL_CLUSTERS = 1_000_000, 200_000
 #: Buckets of up to this many different paragraphs are compared pair by pair.
 PAIRED = 64
+#: Paragraphs on one side of a block of a larger bucket.
+BLOCK = 512
 #: Paragraphs that a task holds at once.
 HELD = 40_000
 
@@ -212,35 +217,91 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
     return (sets if few else sets.join(wanted, "pid", "left_semi")).dropDuplicates(["pid"])
 
 
+def _spanning(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect what the true cells of alike connect."""
+    seen_row, seen_col = np.zeros(alike.shape[0], bool), np.zeros(alike.shape[1], bool)
+    rows, cols = [], []
+    for r in range(len(alike)):
+        front = np.zeros(0, int) if seen_row[r] else np.array([r])
+        while len(front):
+            seen_row[front] = True
+            reached = np.flatnonzero(alike[front].any(0) & ~seen_col)
+            seen_col[reached] = True
+            rows.append(np.full(len(reached), r))
+            cols.append(reached)
+            front = np.flatnonzero(alike[:, reached].any(1) & ~seen_row)
+            rows.append(front)
+            cols.append(np.full(len(front), reached[0] if len(reached) else 0))
+    return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
+
+
+def alike_in_block(table: pa.Table, threshold: float) -> pa.Table:
+    """table: pid, shingles and side of the paragraphs of a block. Links that connect all
+    similar pairs of a paragraph of side 0 and one of side 1 (of side 0 where there is no 1)."""
+    pid, side = table.column("pid").to_numpy(), table.column("side").to_numpy()
+    sets = table.column("shingles").combine_chunks()
+    size = sets.value_lengths().to_numpy().astype(np.int64)
+    _, at, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    met = (often > 1)[at]
+    row, col = np.repeat(np.arange(len(size)), size)[met], (np.cumsum(often > 1) - 1)[at][met]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    shared = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for start in range(0, int((often > 1).sum()), 4096):
+        part = slice(*np.searchsorted(col, (start, start + 4096)))
+        has = np.zeros((len(size), 4096), np.float32)
+        has[row[part], col[part] - start] = 1
+        shared += has[left] @ has[right].T
+    shared = shared.astype(np.int64)
+    a, b = _spanning(shared >= threshold * (size[left][:, None] + size[right][None, :] - shared))
+    a, b = pid[left[a]], pid[right[b]]
+    return pa.table({"a": pa.array(np.minimum(a, b)[a != b]), "b": pa.array(np.maximum(a, b)[a != b])})
+
+
+def large_links(large: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """a, b: links that connect all similar pairs within buckets. large: key, pid and lead,
+    the smallest pid of the bucket."""
+    both = large.join(sets, "pid").join(sets.select(F.col("pid").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
+    # Rings: similar to the lead, near enough to be similar to such a one, and the others.
+    # 1 - Jaccard is a metric, so what lies further apart than the threshold allows twice
+    # needs no comparison.
+    common, either = F.size(F.array_intersect("shingles", "of_lead")), F.size(F.array_union("shingles", "of_lead"))
+    ring = F.when(common >= rules.threshold * either, 0).when(common >= (2 * rules.threshold - 1 - 1e-9) * either, 1).otherwise(2)
+    placed = saved(both.select("key", "pid", "lead", "shingles", ring.alias("ring")), "para-rings")
+    n = lambda cond: F.greatest(F.ceil(F.count(F.when(cond, 1)) / BLOCK), F.lit(1)).cast("int")
+    blocks = placed.groupBy("key").agg(n(F.col("ring") == 0).alias("n0"), n(F.col("ring") == 1).alias("n1"), n(F.col("ring") > 0).alias("n2"), F.count(F.when(F.col("ring") == 1, 1)).alias("near"))
+    rows = placed.join(blocks, "key")
+    own = lambda count: F.pmod(F.xxhash64("pid"), F.col(count)).cast("int")
+    unit = lambda u, v, side: F.struct(u.alias("u"), v.alias("v"), side.alias("side"))
+    others = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    rest = F.transform(others("n2"), lambda k: unit(F.least(own("n2"), k), F.greatest(own("n2"), k), (own("n2") > k).cast("int")))
+    far = F.when(F.col("near") > 0, F.transform(others("n1"), lambda k: unit(-1 - own("n0"), k, F.lit(0))))
+    close = F.transform(others("n0"), lambda k: unit(-1 - k, own("n1"), F.lit(1)))
+    dealt = F.when(F.col("ring") == 0, far).when(F.col("ring") == 1, F.concat(rest, close)).otherwise(rest)
+    units = rows.select("key", "pid", "shingles", F.inline(dealt))
+    threshold = rules.threshold
+    found = units.groupBy("key", "u", "v").applyInArrow(lambda t: alike_in_block(t, threshold), "a long, b long")
+    return placed.where("ring = 0 and lead <> pid").select(F.col("lead").alias("a"), F.col("pid").alias("b")).unionAll(found)
+
+
 def near_links(docs: DataFrame, paras: DataFrame, rules: Rules) -> DataFrame:
-    """a, b: links between the hashes of different paragraphs that are similar enough."""
+    """a, b: links between the hashes of different paragraphs; they connect all pairs that
+    share a bucket and are similar enough."""
     keyed = paras.select(F.explode("keys").alias("key"), "pid")
     shared = saved(keyed.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("most")).where("lead < most").select("key"), "para-buckets")
     few = shared.count() <= SMALL
     members = saved(keyed.join(F.broadcast(shared) if few else shared, "key").distinct(), "para-members")
     sets = saved(shingle_sets(docs, members.select("pid").distinct(), rules), "para-sets")
-    links, step = None, 0
-    while True:
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("lead")).where("n > 1")
-        placed = members.join(sizes, "key")
-        little, large = placed.where(F.col("n") <= PAIRED).select("key", "pid"), placed.where(F.col("n") > PAIRED)
-        inside = little.select("key", F.col("pid").alias("lead")).join(little, "key").where("lead < pid").select("lead", "pid")
-        pairs = inside.unionAll(large.where("pid <> lead").select("lead", "pid")).distinct()
-        both = pairs.join(sets, "pid").join(sets.select(F.col("pid").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
-        alike = F.size(F.array_intersect("shingles", "of_lead")) >= rules.threshold * F.size(F.array_union("shingles", "of_lead"))
-        good = saved(both.where(alike).select(F.col("lead").alias("a"), F.col("pid").alias("b")), "para-links")
-        links = good if links is None else links.unionAll(good)
-        step += 1
-        # What is not like the smallest of a large bucket goes on into three finer ones, by two
-        # more values each: a pair at the threshold meets again in one with 95 percent. What
-        # is left in large buckets then goes into one finer bucket, by more values each time.
-        value = lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(100 * step + k))))
-        depth, ways = (2, 3) if step == 1 else (step - 1, 1)
-        keys = [F.xxhash64("key", *(value(w * depth + d) for d in range(depth))) for w in range(ways)]
-        rest = large.where("pid <> lead").join(good.select(F.col("a").alias("lead"), F.col("b").alias("pid")), ["lead", "pid"], "left_anti").join(sets, "pid")
-        members = saved(rest.select(F.explode(F.array(*keys)).alias("key"), "pid").distinct(), "para-members")
-        if members.isEmpty():
-            return links
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("lead")).where("n > 1")
+    placed = members.join(sizes, "key")
+    little, large = placed.where(F.col("n") <= PAIRED).select("key", "pid"), placed.where(F.col("n") > PAIRED)
+    pairs = little.select("key", F.col("pid").alias("lead")).join(little, "key").where("lead < pid").select("lead", "pid").distinct()
+    both = pairs.join(sets, "pid").join(sets.select(F.col("pid").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
+    alike = F.size(F.array_intersect("shingles", "of_lead")) >= rules.threshold * F.size(F.array_union("shingles", "of_lead"))
+    good = both.where(alike).select(F.col("lead").alias("a"), F.col("pid").alias("b"))
+    return saved(good.unionAll(large_links(large.select("key", "pid", "lead"), sets, rules)), "para-links")
 
 
 def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str = "text") -> DataFrame:

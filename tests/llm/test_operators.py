@@ -374,6 +374,48 @@ def test_near_paragraphs_meet(spark):
     assert found.where("removed").count() >= 0.97 * pairs
 
 
+def test_large_bucket_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    base = [word() for _ in range(40)]
+    texts = []
+    for _ in range(700):  # variants at all distances: each changes some slots of one before it
+        w = list((texts[int(rng.integers(len(texts)))] if texts and rng.random() < 0.7 else " ".join(base)).split())
+        for k in rng.choice(40, int(rng.integers(1, 4)), replace=False):
+            w[k] = word()
+        texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    wanted = list(range(len(texts)))
+
+    def root(i):
+        while wanted[i] != i:
+            i = wanted[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wanted[root(i)] = root(j)
+    rules = passages.Rules()
+    paras = [t.encode().split() for t in texts]
+    pids = passages._pids(paras).tolist()
+    h, counts = passages.shingle_hashes(paras, rules.shingle)
+    held = [sorted(set(x.view(np.int64).tolist())) for x in np.split(h, np.cumsum(counts)[:-1])]
+    docs = docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).selectExpr("doc_id as id", "xxhash64(text) as th", "text")
+    one = spark.createDataFrame([(p, [1], s) for p, s in zip(pids, held, strict=True)], "pid long, keys array<long>, sets array<long>")
+    links = passages.near_links(docs, one, rules)
+    reached = {r.node: r.component for r in rows(components.components(links))}
+    number = {p: i for i, p in enumerate(pids)}
+    groups = {}
+    for i, p in enumerate(pids):
+        groups.setdefault(root(i), set()).add(p)
+    got = {}
+    for p in pids:
+        got.setdefault(reached.get(p, p), set()).add(p)
+    assert len(number) == 700 and 20 < len(groups) < 680
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_repeats_of_awkward_rows(awkward, empty):
     assert {r.doc_id for r in rows(passages.repeats(awkward))} <= {1, 2, 7, 8}
     cut = rows(passages.substring_dedup(awkward))
