@@ -18,6 +18,13 @@ A paragraph with a copy counts as a repeat where it stands in a run of such para
 min_run words or more; short lines that many documents share are left alone. Of each
 cluster the first occurrence, by id and place, stays; all others are removals.
 
+Equal passages of passage words or more are found wherever they begin and end, also inside
+sentences: hashes of seed words, one chosen by content in each stretch of passage words,
+show where a text can have such a copy (winnowing: no equal passage goes without one). There
+all stretches of passage words are compared by a rolling hash, and those that stand in an
+earlier place are removals, joined where they overlap: a passage ends at the exact word. Such
+rows have no paragraph number.
+
 Rows with a NULL id and NULL or empty texts have no paragraphs and stay as they are. A row
 is known by its id and its text: repeated rows are one document and do not remove each
 other; an id with two texts is two documents. Other columns pass through. Paragraphs are
@@ -38,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, boxed, documents, saved, unboxed, where_last
+from .common import WORD, boxed, documents, dropped, saved, unboxed, where_last
 from .components import components
 
 STOP = re.compile(r"[.!?…][\"'”’»)\]]*(?=[\x20\x09-\x0D]|$)|\n")
@@ -62,6 +69,9 @@ class Rules:
     threshold: float = 0.8
     recall: float = 0.99
     min_run: int = 30
+    #: Equal passages of this many words are found at any word; by hashes of seed words.
+    passage: int = 51
+    seed: int = 20
 
     @property
     def bands(self) -> int:
@@ -304,9 +314,92 @@ def near_links(docs: DataFrame, paras: DataFrame, rules: Rules) -> DataFrame:
     return saved(good.unionAll(large_links(large.select("key", "pid", "lead"), sets, rules)), "para-links")
 
 
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, from the hashes of words."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.full(len(words), 0x9E3779B97F4A7C15, np.uint64))
+    back = np.cumprod(np.full(len(words), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words) * power)])
+    return _mix((sums[k:] - sums[:-k]) * back[: len(words) - k + 1])
+
+
+def seeds(words: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds: of the runs of seed words inside each stretch of
+    passage words, the one of the smallest hash."""
+    h = gram_hashes(words, rules.seed)
+    span = rules.passage - rules.seed + 1
+    if len(h) < span:
+        return np.zeros(0, int), h[:0]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, span).argmin(1) + np.arange(len(h) - span + 1))
+    return at, h[at]
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def equal_passages(docs: DataFrame, rules: Rules) -> DataFrame:
+    """docs: id, th, text. Passages of at least rules.passage words that stand in several
+    places, in the columns of repeats()."""
+    k = rules.passage
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, hashes = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.uint64)]
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                at, h = seeds(_word_hashes(TOKEN.findall(text.lower())), rules)
+                rows.append(np.full(len(at), row))
+                places.append(at)
+                hashes.append(h)
+            back = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(back), batch.column("th").take(back), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "th", "at", "seed"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (text, spots) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True)):
+                found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+                h = gram_hashes(_word_hashes([text[a:b].lower() for a, b in found]), k)
+                at = np.unique(np.array(spots)[:, None] - np.arange(k - rules.seed + 1))
+                at = at[(at >= 0) & (at < len(h))]
+                ends = np.array(found)
+                back = pa.array(np.full(len(at), row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(back), batch.column("th").take(back), pa.array(at, pa.int32()), pa.array(ends[at, 0], pa.int32()), pa.array(ends[at + k - 1, 1], pa.int32()), pa.array(h[at].view(np.int64))],
+                    ["id", "th", "at", "first", "last", "gram"],
+                )
+
+    place = F.struct("id", "th", "at")
+    found = saved(docs.mapInArrow(seeded, "id long, th long, at int, seed long"), "passage-seeds")
+    again = found.groupBy("seed").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("seed")
+    spots = found.join(again, "seed").groupBy("id", "th").agg(F.collect_set("at").alias("spots"))
+    near = docs.dropDuplicates(["id", "th"]).join(spots, ["id", "th"])
+    grams = saved(near.select("id", "th", "text", "spots").mapInArrow(windows, "id long, th long, at int, first int, last int, gram long"), "passage-windows")
+    dropped(found)
+    place = F.struct("id", "th", "at", "last")
+    total = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("kept"), F.max(place).alias("until")).where("kept <> until").drop("until")
+    met = grams.join(total, "gram").withColumn("removed", place != F.col("kept"))
+    # A repeat that overlaps its own first occurrence leaves that whole.
+    own = F.col("removed") & (F.col("kept.id") == F.col("id")) & (F.col("kept.th") == F.col("th"))
+    start = F.when(own, F.greatest("at", F.col("kept.at") + k)).otherwise(F.col("at"))
+    met = met.withColumns({"start": start, "first": F.when(own, F.greatest("first", "kept.last")).otherwise(F.col("first"))}).where("first < last")
+    by_place = Window.partitionBy("id", "th", "removed").orderBy("at")
+    apart = (F.col("first") > F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    joined = met.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("part", F.sum("apart").over(by_place))
+    return joined.groupBy("id", "th", "removed", "part").agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        (F.max("at") + k - F.min("start")).cast("int").alias("n_words"),
+        F.min_by("gram", "at").alias("cluster"),
+        F.max("n").alias("cluster_size"),
+        F.min_by("kept.id", "at").alias("first_id"),
+    )
+
+
 def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each repeated paragraph: id, th (hash of the text), no, first and last (its
-    characters), n_words, cluster, cluster_size, first_id and removed."""
+    characters), n_words, cluster, cluster_size, first_id and removed. Then the equal
+    passages, with a NULL no."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
     paras = saved(cut_paragraphs(rows, rules), "paragraphs")
     links = near_links(rows, paras, rules)
@@ -327,21 +420,23 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     by_place = Window.partitionBy("id", "th").orderBy("no")
     runs = found.withColumn("run", F.col("no") - F.row_number().over(by_place))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "th", "run"))).where(F.col("run_words") >= rules.min_run)
-    return runs.select(
+    named = runs.select(
         F.col("id").alias(id), "th", "no", "first", "last", "n_words", "cluster", "cluster_size", F.col("kept.id").alias("first_id"), (where != F.col("kept")).alias("removed")
     )
+    equal = equal_passages(rows, rules).select(F.col("id").alias(id), "th", F.lit(None).cast("int").alias("no"), *named.columns[3:])
+    return named.unionAll(equal)
 
 
 @F.arrow_udf(T.StringType())
 def without(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-    """Texts without the given character ranges, which are in order and apart."""
+    """Texts without the given character ranges, which are in order and may overlap."""
     out = []
     for text, cuts in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
         if cuts and text is not None:
             parts, at = [], 0
             for c in cuts:
                 parts.append(text[at : c["first"]])
-                at = c["last"]
+                at = max(at, c["last"])
             text = "".join([*parts, text[at:]]).strip(" \t\n\r\x0b\x0c")
         out.append(text)
     return pa.array(out, pa.string())

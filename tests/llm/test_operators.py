@@ -416,6 +416,31 @@ def test_large_bucket_against_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_passages_inside_sentences(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts, wanted = {}, set()
+    for k in range(60):
+        n = 51 + k % 10 if k < 50 else 40  # the last are too short for a passage
+        shared = " ".join(word() + ("." if i % 26 == 25 else "") for i in range(n))
+        for d in (2 * k, 2 * k + 1):
+            before, after = (" ".join(word() + ("." if i % 26 == 5 else "") for i in range(int(rng.integers(30, 60)))) for _ in range(2))
+            texts[d] = f"{before} {shared} {after}"
+            if k < 50:
+                wanted.add((d, shared, n, 2, 2 * k, d % 2 == 1))
+    texts[200] = " ".join(["same"] * 120)
+    df = docs_of(spark, [(d, t, "en", "a") for d, t in texts.items()])
+    found = rows(passages.repeats(df))
+    exact = {(r.doc_id, texts[r.doc_id][r.first : r.last], r.n_words, r.cluster_size, r.first_id, r.removed) for r in found if r.no is None and r.doc_id != 200}
+    assert exact == wanted
+    kept = [r for r in found if r.no is None and r.doc_id == 200 and not r.removed]
+    assert [(r.first, r.last) for r in kept] == [(0, 51 * 5 - 1)]
+    assert all(r.first >= kept[0].last for r in found if r.no is None and r.doc_id == 200 and r.removed)
+    left = {r.doc_id: r.text for r in rows(passages.substring_dedup(df))}
+    assert all(left[d] == texts[d] for d in range(0, 100, 2))
+    assert not any(shared in left[d] for d, shared, *_, removed in wanted if removed)
+
+
 def test_repeats_of_awkward_rows(awkward, empty):
     assert {r.doc_id for r in rows(passages.repeats(awkward))} <= {1, 2, 7, 8}
     cut = rows(passages.substring_dedup(awkward))
