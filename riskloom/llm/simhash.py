@@ -262,12 +262,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the document with the smallest id
-    stays. Rows without an id stay; of repeated rows with one id, the one with the first
-    text in code point order stays."""
+    """docs without the near copies: of each component the row with the smallest id stays.
+    Rows without an id stay. A row is known by its id and its text: repeated rows leave one,
+    an id with two texts is two documents."""
     from pyspark.sql import Window as W
 
-    gone = simhash_components(docs, radius, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_k")).distinct()
-    keyed = boxed(docs, F.col(id).alias("_k"), F.col(text).alias("_t")).join(gone, "_k", "left_anti")
-    own = W.partitionBy("_k", F.when(F.col("_k").isNull(), F.xxhash64("_t"))).orderBy(F.col("_t").asc_nulls_last())
+    th = F.xxhash64(text)
+    prints = saved(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("_k"), th.alias("_h"), simhash(whole(text)).alias("fp")), "simhash")
+    distinct = saved(prints.groupBy("fp").agg(F.first("fp").alias("node")), "simhash-distinct")
+    reached = components(near_links(distinct, radius), label="simhash-links")
+    placed = prints.join(distinct.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("c")), "fp")
+    kept = placed.groupBy("c").agg(F.min(F.struct("_k", "_h")).alias("kept"))
+    gone = placed.join(kept, "c").where(F.struct("_k", "_h") != F.col("kept")).select("_k", "_h").distinct()
+    keyed = boxed(docs, F.col(id).alias("_k"), th.alias("_h")).join(gone, ["_k", "_h"], "left_anti")
+    own = W.partitionBy("_k", "_h").orderBy("_h")
     return unboxed(keyed.withColumn("_n", F.row_number().over(own)).where("_k is null or _n = 1"), docs)

@@ -218,6 +218,13 @@ def test_near_dedup_keeps_one(awkward):
     assert Counter(r.doc_id for r in rows(kept)) == {1: 1, 3: 1, 6: 1, 7: 1, 8: 1, None: 2}
 
 
+def test_near_dedup_of_an_id_with_two_texts(spark):
+    rng = np.random.default_rng(33)
+    one, two, three = (" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)) for _ in range(3))
+    kept = simhash.near_dedup(docs_of(spark, [(1, one, "en", "a"), (5, one, "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"), (5, three, "en", "a")]))
+    assert sorted((r.doc_id, r.text) for r in rows(kept)) == sorted([(1, one), (5, two), (5, three)])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in rows(components.components(spark.createDataFrame(links, "a long, b long")))}
