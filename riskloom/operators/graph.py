@@ -3,6 +3,8 @@ keep their state in tables in the shared folder and only read counts on the driv
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,19 @@ def merge_edges(current: DataFrame, incoming: DataFrame, key: tuple[str, ...] =
 
 
 def degree_others(edges: DataFrame) -> DataFrame:
-    """For each src and rel_type: how many other sources share any of its entities. A source
-    with one entity needs no pairs: it is the entity's degree less one. Sources with several
-    are paired through their entities to count each other once."""
+    """For each src and rel_type: how many other sources share any of its entities. All on its
+    largest entity count without being paired: that is the entity's degree less one. Only
+    those on its other entities are paired with it, and those also on the largest left out,
+    so an entity that everybody shares makes no pairs."""
     e = edges.select("src", "dst", "rel_type").distinct()
     size = e.groupBy("dst", "rel_type").agg(F.count("*").alias("size"))
-    own = e.join(size, ["dst", "rel_type"]).groupBy("src", "rel_type").agg(F.count("*").alias("entities"), F.max(F.col("size") - 1).alias("most"))
-    several = own.where("entities > 1").select("src", "rel_type")
-    near = e.join(several, ["src", "rel_type"]).join(e.withColumnRenamed("src", "other"), ["dst", "rel_type"]).where("src <> other")
-    counted = near.groupBy("src", "rel_type").agg(F.count_distinct("other").alias("others"))
-    return own.join(counted, ["src", "rel_type"], "left").select("src", "rel_type", F.when(F.col("entities") == 1, F.col("most")).otherwise(F.coalesce("others", F.lit(0))).alias("others"))
+    sized = e.join(size, ["dst", "rel_type"])
+    own = sized.groupBy("src", "rel_type").agg(F.max(F.struct("size", "dst")).alias("most")).select("src", "rel_type", F.col("most.size").alias("size"), F.col("most.dst").alias("most"))
+    rest = e.join(own, ["src", "rel_type"]).where("dst <> most").select("src", "rel_type", "dst", "most")
+    met = rest.join(e.withColumnRenamed("src", "other"), ["dst", "rel_type"]).where("src <> other").select("src", "rel_type", "most", "other").distinct()
+    new = met.join(e.select(F.col("src").alias("other"), F.col("dst").alias("most"), "rel_type"), ["other", "most", "rel_type"], "left_anti")
+    counted = new.groupBy("src", "rel_type").agg(F.count("*").alias("more"))
+    return own.join(counted, ["src", "rel_type"], "left").select("src", "rel_type", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("others"))
 
 
 def pipeline_score(devices: Column, mails: Column) -> Column:
@@ -65,35 +70,104 @@ def others_on_entity(edges: DataFrame, accounts: DataFrame) -> DataFrame:
     return e.join(total, "dst").select("src", "dst", (F.col("n") - 1).alias("others"), (F.col("b") - F.col("bad")).alias("fraud_others"))
 
 
-def network_links(transfers: DataFrame, accounts: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """account_id, links, fraud_links: transfer edges touching an account, in both directions."""
+def network_links(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """account_id, links, fraud_links: transfer edges touching an account, in both directions,
+    and those of them to accounts with fraud history."""
     t = transfers.where("src <> dst").select("src", "dst")
     both = t.unionAll(t.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    risk = accounts.select(F.col("account_id").alias("dst"), (F.col("risk_score") > config.risky).cast("int").alias("bad"))
+    risk = accounts.select(F.col("account_id").alias("dst"), (F.col("fraud_transaction_count") > 0).cast("int").alias("bad"))
     return both.join(risk, "dst", "left").groupBy(F.col("src").alias("account_id")).agg(F.count("*").alias("links"), F.coalesce(F.sum("bad"), F.lit(0)).alias("fraud_links"))
 
 
 def trails(transfers: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """account_id, at, depth, edges, nodes: directed walks of 1 to hops transfers that use no
-    transfer twice; from the seeds only."""
+    """account_id, at, depth, edges: all directed walks of 1 to hops transfers that use no
+    transfer twice, from the seeds. They multiply with every hop: for a few seeds only."""
     e = transfers.select(F.col("src"), F.col("dst"), "transaction_id")
-    front = seeds.select("account_id").distinct().join(e, F.col("account_id") == F.col("src")).select("account_id", F.col("dst").alias("at"), F.array("transaction_id").alias("edges"), F.array("src", "dst").alias("nodes"))
+    front = seeds.select("account_id").distinct().join(e, F.col("account_id") == F.col("src")).select("account_id", F.col("dst").alias("at"), F.array("transaction_id").alias("edges"))
     out = front.withColumn("depth", F.lit(1))
     for depth in range(2, hops + 1):
         step = front.join(e, F.col("at") == F.col("src")).where(~F.array_contains("edges", F.col("transaction_id")))
-        front = step.select("account_id", F.col("dst").alias("at"), F.concat("edges", F.array("transaction_id")).alias("edges"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        front = step.select("account_id", F.col("dst").alias("at"), F.concat("edges", F.array("transaction_id")).alias("edges"))
         out = out.unionByName(front.withColumn("depth", F.lit(depth)))
     return out
 
 
-def mule_depth(transfers: DataFrame, accounts: DataFrame, seeds: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """account_id, depth, endpoint, endpoint_risk, flagged: the longest trail, its riskiest end."""
-    found = trails(transfers, seeds, config.max_hops).select("account_id", "depth", F.col("at").alias("endpoint"))
+def trail_hops(transfers: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """account_id, from_account, to_account, amount, hop, transaction_id: each transfer once for
+    each hop at which a trail of a seed uses it. A trail's beginnings are trails, so the last
+    transfers of all of them are all hops."""
+    last = trails(transfers, seeds, hops).select("account_id", F.col("depth").alias("hop"), F.element_at("edges", -1).alias("transaction_id")).distinct()
+    return last.join(transfers.select("transaction_id", F.col("src").alias("from_account"), F.col("dst").alias("to_account"), "amount"), "transaction_id")
+
+
+def _avoidable(kept: list[frozenset], walk: frozenset, budget: int) -> bool:
+    """Whether at most budget transfers, none of walk, hit every kept walk."""
+    for k in kept:
+        free = k - walk
+        break
+    else:
+        return True
+    return budget > 0 and any(_avoidable([w for w in kept if e not in w], walk, budget - 1) for e in free)
+
+
+def _representatives(walks: list[tuple], budget: int) -> list[int]:
+    """walks: sets of transfers, best first. Those to keep, so that whatever budget transfers are
+    forbidden, the best walk without them is among the kept."""
+    kept, out = [], []
+    for k, w in enumerate(walks):
+        if _avoidable(kept, w, budget):
+            kept.append(w)
+            out.append(k)
+        if not _avoidable(kept, frozenset(), budget):
+            break
+    return out
+
+
+#: Walks of an account that are thinned out in one group.
+GROUP = 20_000
+
+
+def _thinned(walks: DataFrame, budget: int) -> DataFrame:
+    """walks: at, edges, endpoint, endpoint_risk. A few of each account's walks, as many as
+    _representatives() keeps; those of an account with many are first thinned out in parts."""
+    kind = walks.schema
+
+    def best(table: pa.Table) -> pa.Table:
+        risk = np.array([-1.0 if x is None else x for x in table.column("endpoint_risk").to_pylist()])
+        ends, edges = table.column("endpoint").to_pylist(), table.column("edges").to_pylist()
+        order = sorted(range(len(ends)), key=lambda k: (-risk[k], ends[k], edges[k]))
+        return table.take([order[k] for k in _representatives([frozenset(edges[j]) for j in order], budget)])
+
+    parts = walks.groupBy("at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    if most > 1:
+        dealt = walks.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("edges"), F.col("parts")))
+        walks = dealt.groupBy("at", "part").applyInArrow(lambda t: best(t.select(kind.names)), kind)
+    return walks.groupBy("at").applyInArrow(best, kind)
+
+
+def mule_depth(transfers: DataFrame, accounts: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """account_id, depth, endpoint, endpoint_risk, flagged: of every account that sends, the
+    longest trail of at most max_hops transfers and its riskiest end (then the smallest id).
+
+    Trails are built from their ends. Of those of one length that start at an account only a
+    few are kept: enough that, whatever transfers a longer trail has used before it gets
+    here, the best one that avoids them is there. So the work is in proportion to the
+    transfers, however many trails there are."""
+    e = stored(transfers.select("src", "dst", "transaction_id"), "trail-edges")
     risk = accounts.select(F.col("account_id").alias("endpoint"), F.col("risk_score").alias("endpoint_risk"))
-    ranked = found.distinct().join(risk, "endpoint", "left")
-    own = Window.partitionBy("account_id").orderBy(F.desc("depth"), F.desc_nulls_last("endpoint_risk"), "endpoint")
-    best = ranked.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
-    return best.withColumn("flagged", F.coalesce(F.col("endpoint_risk") > config.risky, F.lit(False)))
+    walks = e.select(F.col("src").alias("at"), F.array("transaction_id").alias("edges"), F.col("dst").alias("endpoint")).join(risk, "endpoint", "left").select("at", "edges", "endpoint", "endpoint_risk")
+    found = None
+    for depth in range(1, config.max_hops + 1):
+        if depth > 1:
+            longer = e.join(walks, e["dst"] == walks["at"]).where(~F.array_contains("edges", F.col("transaction_id")))
+            walks = longer.select(F.col("src").alias("at"), F.concat(F.array("transaction_id"), "edges").alias("edges"), "endpoint", "endpoint_risk")
+        walks = stored(_thinned(stored(walks, "trail-walks"), config.max_hops - depth), "trails")
+        end = F.struct(-F.coalesce("endpoint_risk", F.lit(-1.0)), "endpoint")
+        best = walks.groupBy(F.col("at").alias("account_id")).agg(F.min_by(F.struct("endpoint", "endpoint_risk"), end).alias("best")).withColumn("depth", F.lit(depth))
+        found = best if found is None else found.unionByName(best)
+    longest = found.groupBy("account_id").agg(F.max(F.struct("depth", "best")).alias("m")).select("account_id", "m.depth", "m.best.*")
+    return longest.withColumn("flagged", F.coalesce(F.col("endpoint_risk") > config.risky, F.lit(False)))
 
 
 def graph_risk_score(ring: Column, devices: Column, device_fraud: Column, depth: Column, ips: Column, ip_fraud: Column, links: Column) -> Column:
@@ -109,23 +183,28 @@ def graph_risk_score(ring: Column, devices: Column, device_fraud: Column, depth:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, hops: int) -> DataFrame:
-    """One row: source, target, connected, length, nodes. Breadth first over both directions;
-    of equally short paths the one with the smallest joined ids."""
-    e = edges.select("src", "dst").where("src <> dst")
-    both = stored(e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "path-edges")
+    """One row: source, target, connected, length, nodes, types. Breadth first over both
+    directions of all edges; of equally short paths the one with the smallest joined ids, and
+    of the edges between two nodes the smallest rel_type (empty if edges have none)."""
+    e = edges.select("src", "dst", F.col("rel_type") if "rel_type" in edges.columns else F.lit("").alias("rel_type")).where("src <> dst")
+    both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type"))
+    both = stored(both.groupBy("src", "dst").agg(F.min("rel_type").alias("rel_type")), "path-edges")
     spark = edges.sparkSession
-    front = spark.createDataFrame([(source, [source])], "at string, nodes array<string>")
+    front = spark.createDataFrame([(source, [source], [])], "at string, nodes array<string>, types array<string>")
     seen = front.select("at")
+    ends = F.lit(source).alias("source"), F.lit(target).alias("target")
     for length in range(1, hops + 1):
-        step = both.join(front, both["src"] == front["at"]).select(F.col("dst").alias("to"), F.concat("nodes", F.array("dst")).alias("path")).join(seen, F.col("to") == seen["at"], "left_anti")
-        front = stored(step.groupBy("to").agg(F.min_by("path", F.array_join("path", "|")).alias("nodes")).withColumnRenamed("to", "at"), "path-front")
+        step = both.join(front, both["src"] == front["at"]).select(F.col("dst").alias("to"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("types", F.array("rel_type")).alias("types"))
+        step = step.join(seen, F.col("to") == seen["at"], "left_anti")
+        front = stored(step.groupBy(F.col("to").alias("at")).agg(F.min_by(F.struct("nodes", "types"), F.array_join("nodes", "|")).alias("p")).select("at", "p.*"), "path-front")
         hit = front.where(F.col("at") == target)
         if not hit.isEmpty():
-            return hit.select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(True).alias("connected"), F.lit(length).alias("length"), "nodes")
+            return hit.select(*ends, F.lit(True).alias("connected"), F.lit(length).alias("length"), "nodes", "types")
         if front.isEmpty():
             break
         seen = seen.unionAll(front.select("at"))
-    return spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(False).alias("connected"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("nodes"))
+    none = F.array().cast("array<string>")
+    return spark.range(1).select(*ends, F.lit(False).alias("connected"), F.lit(0).alias("length"), none.alias("nodes"), none.alias("types"))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -205,6 +284,32 @@ def similar_accounts(edges: DataFrame, distinct: bool = True) -> DataFrame:
     return both.select("a", "b", "shared", F.col("n").alias("size_a"), F.col("m").alias("size_b"), F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 3).alias("similarity"))
 
 
+def similar_pairs(edges: DataFrame, threshold: float) -> DataFrame:
+    """a, b, shared, similarity (unrounded) of the pairs with at least that Jaccard similarity
+    of their distinct neighbours. A pair that reaches it shares one of the rarest neighbours of
+    each: all but the commonest threshold * n of n. Only those are indexed, so a neighbour that
+    everybody has makes pairs for accounts with hardly any other; candidates are then counted."""
+    e = stored(edges.select(F.col("src").alias("a"), "dst").distinct(), "similar-edges")
+    common = e.groupBy("dst").agg(F.count("*").alias("common"))
+    own = Window.partitionBy("a")
+    ranked = e.join(common, "dst").withColumns({"n": F.count("*").over(own), "k": F.row_number().over(own.orderBy("common", "dst"))})
+    rare = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("a", "dst", "n")
+    other = rare.select(F.col("a").alias("b"), "dst", F.col("n").alias("m"))
+    near = rare.join(other, "dst").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("a", "b", "n", "m").distinct()
+    both = near.join(e, "a").join(e.select(F.col("a").alias("b"), "dst"), ["b", "dst"])
+    counted = both.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    found = counted.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
+    return found.where(F.col("similarity") >= threshold).select("a", "b", "shared", "similarity")
+
+
+def most_similar(edges: DataFrame, threshold: float = 0.5, n: int = 10) -> DataFrame:
+    """account_id, other, shared, similarity (3 places): the n most similar accounts of each."""
+    pairs = similar_pairs(edges, threshold)
+    both = pairs.select(F.col("a").alias("account_id"), F.col("b").alias("other"), "shared", "similarity").unionAll(pairs.select("b", "a", "shared", "similarity"))
+    rank = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("similarity"), "other"))
+    return both.withColumn("_n", rank).where(F.col("_n") <= n).select("account_id", "other", "shared", F.round("similarity", 3).alias("similarity"))
+
+
 def update_risk(accounts: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: account_id, new_risk (clamped)."""
     return accounts.join(changes, "account_id", "left").withColumn("risk_score", F.coalesce(clamp(F.col("new_risk")), F.col("risk_score"))).drop("new_risk")
@@ -219,22 +324,62 @@ def flag_ring(rings: DataFrame, members: DataFrame, ring_id: str, accounts: Data
     return new_rings, new_members, added.select("account_id", F.lit(1.0).alias("new_risk"))
 
 
-def modularity_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """account_id, community. Each round the nodes of one hash parity may move to the
-    neighbouring community with the largest positive gain in modularity."""
-    e = edges.select("src", "dst").where("src <> dst")
-    both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    both = stored(both, "modularity-edges")
+def _moved(both: DataFrame, rounds: int) -> DataFrame:
+    """both: src, dst, w, each edge in both directions, loops with all weight inside. id and c:
+    the community of every node after at most rounds of moves. Each round the nodes of one
+    hash parity may move to the neighbouring community with the largest positive gain in
+    modularity; two rounds without a move end it."""
     total = both.agg(F.sum("w")).first()[0] or 1.0
     degree = stored(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "modularity-degrees")
-    own = stored(nodes.select(F.col("account_id").alias("id")).distinct().withColumn("c", F.col("id")), "modularity")
+    own, still = degree.select("id", F.col("id").alias("c")), 0
     for r in range(rounds):
         size = own.join(degree, "id").groupBy("c").agg(F.sum("k").alias("ck"))
-        near = both.join(own.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("win"))
-        mine = own.select("id", F.col("c").alias("was")).join(degree, "id")
-        option = near.join(mine, "id").join(size, "c")
+        near = both.where("src <> dst").join(own.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("win"))
+        option = near.join(own.select("id", F.col("c").alias("was")).join(degree, "id"), "id").join(size, "c")
         gain = F.col("win") - F.col("k") * (F.col("ck") - F.when(F.col("c") == F.col("was"), F.col("k")).otherwise(0.0)) / total
         best = option.withColumn("gain", gain).groupBy("id").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", "c")).alias("b"), F.max(F.when(F.col("c") == F.col("was"), F.col("gain"))).alias("stay"))
-        moves = best.where((F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-9)).select("id", F.col("b.c").alias("to"))
-        own = stored(own.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c")), "modularity")
-    return own.select(F.col("id").alias("account_id"), F.col("c").alias("community"))
+        moves = best.where((F.pmod(F.xxhash64("id", F.lit(r // 2)) + r, F.lit(2)) == 0) & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-9)).select("id", F.col("b.c").alias("to"))
+        step = stored(own.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "modularity")
+        own, still = step.select("id", "c"), still + 1 if step.where("moved").isEmpty() else 0
+        if still == 2:
+            break
+    return own
+
+
+def modularity_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, levels: int = 5) -> DataFrame:
+    """account_id, community. edges: src, dst of any kinds. Nodes move between communities for
+    some rounds; then each community becomes a node of the next level, joined by the weight
+    between them, until a level merges nothing. Nodes without edges stay alone."""
+    e = edges.select("src", "dst").where("src <> dst")
+    both = stored(e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "modularity-edges")
+    placed = nodes.select("account_id").distinct().withColumn("community", F.col("account_id"))
+    for _ in range(levels):
+        own = stored(_moved(both, rounds), "modularity-level")
+        placed = stored(placed.join(own, placed["community"] == own["id"], "left").select("account_id", F.coalesce("c", "community").alias("community")), "communities")
+        if own.select("c").distinct().count() == own.count():
+            break
+        ends = both.join(own.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(own.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst")
+        both = stored(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "modularity-edges")
+    return placed
+
+
+def modularity(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row: modularity, of a placement (account_id, community) of the nodes of edges."""
+    e = edges.select("src", "dst").where("src <> dst")
+    side = lambda c: placed.select(F.col("account_id").alias(c), F.col("community").alias(f"c_{c}"))
+    met = e.join(side("src"), "src").join(side("dst"), "dst")
+    inside = (F.col("c_src") == F.col("c_dst")).cast("double").alias("inside")
+    by = met.select(F.col("c_src").alias("c"), inside).unionAll(met.select("c_dst", inside))
+    return by.groupBy("c").agg(F.sum("inside").alias("i"), F.count("*").cast("double").alias("k")).agg(((F.sum("i") / F.sum("k")) - F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), 2)).alias("modularity"))
+
+
+def ring_sweep(communities: DataFrame, ranks: DataFrame, components: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """One row: counts of communities (group, size, fraud_rate, suspicious), of hubs among the 50
+    best ranked and of components, with the ten largest suspicious communities and the hubs."""
+    scored = communities.agg(F.count("*").alias("communities"), F.coalesce(F.sum(F.col("suspicious").cast("long")), F.lit(0)).alias("suspicious"))
+    joined = lambda df, first, name, as_: df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col(first), name))), lambda x: x[name]), ",").alias(as_), F.count("*").alias(f"n_{as_}"))
+    top = joined(communities.where("suspicious").orderBy(F.desc("size"), "group").limit(10), "size", "group", "top_suspicious").drop("n_top_suspicious")
+    best = joined(hubs(ranks, 50, config), "score", "account_id", "hub_accounts").withColumnRenamed("n_hub_accounts", "hubs")
+    rate = F.col("fraud_members") / F.col("size")
+    parts = components.agg(F.count("*").alias("components"), F.coalesce(F.sum((rate >= config.fraud_rate).cast("long")), F.lit(0)).alias("risky_components"))
+    return scored.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(best)).crossJoin(F.broadcast(parts))  # one row each

@@ -43,7 +43,7 @@ select concat('T', cast(o_orderkey as string)) as transaction_id,
 from orders join customer on o_custkey = c_custkey""",
     "v_entity_edges": """
 select distinct concat('A', cast(o_custkey as string)) as src, concat('D', cast(l_partkey as string)) as dst, 'USES' as rel_type
-from orders join lineitem on o_orderkey = l_orderkey where l_discount > 0.095""",
+from orders join lineitem on o_orderkey = l_orderkey""",
     "v_ip_edges": """
 select distinct concat('A', cast(o_custkey as string)) as src, concat('I', cast(o_orderkey % 300 as string)) as dst, 'CONNECTED_FROM' as rel_type from orders""",
     "v_transfers": """
@@ -51,7 +51,7 @@ select * from (
   select o_orderkey as transaction_id, concat('A', cast(o_custkey as string)) as src,
     concat('A', cast((o_custkey * 31 + o_orderkey) % (select count(*) from customer) as string)) as dst,
     'SENT_TO' as rel_type, o_totalprice as amount, MICROS(o_orderdate) as us
-  from orders where o_orderkey % 10 = 0) x
+  from orders) x
 where src <> dst""",
     "v_accounts": """
 select concat('A', cast(c_custkey as string)) as account_id, c_nationkey as country,

@@ -82,46 +82,61 @@ def _(t: Tables) -> DataFrame:
     return G.others_on_entity(t("v_ip_edges"), t("v_accounts"))
 
 
-@query("network_links", "with b as (select src, dst from v_transfers union all select dst, src from v_transfers) select src as account_id, count(*) as links, cast(sum((coalesce(risk_score, 0) > 0.7)::int) as bigint) as fraud_links from b left join v_accounts on dst = account_id group by 1")
+@query("network_links", "with b as (select src, dst from v_transfers union all select dst, src from v_transfers) select src as account_id, count(*) as links, cast(sum((coalesce(fraud_transaction_count, 0) > 0)::int) as bigint) as fraud_links from b left join v_accounts on dst = account_id group by 1")
 def _(t: Tables) -> DataFrame:
     return G.network_links(t("v_transfers"), t("v_accounts"))
 
 
-def _seeds(t: Tables) -> DataFrame:
-    return t("v_accounts").where("cast(substring(account_id, 2) as int) % 10 = 0").select("account_id")
+@query("mule_depth")
+def _(t: Tables) -> DataFrame:
+    return G.mule_depth(t("v_transfers"), t("v_accounts")).select("account_id", "depth", "endpoint", "flagged")
 
 
-TRAILS_SQL = """with recursive e as (select src, dst, transaction_id from v_transfers), w as (
-  select src as account_id, dst as pos, [transaction_id] as edges, 1 as depth from e where cast(substr(src, 2) as int) % 10 = 0
-  union all select w.account_id, e.dst, list_append(w.edges, e.transaction_id), w.depth + 1 from w join e on w.pos = e.src where w.depth < 5 and not list_contains(w.edges, e.transaction_id))"""
+#: The report of hops is for the riskiest accounts.
+SEEDS_SQL = "select account_id from v_accounts order by risk_score desc, account_id limit 5"
 
 
-@query("mule_depth", TRAILS_SQL + """ select account_id, depth, pos as endpoint, coalesce(risk_score > 0.7, false) as flagged from (select distinct w.account_id, depth, pos, risk_score from w left join v_accounts a on a.account_id = pos)
-qualify row_number() over (partition by account_id order by depth desc, risk_score desc nulls last, pos) = 1""")
+@query(
+    "mule_hops",
+    f"""with recursive e as (select src, dst, transaction_id, amount from v_transfers), z as ({SEEDS_SQL}), w as (
+  select account_id, src as from_account, dst as to_account, amount, [transaction_id] as edges, 1 as hop from e join z on src = account_id
+  union all select w.account_id, e.src, e.dst, e.amount, list_append(w.edges, e.transaction_id), w.hop + 1 from w join e on w.to_account = e.src where w.hop < 5 and not list_contains(w.edges, e.transaction_id))
+select distinct account_id, from_account, to_account, amount, hop, edges[-1] as transaction_id from w""",
+)
 def _(t: Tables) -> DataFrame:
-    return G.mule_depth(t("v_transfers"), t("v_accounts"), _seeds(t)).select("account_id", "depth", "endpoint", "flagged")
+    seeds = t("v_accounts").orderBy(F.desc("risk_score"), "account_id").limit(5)
+    return G.trail_hops(t("v_transfers"), seeds, 5).select("account_id", "from_account", "to_account", "amount", "hop", "transaction_id")
 
 
-@query("mule_hops", TRAILS_SQL + " select account_id, depth, count(*) as trails, count(distinct pos) as ends from w group by 1, 2")
-def _(t: Tables) -> DataFrame:
-    return G.trails(t("v_transfers"), _seeds(t), 5).groupBy("account_id", "depth").agg(F.count("*").alias("trails"), F.count_distinct("at").alias("ends"))
+def _graph_risk(t: Tables) -> DataFrame:
+    a = t("v_accounts")
+    most = lambda v, x, y: G.others_on_entity(t(v), a).groupBy(F.col("src").alias("account_id")).agg(F.max("others").alias(x), F.max("fraud_others").alias(y))
+    rows = a.join(most("v_entity_edges", "devices", "device_fraud"), "account_id", "left").join(most("v_ip_edges", "ips", "ip_fraud"), "account_id", "left")
+    rows = rows.join(G.network_links(t("v_transfers"), a), "account_id", "left").join(G.mule_depth(t("v_transfers"), a).select("account_id", "depth"), "account_id", "left")
+    rows = rows.join(_rings(t).groupBy("account_id").agg(F.min("ring_id").alias("ring_id")), "account_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    score = G.graph_risk_score(F.col("ring_id").isNotNull(), n("devices"), n("device_fraud"), n("depth"), n("ips"), n("ip_fraud"), n("fraud_links"))
+    return rows.select("account_id", n("depth").alias("depth"), n("fraud_links").alias("fraud_links"), F.col("ring_id").isNotNull().alias("in_ring"), score.alias("graph_risk"))
+
+
+#: A few walks of each account and length show how deep its trails go: no account here runs
+#: out of all of them before one that it leaves out would have gone further.
+DEPTH_SQL = """e as (select src, dst, transaction_id from v_transfers), w1 as (select src as account_id, dst as pos, [transaction_id] as edges from e qualify row_number() over (partition by src order by transaction_id) <= 200), """ + ", ".join(
+    f"w{k} as materialized (select account_id, e.dst as pos, list_append(edges, transaction_id) as edges from w{k - 1} join e on pos = e.src where not list_contains(edges, transaction_id) qualify row_number() over (partition by account_id order by hash(edges, transaction_id)) <= 200)" for k in range(2, 6)
+) + ", h as (select account_id, max(depth) as depth from (" + " union all ".join(f"select account_id, {k} as depth from w{k}" for k in range(1, 6)) + ") group by 1)"
 
 
 @query(
     "graph_risk",
-    """with f as (select account_id as src, (fraud_transaction_count > 0)::int as bad from v_accounts),
+    f"""with f as (select account_id as src, (fraud_transaction_count > 0)::int as bad from v_accounts),
 d as (select src, max(others) as devices, max(fb) as device_fraud from (select src, count(*) over (partition by dst) - 1 as others, sum(bad) over (partition by dst) - bad as fb from v_entity_edges join f using (src)) group by 1),
 i as (select src, max(others) as ips, max(fb) as ip_fraud from (select src, count(*) over (partition by dst) - 1 as others, sum(bad) over (partition by dst) - bad as fb from v_ip_edges join f using (src)) group by 1),
-b as (select src, dst from v_transfers union all select dst, src from v_transfers), n as (select src, count(*) as links from b group by 1)
-select account_id, round(least(1, (case when risk_score >= 0.7 then 0.4 else 0 end) + (case when coalesce(device_fraud, 0) > 0 then 0.25 * least(devices / 10, 1) else 0 end) + (case when coalesce(ip_fraud, 0) > 0 then 0.1 * least(ips / 10, 1) else 0 end) + 0.05 * least(coalesce(links, 0) / 5, 1)), 4) as graph_risk
-from v_accounts left join d on d.src = account_id left join i on i.src = account_id left join n on n.src = account_id""",
+b as (select src, dst from v_transfers union all select dst, src from v_transfers), n as (select b.src, cast(sum(bad) as bigint) as fraud_links from b join f on f.src = b.dst group by 1), {DEPTH_SQL},
+k as (select a.account_id, coalesce(depth, 0) as depth, coalesce(fraud_links, 0) as fraud_links, risk_score >= 0.02 as in_ring, devices, device_fraud, ips, ip_fraud from v_accounts a left join d on d.src = a.account_id left join i on i.src = a.account_id left join n on n.src = a.account_id left join h on h.account_id = a.account_id)
+select account_id, depth, fraud_links, in_ring, round(least(1, (case when in_ring then 0.4 else 0 end) + (case when coalesce(device_fraud, 0) > 0 then 0.25 * least(devices / 10, 1) else 0 end) + 0.2 * least(depth / 5, 1) + (case when coalesce(ip_fraud, 0) > 0 then 0.1 * least(ips / 10, 1) else 0 end) + 0.05 * least(fraud_links / 5, 1)), 4) as graph_risk from k""",
 )
 def _(t: Tables) -> DataFrame:
-    a = t("v_accounts")
-    most = lambda v, x, y: G.others_on_entity(t(v), a).groupBy(F.col("src").alias("account_id")).agg(F.max("others").alias(x), F.max("fraud_others").alias(y))
-    rows = a.join(most("v_entity_edges", "devices", "device_fraud"), "account_id", "left").join(most("v_ip_edges", "ips", "ip_fraud"), "account_id", "left").join(G.network_links(t("v_transfers"), a), "account_id", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return rows.select("account_id", G.graph_risk_score(F.col("risk_score") >= 0.7, n("devices"), n("device_fraud"), F.lit(0), n("ips"), n("ip_fraud"), n("links")).alias("graph_risk"))
+    return _graph_risk(t)
 
 
 @query("high_risk_accounts", "select account_id, risk_score from v_accounts where risk_score >= 0.7 order by risk_score desc, account_id limit 100")
@@ -211,7 +226,7 @@ SIMILAR_SQL = "with e as (select distinct src as a, dst from v_entity_edges), d
 
 @query("similar_accounts", SIMILAR_SQL + " select p.a, p.b, round(shared / (d.n + f.n - shared), 3) as similarity from p join d on d.a = p.a join d f on f.a = p.b where round(shared / (d.n + f.n - shared), 3) >= 0.1")
 def _(t: Tables) -> DataFrame:
-    return G.similar_accounts(t("v_entity_edges")).where("similarity >= 0.1").select("a", "b", "similarity")
+    return G.similar_pairs(t("v_entity_edges"), 0.0995).select("a", "b", F.round("similarity", 3).alias("similarity")).where("similarity >= 0.1")
 
 
 @query("neighbour_set_sizes", SIMILAR_SQL + " select p.a, p.b, shared, d.n + f.n - shared as either from p join d on d.a = p.a join d f on f.a = p.b")
@@ -219,26 +234,94 @@ def _(t: Tables) -> DataFrame:
     return G.similar_accounts(t("v_entity_edges")).select("a", "b", "shared", (F.col("size_a") + F.col("size_b") - F.col("shared")).alias("either"))
 
 
-PATH_SQL = """with recursive b as (select src, dst from v_transfers union select dst, src from v_transfers), s as (select min(account_id) as a, max(account_id) as z from v_accounts),
-w as (select a as pos, [a] as nodes, 0 as length from s union all select b.dst, list_append(nodes, b.dst), length + 1 from w join b on w.pos = b.src where length < 6 and not list_contains(nodes, b.dst) and not exists (select 1 from s where pos = z)),
-h as (select nodes, length from w, s where pos = z)
-select a as source, z as target, exists (from h) as connected, coalesce((select min(length) from h), 0) as length, coalesce((select min(array_to_string(nodes, '|')) from h where length = (select min(length) from h)), '') as path from s"""
+ALL_EDGES = "select src, dst, rel_type from v_entity_edges union all select src, dst, rel_type from v_ip_edges union all select src, dst, rel_type from v_transfers"
+
 
+def _all_edges(t: Tables) -> DataFrame:
+    kinds = [t(v).select("src", "dst", "rel_type") for v in ("v_entity_edges", "v_ip_edges", "v_transfers")]
+    return kinds[0].unionAll(kinds[1]).unionAll(kinds[2])
 
-@query("shortest_path", PATH_SQL)
+
+@query(
+    "most_similar_accounts",
+    """with e as (select distinct src as a, dst from (""" + ALL_EDGES + """)), d as (select a, count(*) as n from e group by 1),
+p as (select x.a, y.a as b, count(*) as shared from e x join e y using (dst) where x.a <> y.a group by 1, 2),
+s as (select p.a as account_id, p.b as other, shared, shared / (d.n + f.n - shared) as similarity from p join d on d.a = p.a join d f on f.a = p.b)
+select account_id, other, shared, round(similarity, 3) as similarity from s where similarity >= 0.05 qualify row_number() over (partition by account_id order by similarity desc, other) <= 10""",
+)
+def _(t: Tables) -> DataFrame:
+    """Over all kinds of edges. The default threshold of 0.5 leaves no pair in these tables."""
+    return G.most_similar(_all_edges(t), 0.05)
+
+
+def _path_sql(edges: str, hops: int = 6) -> str:
+    """Breadth first, a table for each level: the smallest path to each node that is new there."""
+    steps = [f"v as ({edges})", "b as materialized (select src, dst, min(rel_type) as rel from (select src, dst, rel_type from v where src <> dst union all select dst, src, rel_type from v where src <> dst) group by 1, 2)", "s as (select min(account_id) as a, max(account_id) as z from v_accounts)", "f0 as materialized (select a as pos, a as path, '' as types from s)"]
+    for k in range(1, hops + 1):
+        seen = " union all ".join(f"select pos from f{j}" for j in range(k))
+        steps.append(f"f{k} as materialized (select dst as pos, min(path || '|' || dst) as path, arg_min(types || case when types = '' then '' else '|' end || rel, path || '|' || dst) as types from f{k - 1} join b on pos = src where dst not in ({seen}) and (select z from s) not in ({seen}) group by 1)")
+    hits = " union all ".join(f"select {k} as length, path, types from f{k} where pos = (select z from s)" for k in range(1, hops + 1))
+    return "with " + ", ".join(steps) + f", h as ({hits}) select a as source, z as target, exists (from h) as connected, coalesce((select length from h), 0) as length, coalesce((select path from h), '') as path, coalesce((select types from h), '') as types from s"
+
+
+@query("shortest_path", _path_sql("select src, dst, rel_type from v_transfers"))
+def _(t: Tables) -> DataFrame:
+    a, z = t("v_accounts").agg(F.min("account_id"), F.max("account_id")).first()
+    return G.shortest_path(t("v_transfers"), a, z, 6).select("source", "target", "connected", "length", F.array_join("nodes", "|").alias("path"), F.array_join("types", "|").alias("types"))
+
+
+@query("shortest_path_any", _path_sql(ALL_EDGES))
 def _(t: Tables) -> DataFrame:
     a, z = t("v_accounts").agg(F.min("account_id"), F.max("account_id")).first()
-    return G.shortest_path(t("v_transfers"), a, z, 6).select("source", "target", "connected", "length", F.array_join("nodes", "|").alias("path"))
+    return G.shortest_path(_all_edges(t), a, z, 6).select("source", "target", "connected", "length", F.array_join("nodes", "|").alias("path"), F.array_join("types", "|").alias("types"))
 
 
-@query("ring_sweep", f"{COMPONENTS_SQL}, k as (select component_id, count(*) as size, sum((fraud_transaction_count > 0)::int) as bad from c join v_accounts using (account_id) group by 1 having count(*) >= 2), g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}) select (select count(*) from g) as communities, (select count(*) from g where round(fraud_members / size, 4) >= 0.3 or round(mean_risk, 4) > 0.5) as suspicious, (select count(*) from k) as components, (select count(*) from k where bad / size >= 0.3) as risky_components")
+RANKS = _ranks_sql(20)[5:]
+
+
+@query(
+    "ring_sweep",
+    f"""{COMPONENTS_SQL}, {RANKS}, k as (select component_id, count(*) as size, sum((fraud_transaction_count > 0)::int) as bad from c join v_accounts using (account_id) group by 1 having count(*) >= 2),
+g as ({GROUPS_SQL.format(v='v_entity_edges', n=3)}), x as (select grp, size, round(fraud_members / size, 4) as rate from g where round(fraud_members / size, 4) >= 0.3 or round(mean_risk, 4) > 0.5),
+t10 as (from x order by size desc, grp limit 10), hub as (select account_id, s from r20 where s >= 1 order by round(s, 9) desc, account_id limit 50)
+select (select count(*) from g) as communities, (select count(*) from x) as suspicious, (select coalesce(string_agg(grp, ',' order by size desc, grp), '') from t10) as top_suspicious, (select count(*) from hub) as hubs,
+(select coalesce(string_agg(account_id, ',' order by round(s, 9) desc, account_id), '') from hub) as hub_accounts, (select count(*) from k) as components, (select count(*) from k where bad / size >= 0.3) as risky_components""",
+)
 def _(t: Tables) -> DataFrame:
     a = t("v_accounts")
-    groups = G.community_scores(G.group_risk(G.device_groups(t("v_entity_edges")), a, "group", 3)).agg(F.count("*").alias("communities"), F.sum(F.col("suspicious").cast("long")).alias("suspicious"))
-    parts = G.group_risk(G.components(t("v_transfers"), a), a, "component_id", 2).agg(F.count("*").alias("components"), F.sum((F.col("fraud_members") / F.col("size") >= 0.3).cast("long")).alias("risky_components"))
-    return groups.crossJoin(F.broadcast(parts))  # one row each
+    return G.ring_sweep(
+        G.community_scores(G.group_risk(G.device_groups(t("v_entity_edges")), a, "group", 3)),
+        G.pagerank(t("v_transfers"), a).withColumn("score", F.round("score", 9)),
+        G.group_risk(G.components(t("v_transfers"), a), a, "component_id", 2),
+    )
+
+
+FLAGGED_SQL = "select account_id from v_accounts where risk_score >= 0.05"
+
+
+@query(
+    "ring_flagged",
+    f"""with f as ({FLAGGED_SQL}), r as (select 'R' || country as ring_id, count(*) as size from v_accounts where risk_score >= 0.02 group by 1)
+select ring_id, size, 0.5::double as confidence, 0::bigint as at_full_risk from r where ring_id <> 'R3' union all select 'R3', (select count(*) from f), 0.9, (select count(*) from f join v_accounts using (account_id))""",
+)
+def _(t: Tables) -> DataFrame:
+    """Flag a known ring again: its row is replaced, its members are added, their risk is 1."""
+    a, members = t("v_accounts"), _rings(t)
+    rings = members.groupBy("ring_id").agg(F.count("*").alias("size")).withColumn("confidence", F.lit(0.5))
+    new_rings, new_members, changes = G.flag_ring(rings, members, "R3", a.where("risk_score >= 0.05").select("account_id"), 0.9)
+    full = G.update_risk(a, changes).where("risk_score = 1").join(new_members.where("ring_id = 'R3'"), "account_id").groupBy("ring_id").agg(F.count("*").alias("at_full_risk"))
+    return new_rings.join(full, "ring_id", "left").select("ring_id", "size", "confidence", F.coalesce("at_full_risk", F.lit(0)).alias("at_full_risk"))
 
 
 @query("modularity_communities")
 def _(t: Tables) -> DataFrame:
-    return G.modularity_communities(t("v_transfers"), t("v_accounts"))
+    return G.modularity_communities(_all_edges(t), t("v_accounts"))
+
+
+@query("modularity_gain", "select true as better_than_alone, true as within_bounds")
+def _(t: Tables) -> DataFrame:
+    """What holds of any good placement by transfers: it beats one community for each account."""
+    e, a = t("v_transfers"), t("v_accounts")
+    got = G.modularity(e, G.modularity_communities(e, a)).select(F.col("modularity").alias("m"))
+    alone = G.modularity(e, a.select("account_id", F.col("account_id").alias("community"))).select(F.col("modularity").alias("n"))
+    return got.crossJoin(F.broadcast(alone)).select((F.col("m") > F.col("n") + 0.05).alias("better_than_alone"), F.col("m").between(-0.5, 1).alias("within_bounds"))  # one row each
