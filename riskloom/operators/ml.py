@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.stat import KolmogorovSmirnovTest
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
+from . import ranks, tables
 from .routing import confusion
 
 
@@ -21,6 +26,13 @@ def card_time(dt: Column) -> dict[str, Column]:
     return {"tx_day": day, "tx_hour": hour, "tx_weekday": day % 7, "is_weekend": (day % 7 >= 5).cast("int"), "is_night": ((hour >= 22) | (hour < 6)).cast("int")}
 
 
+def calendar(us: Column) -> dict[str, Column]:
+    """hour_of_day, day_of_week (Monday 0), is_weekend and is_business_hours (9 to 17 on weekdays)
+    of microseconds since 1970, a Thursday."""
+    hour, day = F.floor(F.pmod(us, F.lit(86_400_000_000)) / 3_600_000_000), F.pmod(F.floor(us / 86_400_000_000) + 3, F.lit(7))
+    return {"hour_of_day": hour, "day_of_week": day, "is_weekend": (day >= 5).cast("int"), "is_business_hours": (hour.between(9, 17) & (day < 5)).cast("int")}
+
+
 def flag_code(x: Column) -> Column:
     """T and F to 1 and 0, missing to -1."""
     return F.when(x == "T", 1).when(x == "F", 0).otherwise(-1)
@@ -96,31 +108,65 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def cross_validated(train: DataFrame, features: list[str], k: int = 5, label: str = "label", **params) -> DataFrame:
+    """metric, scores, mean, std (population) and band of auc, precision, recall and f1: one fit
+    for each of the folds 0 to k - 1 of column fold, scored on the rows of that fold."""
+    found: dict[str, list[float]] = {m: [] for m in ("auc", "precision", "recall", "f1")}
+    for f in range(k):
+        model = boosted_trees(features, label, **params).fit(train.where(F.col("fold") != f))
+        held = stored(model.transform(train.where(F.col("fold") == f)).select(label, probability(train).alias("score"), "prediction"), "cv-scores")
+        counts = confusion(held, F.col("prediction") == 1, F.col(label) == 1).first()
+        found["auc"].append(ranking_metrics(held, label, "score").first()["auc"] or 0.0)
+        for m in ("precision", "recall", "f1"):
+            found[m].append(float(counts[m] or 0.0))
+    rows = [(m, s, float(np.mean(s)), float(np.std(s))) for m, s in found.items()]
+    return train.sparkSession.createDataFrame(rows, "metric string, scores array<double>, mean double, std double").withColumn("band", stability(F.col("std")))
+
+
+def stability(std: Column) -> Column:
+    return F.when(std < 0.02, "very stable").when(std < 0.05, "stable").otherwise("unstable")
+
+
+# Saved models.
+def save_model(model: PipelineModel, features: list[str], metadata: dict, root: str, stamp: str) -> None:
+    """A fitted pipeline, its features in order and its metadata, in a folder of its stamp. The
+    metadata come last: a folder without them is no model yet."""
+    spark = SparkSession.active()
+    path = f"{root}/model={stamp}"
+    model.write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame(list(enumerate(features)), "place int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+    spark.createDataFrame([(stamp, json.dumps(metadata, sort_keys=True))], "stamp string, metadata string").write.mode("overwrite").json(f"{root}/metadata/stamp={stamp}")
+
+
+def newest_model(spark: SparkSession, root: str) -> tuple[PipelineModel, list[str], dict]:
+    """The model with the last stamp, its features in order and its metadata."""
+    last = spark.read.schema("stamp string, metadata string").json(f"{root}/metadata/*").orderBy(F.desc("stamp")).first()
+    path = f"{root}/model={last.stamp}"
+    features = [r.feature for r in spark.read.schema("place int, feature string").json(f"{path}/features").orderBy("place").collect()]
+    return PipelineModel.load(f"{path}/pipeline"), features, json.loads(last.metadata)
+
+
 # Ranking metrics.
-def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", exact: bool = False) -> DataFrame:
-    """One row: auc, average_precision, brier, log_loss, precision_at_half_recall. Scores are
-    grouped to 6 places unless exact, so the running sums see at most a million rows."""
-    s = F.col(score) if exact else F.round(score, 6)
+def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: auc, average_precision, brier, log_loss, precision_at_half_recall. Labels are
+    counted by score, and running counts go through ranges of the scores."""
     y = F.col(label).cast("double")
     p = F.greatest(F.lit(2.2e-16), F.least(F.lit(1 - 2.2e-16), F.col(score)))
     plain = df.agg(F.avg(F.pow(F.col(score) - y, 2)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
-    by = df.groupBy(s.alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"tp0": F.coalesce(F.sum("p").over(above), F.lit(0.0)), "tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto)})
-    total = run.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    t = run.crossJoin(F.broadcast(total))  # one row
-    prec, rec = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "all_p")
-    t = t.withColumns({"precision": prec, "recall": rec})
+    by = df.groupBy((-F.col(score).cast("double")).alias("down")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    t = ranks.running(by, [], "down", ["p", "n"])
+    tp, fp = F.col("p_upto"), F.col("n_upto")
+    t = t.withColumns({"precision": tp / (tp + fp), "recall": F.try_divide(tp, "p_all")})
+    gap = F.abs(F.col("recall") - 0.5)
     out = t.agg(
-        F.sum(F.col("n") * F.col("tp0") + 0.5 * F.col("p") * F.col("n")).alias("a"),
-        F.max(F.col("all_p") * F.col("all_n")).alias("pn"),
-        F.sum(F.try_divide("p", "all_p") * F.col("precision")).alias("average_precision"),
-        F.min_by("precision", F.struct(F.abs(F.col("recall") - 0.5), F.col("s"))).alias("at_half"),
-        F.min(F.abs(F.col("recall") - 0.5)).alias("_gap"),
+        F.sum(F.col("n") * (tp - F.col("p")) + 0.5 * F.col("p") * F.col("n")).alias("a"),
+        F.max(F.col("p_all") * F.col("n_all")).alias("pn"),
+        F.sum(F.try_divide("p", "p_all") * F.col("precision")).alias("average_precision"),
+        F.min_by("precision", F.struct(gap, -F.col("down"))).alias("at_half"),
+        F.min(gap).alias("_gap"),
     )
     half = F.when(F.col("_gap") <= 0.5, F.col("at_half")).otherwise(1.0).alias("precision_at_half_recall")
-    return out.crossJoin(F.broadcast(plain)).select(F.try_divide("a", "pn").alias("auc"), "average_precision", "brier", "log_loss", half)
+    return out.crossJoin(F.broadcast(plain)).select(F.try_divide("a", "pn").alias("auc"), "average_precision", "brier", "log_loss", half)  # one row each
 
 
 def calibration_compare(df: DataFrame, label: str, before: str, after: str) -> DataFrame:
@@ -146,22 +192,42 @@ def model_compare(df: DataFrame, label: str, a: str, b: str, threshold: float =
 
 
 # Drift.
+def ks_p_value(d: Column, n: Column) -> Column:
+    """Asymptotic, for n the effective number of rows."""
+    lam = d * F.sqrt(n)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam))
+    return F.when(d == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+
+
 def ks_two_sample(base: DataFrame, new: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
-    """feature, d, p_value, drifted. Running shares over the distinct values of each feature;
-    features are the partitions."""
-    long = lambda df, k: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))).where("x is not null and not isnan(x)").withColumn("side", F.lit(k))
+    """feature, d, p_value, drifted. Running shares over the distinct values of each feature, in
+    ranges of the values."""
+    long = lambda df, k: tables.unpivoted(df, columns).withColumn("side", F.lit(k))
     by = long(base, 0).unionAll(long(new, 1)).groupBy("feature", "x").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
-    run, every = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    cdf = lambda c: F.sum(c).over(run) / F.sum(c).over(every)
-    gap = by.withColumns({"gap": F.abs(cdf("a") - cdf("b")), "na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
-    d = gap.groupBy("feature").agg(F.max("gap").alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    lam = F.col("d") * F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("lam") * F.col("lam")))
-    p = F.when(F.col("d") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
-    out = d.withColumn("lam", lam).withColumn("p_value", p)
+    run = ranks.running(by, ["feature"], "x", ["a", "b"])
+    gap = F.abs(F.try_divide("a_upto", "a_all") - F.try_divide("b_upto", "b_all"))
+    d = run.groupBy("feature").agg(F.max(gap).alias("d"), F.max("a_all").alias("na"), F.max("b_all").alias("nb"))
+    out = d.withColumn("p_value", ks_p_value(F.col("d"), F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))))
     return out.select("feature", "d", "p_value", (F.col("p_value") < alpha).alias("drifted"))
 
 
+def ks_normal(new: DataFrame, baseline: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """feature, d, p_value, drifted: new values against a normal distribution of the baseline's
+    mean and std (a row for each feature). Features that new lacks are left out, and those whose
+    baseline has no spread or that have no value."""
+    rows = []
+    for r in baseline.select("feature", "mean", "std").collect():
+        if r.feature not in new.columns or not r.std:
+            continue
+        x = new.select(F.col(r.feature).cast("double").alias("x")).where("x is not null and not isnan(x)")
+        if x.isEmpty():
+            continue
+        t = KolmogorovSmirnovTest.test(x, "x", "norm", float(r["mean"]), float(r["std"])).first()
+        rows.append((r.feature, float(t.statistic), float(t.pValue), bool(t.pValue < alpha)))
+    return new.sparkSession.createDataFrame(rows, "feature string, d double, p_value double, drifted boolean")
+
+
 def drift_summary(tests: DataFrame) -> DataFrame:
+    """One row: tested, drift_score (share of drifted features, NULL if none was tested), level."""
     share = F.avg(F.col("drifted").cast("double"))
-    return tests.agg(F.count("*").alias("tested"), share.alias("drift_score")).withColumn("level", F.when(F.col("drift_score") > 0.3, "high").when(F.col("drift_score") > 0.1, "moderate").otherwise("none"))
+    return tests.agg(F.count("*").alias("tested"), share.alias("drift_score")).withColumn("level", F.when(F.col("drift_score") > 0.3, "high").when(F.col("drift_score") > 0.1, "moderate").otherwise("low"))

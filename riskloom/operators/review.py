@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 MINUTE = 60_000_000
 
 
@@ -35,13 +37,13 @@ def duplicate_cases(cases: DataFrame) -> DataFrame:
 
 
 def review_order(cases: DataFrame) -> DataFrame:
-    """cases with position in the queue. One order over all open cases; its ranks are counted
-    by priority first, so that no task ranks more than one priority."""
-    r = priority_rank(F.col("priority"))
-    ranked = cases.withColumn("_r", r).withColumn("_n", F.row_number().over(Window.partitionBy("_r").orderBy("created_us", "case_id")))
-    sizes = ranked.groupBy("_r").agg(F.count("*").alias("_k"))
+    """cases with position in the queue: by priority, then age, then id. Ranks are counted in
+    ranges of the age within each priority."""
+    made = cases.withColumn("_r", priority_rank(F.col("priority")))
+    placed = ranks.ranked(made, ["_r"], F.col("created_us"), [F.col("created_us"), F.col("case_id")], "_n")
+    sizes = made.groupBy("_r").agg(F.count("*").alias("_k"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_r", "_before")
-    return ranked.join(F.broadcast(before), "_r").withColumn("position", F.col("_n") + F.col("_before")).drop("_r", "_n", "_before")  # four rows
+    return placed.join(F.broadcast(before), "_r").withColumn("position", F.col("_n") + F.col("_before")).drop("_r", "_n", "_n_all", "_before")  # four rows
 
 
 def assign_next(cases: DataFrame, analysts: list[str]) -> DataFrame:
@@ -52,6 +54,22 @@ def assign_next(cases: DataFrame, analysts: list[str]) -> DataFrame:
     return placed.join(F.broadcast(slots), "position").drop("position")
 
 
+def assigned(events: DataFrame, case_id: str, analyst: str, us: int) -> DataFrame:
+    """events and the assignment of a named case; it counts only if the case is pending then."""
+    row = events.sparkSession.createDataFrame([(case_id, "ASSIGNED", analyst, us)], "case_id string, event string, analyst string, us bigint")
+    return events.unionByName(row, allowMissingColumns=True)
+
+
+def audit_log(events: DataFrame, case_id: str | None = None) -> DataFrame:
+    """The events, of one case or of all, with their place in the case."""
+    own = events if case_id is None else events.where(F.col("case_id") == case_id)
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy("us", event_rank(F.col("event")), "event", "analyst")))
+
+
+def event_rank(event: Column) -> Column:
+    return F.when(event == "ENQUEUED", 0).when(event == "ASSIGNED", 1).when(event == "REQUEUED", 2).when(event == "RESOLVED", 3).otherwise(4)
+
+
 def _step(state: Column, e: Column) -> Column:
     s, kind = state["status"], e["event"]
     ok = (
@@ -76,8 +94,7 @@ def case_state(events: DataFrame) -> DataFrame:
     """case_id, status, analyst, assigned_us, resolved_us, applied (events that counted). The
     events of a case are replayed in order; those not allowed in its state are ignored. A
     case opens with its first event if it has no ENQUEUED."""
-    rank = F.when(F.col("event") == "ENQUEUED", 0).when(F.col("event") == "ASSIGNED", 1).when(F.col("event") == "REQUEUED", 2).when(F.col("event") == "RESOLVED", 3).otherwise(4)
-    ordered = events.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("us", rank.alias("rank"), "event", "analyst"))).alias("e"))
+    ordered = events.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("us", event_rank(F.col("event")).alias("rank"), "event", "analyst"))).alias("e"))
     zero = F.struct(F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("analyst"), F.lit(None).cast("bigint").alias("assigned_us"), F.lit(None).cast("bigint").alias("resolved_us"), F.lit(0).alias("applied"))
     return ordered.select("case_id", F.aggregate("e", zero, _step).alias("s")).select("case_id", "s.*")
 

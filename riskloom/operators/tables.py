@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -67,21 +69,27 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def baseline_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, rows, mean, population std, min, max, median, q25, q75. One aggregate over
-    wide rows: no unpivot, hence no row for each cell."""
+    """feature, rows, mean, population std, min, max, median, q25, q75. Plain statistics are one
+    aggregate over wide rows; the exact quantiles come from counted values in ranges."""
     per = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        per.append(F.struct(F.count(x).alias("rows"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("q")).alias(c))
+        per.append(F.struct(F.count(x).alias("rows"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*per)
-    each = [F.struct(F.lit(c).alias("feature"), *(F.col(f"{c}.{k}").alias(k) for k in ("rows", "mean", "std", "min", "max")), F.col(f"{c}.q")[1].alias("median"), F.col(f"{c}.q")[0].alias("q25"), F.col(f"{c}.q")[2].alias("q75")) for c in columns]
-    return wide.select(F.inline(F.array(*each)))
+    each = wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"{c}.{k}").alias(k) for k in ("rows", "mean", "std", "min", "max"))) for c in columns))))
+    q = ranks.quantiles(unpivoted(df, columns), ["feature"], "x", [0.25, 0.5, 0.75])
+    return each.join(q, "feature", "left").select(*each.columns, F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+
+
+def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, x: the filled cells of numeric columns."""
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))
+    return df.select(F.inline(cells)).where("x is not null and not isnan(x)")
 
 
 def percentiles(df: DataFrame, column: str) -> DataFrame:
-    q = F.percentile(F.col(column), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.agg(q.alias("q")).select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
+    q = ranks.quantiles(df.select(column), [], column, [0.5, 0.95, 0.99])
+    return q.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -98,12 +106,16 @@ def seeded_sample(df: DataFrame, id: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_order(F.col(id), seed), id).limit(n)
 
 
+def _hash_ranked(df: DataFrame, id: str, label: str, seed: int) -> DataFrame:
+    """df with _n, the rank of a row by its hash within its label, and _n_all. A hash is spread
+    evenly, so its first digits are the ranges of the ranking."""
+    hashed = df.withColumn("_h", hash_order(F.col(id), seed))
+    return ranks.ranked(hashed, [label], F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint"), [F.col("_h"), F.col(id)], "_n").drop("_h")
+
+
 def stratified_split(df: DataFrame, id: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with is_test: exactly round(share * n) rows of each label. Ranks one label in one
-    task; hash_split has no such step."""
-    own = Window.partitionBy(label)
-    rank = F.row_number().over(own.orderBy(hash_order(F.col(id), seed), id))
-    return df.withColumn("is_test", rank <= F.round(F.count("*").over(own) * share))
+    """df with is_test: exactly round(share * n) rows of each label."""
+    return _hash_ranked(df, id, label, seed).withColumn("is_test", F.col("_n") <= F.round(F.col("_n_all") * share)).drop("_n", "_n_all")
 
 
 def hash_split(df: DataFrame, id: str, share: float, seed: int = 42, name: str = "is_test") -> DataFrame:
@@ -113,8 +125,7 @@ def hash_split(df: DataFrame, id: str, share: float, seed: int = 42, name: str =
 
 
 def folds(df: DataFrame, id: str, label: str, k: int, seed: int = 42) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(id), seed), id))
-    return df.withColumn("fold", (rank - 1) % k)
+    return _hash_ranked(df, id, label, seed).withColumn("fold", (F.col("_n") - 1) % k).drop("_n", "_n_all")
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

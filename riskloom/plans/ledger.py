@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as I
 from ..operators import ml as M
 from ..operators import patterns as P
-from ..operators import quality, routing
+from ..operators import routing, tables
 from ..operators import review as R
 from ..sources import io
 from .adapters import Tables
@@ -252,17 +252,30 @@ def _(t: Tables) -> DataFrame:
     return M.interactions(t("v_card"), [("amt", "card1"), ("amt", "absent")]).select("transaction_id", F.round("amt_x_card1", 4).alias("amt_x_card1"))
 
 
-@query("production_features", "with r as (select user_id, avg(is_fraud) as rate from v_txn where transaction_id % 5 <> 0 group by 1) select transaction_id, round(coalesce(rate, 0), 6) as user_fraud_rate, dense_rank() over (order by location) - 1 as location_code, round(amount * ((us % 86400000000) // 3600000000), 4) as amount_x_hour from v_txn left join r using (user_id)")
+PRODUCTION_SQL = """with r as (select user_id, avg(is_fraud) as rate from v_txn where transaction_id % 5 <> 0 group by 1),
+c as (select *, dense_rank() over (order by location) - 1 as location_code, dense_rank() over (order by merchant_category) - 1 as merchant_category_code, dense_rank() over (order by device_id) - 1 as device_id_code,
+  us % 86400000000 // 3600000000 as hour, (us // 86400000000 + 3) % 7 as day_of_week, transaction_id % 4 as device_changes, transaction_id % 9 as velocity_1h from v_txn)
+select transaction_id, round(coalesce(rate, 0), 6) as user_fraud_rate, location_code, merchant_category_code, device_id_code, round(amount * velocity_1h, 4) as amount_x_velocity, hour * merchant_category_code as hour_x_merchant, device_changes * location_code as device_x_location,
+  day_of_week, (day_of_week >= 5)::int as is_weekend, (hour between 9 and 17 and day_of_week < 5)::int as is_business_hours from c left join r using (user_id)"""
+
+
+@query("production_features", PRODUCTION_SQL)
 def _(t: Tables) -> DataFrame:
+    """Codes of three columns, three products, calendar flags, and rates from other rows."""
     rows = t("v_txn")
-    coded = M.indexer(["location"]).fit(rows).transform(rows)
+    names = ["location", "merchant_category", "device_id"]
+    coded = M.indexer(names).fit(rows).transform(rows)
+    coded = coded.withColumns({f"{c}_code": F.col(f"{c}_code").cast("long") for c in names} | M.calendar(F.col("us")) | {"device_changes": F.col("transaction_id") % 4, "velocity_1h": F.col("transaction_id") % 9})
+    coded = M.interactions(coded, [("amount", "velocity_1h"), ("hour_of_day", "merchant_category_code"), ("device_changes", "location_code")])
     rates = rows.where("transaction_id % 5 <> 0").groupBy("user_id").agg(F.avg("is_fraud").alias("rate"))
-    hour = F.expr("(us % 86400000000) div 3600000000")
-    return coded.join(rates, "user_id", "left").select("transaction_id", F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("user_fraud_rate"), F.col("location_code").cast("long").alias("location_code"), F.round(F.col("amount") * hour, 4).alias("amount_x_hour"))
+    return coded.join(rates, "user_id", "left").select(
+        "transaction_id", F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("user_fraud_rate"), *(f"{c}_code" for c in names), F.round("amount_x_velocity_1h", 4).alias("amount_x_velocity"),
+        F.col("hour_of_day_x_merchant_category_code").alias("hour_x_merchant"), F.col("device_changes_x_location_code").alias("device_x_location"), "day_of_week", "is_weekend", "is_business_hours",
+    )
 
 
 def _rank_sql(score: str, tag: str) -> str:
-    return f"""g{tag} as (select round({score}, 6) as s, sum(label) as p, sum(1 - label) as n from v_scored group by 1),
+    return f"""g{tag} as (select {score} as s, sum(label) as p, sum(1 - label) as n from v_scored group by 1),
 r{tag} as (select *, coalesce(sum(p) over (order by s desc rows between unbounded preceding and 1 preceding), 0) as tp0, sum(p) over (order by s desc) as tp, sum(n) over (order by s desc) as fp, sum(p) over () as pp, sum(n) over () as nn from g{tag}),
 m{tag} as (select sum(n * tp0 + 0.5 * p * n) / max(pp * nn) as auc, sum(p / pp * (tp / (tp + fp))) as ap, arg_min(tp / (tp + fp), (abs(tp / pp - 0.5), s)) as half from r{tag}),
 b{tag} as (select avg(pow({score} - label, 2)) as brier, avg(-(label * ln(greatest(2.2e-16, least(1 - 2.2e-16, {score}))) + (1 - label) * ln(1 - greatest(2.2e-16, least(1 - 2.2e-16, {score}))))) as log_loss from v_scored)"""
@@ -312,28 +325,19 @@ def _(t: Tables) -> DataFrame:
     return M.ks_two_sample(base, new, ["amount", "value"]).select("feature", F.round("d", 6).alias("d"), F.round("p_value", 6).alias("p_value"))
 
 
-@query("quality_report", """with f as (from v_features), s as (select 5 as size, case when avg(is_fraud) between 0.01 and 0.15 then 15 else 8 end as balance, case when count(distinct case when is_fraud = 1 then fraud_scenario end) >= 5 then 15 else 8 end as variety,
-  ((avg(avg_transaction_amount) between 20 and 500 and quantile_cont(avg_transaction_amount, 0.5) between 10 and 300)::int + (avg(account_age_days) between 30 and 3650)::int + (avg(transaction_count) between 10 and 5000)::int + (min(fraud_score) >= 0 and max(fraud_score) <= 1)::int) * 20 / 4 as "values",
-  10 as scenarios, case when (corr(is_vpn, is_fraud) > 0.05)::int + (corr(is_high_risk_country, is_fraud) > 0.05)::int >= 2 then 15 else 8 end as correlations from f),
-m as (select 100.0 * (sum((us is null)::int) + sum((avg_transaction_amount is null)::int) + sum((transaction_count is null)::int) + sum((total_lifetime_value is null)::int) + sum((account_type is null)::int) + sum((device_id is null)::int) + sum((email_domain is null)::int)) / (count(*) * 16) as missing_pct from f)
-select cast("values" as double) as "values", cast(correlations as double) as correlations, round(missing_pct, 4) as missing_pct, cast(size + balance + variety + "values" + scenarios + correlations + 5 + case when missing_pct < 1 then 5 when missing_pct < 5 then 3 else 0 end as double) as total from s, m""")
-def _(t: Tables) -> DataFrame:
-    q = quality.quality_report(t("v_features"))
-    return q.select("values", "correlations", F.round("missing_pct", 4).alias("missing_pct"), "total")
+FEATURES = ["amt", "card1", "addr1", "dt"]
 
 
 def _train(t: Tables) -> DataFrame:
-    rows = t("v_card").where("card1 is not null and addr1 is not null")
-    return rows.select("transaction_id", F.col("is_fraud").cast("double").alias("label"), F.col("amt").cast("double").alias("amt"), F.col("card1").cast("double").alias("card1"), F.col("addr1").cast("double").alias("addr1"), (F.xxhash64("transaction_id") % 3 + 3).cast("int").alias("fold0")).withColumn("fold", F.pmod("fold0", F.lit(3)))
-
-
-FEATURES = ["amt", "card1", "addr1"]
+    """All rows, missing values filled as in missing_policy, in three stratified folds."""
+    rows = M.drop_and_fill(t("v_card").select("transaction_id", F.col("is_fraud").cast("double").alias("label"), *(F.col(c).cast("double").alias(c) for c in FEATURES)), [])
+    return tables.folds(rows, "transaction_id", "label", 3).withColumn("fold", F.col("fold").cast("int"))
 
 
 @query("gbt_scores")
 def _(t: Tables) -> DataFrame:
     rows = _train(t)
-    model = M.boosted_trees(FEATURES, maxIter=5, maxDepth=4).fit(rows.where("fold <> 0"))
+    model = M.boosted_trees(FEATURES, maxIter=20).fit(rows.where("fold <> 0"))
     return model.transform(rows.where("fold = 0")).withColumn("score", M.probability(rows)).select("transaction_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -346,17 +350,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("importances")
 def _(t: Tables) -> DataFrame:
-    return M.importances(M.boosted_trees(FEATURES, maxIter=5, maxDepth=4).fit(_train(t)), FEATURES, t.spark)
+    return M.importances(M.boosted_trees(FEATURES, maxIter=20).fit(_train(t)), FEATURES, t.spark)
 
 
 @query("cv_scores")
 def _(t: Tables) -> DataFrame:
-    return M.random_search(_train(t), FEATURES, {"maxDepth": [3], "maxIter": [3]}, 1, 3)
+    """metric, scores, mean, std and band over the folds."""
+    return M.cross_validated(_train(t), FEATURES, 3, maxIter=5, maxDepth=4)
 
 
 @query("random_search")
 def _(t: Tables) -> DataFrame:
-    return M.random_search(_train(t), FEATURES, {"maxDepth": [2, 3], "maxIter": [2, 3]}, 2, 3)
+    return M.random_search(_train(t), FEATURES, {"maxDepth": [2, 3, 4], "maxIter": [2, 4], "stepSize": [0.1, 0.3]}, 3, 3)
 
 
 @query("read_back", "select transaction_id, amount, is_fraud, merchant_category from v_txn")
@@ -370,17 +375,3 @@ def _(t: Tables) -> DataFrame:
     io.write_importances(io.read_features(t.spark, f"{root}/parquet", rows.schema), f"{root}/csv")
     io.append_labels(t.spark.read.schema(rows.schema).csv(f"{root}/csv", header=True), f"{root}/json")
     return t.spark.read.schema(rows.schema).json(f"{root}/json")
-
-
-@query("model_roundtrip")
-def _(t: Tables) -> DataFrame:
-    """A fitted pipeline written and read again scores alike; the scores of the one read."""
-    import uuid
-
-    from pyspark.ml import PipelineModel
-
-    rows = _train(t)
-    root = f"{io.shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
-    M.boosted_trees(FEATURES, maxIter=3, maxDepth=3).fit(rows).write().overwrite().save(root)
-    scored = PipelineModel.load(root).transform(rows)
-    return scored.select("transaction_id", F.round(M.probability(scored), 6).alias("score"))

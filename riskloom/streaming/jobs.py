@@ -3,13 +3,15 @@ transactions (transaction_id, user_id, ts timestamp, amount, ...)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.scalars import domain_last
 from ..operators import graph, lists, routing, rules
 from ..sources.io import shared_folder
 
@@ -17,6 +19,26 @@ HOUR, DAY = 3600.0, 86400.0
 TRAIL = "transaction_id bigint, user_id string, at double, count_1h bigint, count_24h bigint, amount_1h double, amount_24h double"
 
 
+def _trailing(pairs: list[tuple[float, float]], times: Iterable[float], span: float) -> tuple[list[int], list[float]]:
+    """For each of the ascending times t: the different times and the sum of the amounts of the
+    sorted pairs in (t - span, t]. Two ends move over the pairs, each pair comes and goes once."""
+    counts, sums = [], []
+    low = high = 0
+    n, total = 0, Fraction(0)
+    for t in times:
+        while high < len(pairs) and pairs[high][0] <= t:
+            n += high == 0 or pairs[high][0] != pairs[high - 1][0]
+            total += Fraction(pairs[high][1])
+            high += 1
+        while low < high and pairs[low][0] <= t - span:
+            n -= low + 1 == len(pairs) or pairs[low + 1][0] != pairs[low][0]
+            total -= Fraction(pairs[low][1])
+            low += 1
+        counts.append(n)
+        sums.append(round(float(total), 2))
+    return counts, sums
+
+
 class TrailingWindows(StatefulProcessor):
     """A user's last 24 hours: (time, amount) pairs. Rows of a micro-batch are taken in time
     order; a row sees what lies in (t - span, t]. Equal times count once, equal (amount to 4
@@ -30,21 +52,16 @@ class TrailingWindows(StatefulProcessor):
         new = pd.concat(rows).sort_values(["at", "transaction_id"])
         held = [(float(r[0]), float(r[1])) for r in self.seen.get()]
         pairs = sorted({*held, *((float(t), round(float(a), 4)) for t, a in zip(new["at"], new["amount"], strict=True))})
-        out = []
-        for r in new.itertuples():
-            row = {"transaction_id": r.transaction_id, "user_id": key[0], "at": r.at}
-            for name, span in (("1h", HOUR), ("24h", DAY)):
-                inside = [p for p in pairs if r.at - span < p[0] <= r.at]
-                row[f"count_{name}"] = len({p[0] for p in inside})
-                row[f"amount_{name}"] = round(sum(p[1] for p in inside), 2)
-            out.append(row)
+        out = new[["transaction_id"]].assign(user_id=key[0], at=new["at"].astype(float))
+        for name, span in (("1h", HOUR), ("24h", DAY)):
+            out[f"count_{name}"], out[f"amount_{name}"] = _trailing(pairs, out["at"], span)
         last = pairs[-1][0]
         kept = [p for p in pairs if p[0] > last - DAY]
         self.seen.put(kept)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.handle.registerTimer(int((last + DAY) * 1000))
-        yield pd.DataFrame(out)
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -67,9 +84,18 @@ def hopping_totals(txn: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def score_stream(txn: DataFrame, block: DataFrame, score: str = "fraud_score") -> DataFrame:
     """Screening, rules, score and route of each row: stateless, lists joined as static tables.
-    txn has the columns that the rules read."""
-    held = block.where("entity_type = 'device'").select(F.col("entity").alias("device_id"), F.lit(True).alias("_b")).distinct()
-    screened = txn.join(held, "device_id", "left").withColumn("blocked", F.coalesce("_b", F.lit(False))).drop("_b")
+    txn has the columns that the rules read; users, devices, addresses (if there is a column
+    ip_address) and e-mail domains are screened. block: entity_type, entity."""
+    domain = domain_last(F.coalesce("email", F.lit("")))
+    entities = {"user": F.col("user_id"), "device": F.col("device_id"), "email_domain": F.when(domain != "", domain).otherwise(F.lower("email_domain"))}
+    if "ip_address" in txn.columns:
+        entities["ip"] = F.col("ip_address")
+    screened = txn
+    for kind, entity in entities.items():
+        held = block.where(F.col("entity_type") == kind).select(F.col("entity").alias(f"_{kind}"), F.lit(kind).alias(f"_hit_{kind}")).distinct()
+        screened = screened.join(held, entity == F.col(f"_{kind}"), "left").drop(f"_{kind}")
+    hits = F.array_compact(F.array(*(F.col(f"_hit_{k}") for k in entities)))
+    screened = screened.withColumns({"blocked": F.size(hits) > 0, "blocked_by": hits}).drop(*(f"_hit_{k}" for k in entities))
     return routing.route(routing.fallback_score(rules.evaluate_rules(screened), score))
 
 
