@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import bpe_roundtrip
-from riskloom.llm.common import saved
+from riskloom.llm.common import dropped, saved
 from riskloom.llm.mixing import mixed
 from riskloom.llm.passages import substring_dedup
 from riskloom.llm.quality import cleaned
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, tidy, whole
 
 #: Pre-tokens above this many bytes are encoded but not remembered.
 CACHED_BYTES = 64
@@ -281,6 +281,7 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
                 parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
         own.forget()  # the worker lives on, other operators need its memory
+        tidy()
 
     return encoded(text)
 
@@ -297,6 +298,7 @@ def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             yield pa.array([own.bytes(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
+        tidy()
 
     return decoded(ids)
 

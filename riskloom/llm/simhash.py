@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, documents, saved, unboxed, whole
+from .common import boxed, documents, saved, tidy, unboxed, whole
 from .components import components
 
 #: Distinct fingerprints that a shard has on average.
@@ -55,8 +55,10 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.arrow_udf(T.LongType())
-def simhash(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+    tidy()
 
 
 class Tree:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _read
-from .common import documents, whole
+from .common import documents, tidy, whole
 
 SPACE = "▁"
 PIECE = regex.compile(r" *[^ \n]+| +|\n")
@@ -125,6 +125,7 @@ def token_count(docs: DataFrame, model_path: str, text: str = "text", sample_row
         own = _worker(shared, model_path, cached)
         for texts in batches:
             yield pa.array([own.of(t or "") for t in texts.to_pylist()], pa.int64())
+        tidy()
 
     return counted(whole(text))
 

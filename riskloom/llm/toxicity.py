@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, whole
+from .common import WORD, documents, tidy, whole
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_"
 TOKEN = re.compile(WORD)
@@ -259,6 +259,7 @@ def toxic_spans(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
                 [{"score": tagger.score(p), "expected": float(p.sum()), "spans": [{"start": a, "end": b} for a, b in spans(t, p)]} for t, p in zip(texts, tagger.documents(texts), strict=True)],
                 kind,
             )
+        tidy()
 
     return docs.withColumn("toxicity", tagged(whole(text)))
 
