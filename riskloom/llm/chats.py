@@ -6,8 +6,8 @@ hashes of the turns so far with their positions. A conversation whose whole hash
 of a proper prefix of a longer one goes, by an anti-join; of equal conversations the one with
 the smallest id stays. What is left is maximal and is rendered.
 
-Turns are ordered by turn, then role and text. Rows that repeat a turn count once. A NULL turn
-comes last, a NULL role is rendered as unknown, a NULL text as empty, and neither equals the
+Turns are ordered by turn, then role and text, NULL last in each. Rows that repeat a turn count
+once. A NULL role is rendered as unknown, a NULL text as empty, and neither equals the
 empty string in a comparison. Rows with a NULL conv_id are one conversation. An empty table
 gives no rows. Other columns do not matter. A conversation is one row once it is rendered;
 before that a long one is a run of small hashes.
@@ -25,9 +25,9 @@ def _hash(seed: int, *columns: Column) -> Column:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, k, a, b, n: the hash of the first k of n turns, for every k."""
-    slim = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), _hash(1, F.col("role"), F.col("text")).alias("x"), _hash(2, F.col("text"), F.col("role")).alias("y"))
-    once = slim.repartition("conv_id").dropDuplicates(["conv_id", "turn", "x", "y"])
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "x", "y")
+    slim = turns.select("conv_id", "turn", "role", "text", _hash(1, F.col("role"), F.col("text")).alias("x"), _hash(2, F.col("text"), F.col("role")).alias("y"))
+    once = slim.repartition("conv_id").dropDuplicates(["conv_id", "turn", "role", "text"])
+    order = Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_last() for c in ("turn", "role", "text")))
     placed = once.withColumn("k", F.row_number().over(order))
     upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rolled = lambda c: F.bit_xor(F.xxhash64("k", c)).over(upto)
@@ -47,7 +47,7 @@ def rendered(turns: DataFrame, head: str = "<|{role}|>\n", tail: str = "<|end|>\
     before, after = head.split("{role}")
     kept = maximal(turns).withColumn("_c", F.col("conv_id"))
     line = F.concat(F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(after), F.coalesce("text", F.lit("")), F.lit("\n" + tail))
-    order = F.struct(F.col("turn").isNull(), "turn", F.coalesce("role", F.lit("")).alias("role"), _hash(1, F.col("role"), F.col("text")).alias("x"), _hash(2, F.col("text"), F.col("role")).alias("y"), line.alias("line"))
+    order = F.struct(*(x.alias(f"{c}{k}") for c in ("turn", "role", "text") for k, x in enumerate((F.col(c).isNull(), F.col(c)))), line.alias("line"))
     texts = turns.join(kept.select("_c"), turns["conv_id"].eqNullSafe(F.col("_c")), "left_semi").groupBy("conv_id").agg(F.sort_array(F.collect_set(order)).alias("turns"))
     made = texts.select(F.col("conv_id").alias("_c"), F.array_join(F.transform("turns", lambda t: t["line"]), "").alias("rendered"))
     return kept.drop("_c").join(made, kept["conv_id"].eqNullSafe(made["_c"])).drop("_c")
