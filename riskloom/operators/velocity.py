@@ -12,15 +12,13 @@ DAY = 24 * HOUR
 
 def trailing(df: DataFrame, spans: dict[str, int], user: str = "user_id", at: str = "us") -> DataFrame:
     """df with count_<span> and amount_<span>: what lies in (t - span, t]. Equal times count
-    once; equal (amount to 4 places, time) are summed once."""
-    by_time = Window.partitionBy(user).orderBy(at)
-    same = Window.partitionBy(user, at)
-    marked = df.withColumns(
-        {
-            "_once": F.when(F.row_number().over(same.orderBy("transaction_id")) == 1, 1).otherwise(0),
-            "_part": F.when(F.row_number().over(Window.partitionBy(user, at, F.round("amount", 4)).orderBy("transaction_id")) == 1, F.round("amount", 4)).otherwise(0.0),
-        }
-    )
+    once; equal (amount to 4 places, time) are summed once. Rows are dealt out by user first,
+    which serves the windows over equal rows as well."""
+    rows = df.withColumn("_part", F.round("amount", 4)).repartition(user)
+    by_time, same = Window.partitionBy(user).orderBy(at), Window.partitionBy(user, at).orderBy("_part", "transaction_id")
+    first = F.row_number().over(same) == 1
+    again = F.lag("_part").over(same).eqNullSafe(F.col("_part")) & ~first
+    marked = rows.withColumns({"_once": first.cast("int"), "_part": F.when(again, 0.0).otherwise(F.col("_part"))})
     out = {}
     for name, span in spans.items():
         frame = by_time.rangeBetween(-span + 1, 0)

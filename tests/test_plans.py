@@ -24,6 +24,11 @@ def test_one_exchange_for_the_velocity_block(spark, sf_dir):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+def test_one_exchange_for_trailing_windows(spark, sf_dir):
+    text = plan(velocity.trailing(Tables(spark, sf_dir)("v_txn"), {"1h": velocity.HOUR, "24h": velocity.DAY}))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+
+
 def test_columns_reach_the_scan(spark, sf_dir):
     text = plan(catalog.QUERIES["filter_eval"](spark, sf_dir))
     assert "o_orderpriority" not in text.split("ReadSchema")[-1]
