@@ -18,12 +18,17 @@ A paragraph with a copy counts as a repeat where it stands in a run of such para
 min_run words or more; short lines that many documents share are left alone. Of each
 cluster the first occurrence, by id and place, stays; all others are removals.
 
-Equal passages of passage words or more are found wherever they begin and end, also inside
-sentences: hashes of seed words, one chosen by content in each stretch of passage words,
-show where a text can have such a copy (winnowing: no equal passage goes without one). There
-all stretches of passage words are compared by a rolling hash, and those that stand in an
-earlier place are removals, joined where they overlap: a passage ends at the exact word. Such
-rows have no paragraph number.
+Equal passages of passage words or more that different texts share are found wherever they
+begin and end, also inside sentences: hashes of seed words, one chosen by content in each
+stretch of passage words, show where a text can have such a copy (winnowing: no equal passage
+goes without one). There the stretches of passage words are compared by a rolling hash, and
+those that stand in an earlier document are removals, joined where they overlap: a passage
+ends at the exact word. Such rows have no paragraph number. Of exact copies of a text only
+the first takes part, the others are repeated paragraphs already. Passages that a text itself
+repeats are found the same way inside it; all but the first go.
+
+Both searches read the texts once to cut them, and then once more only the documents that
+hold something to verify, which go out with the list of what is asked of them.
 
 Rows with a NULL id and NULL or empty texts have no paragraphs and stay as they are. A row
 is known by its id and its text: repeated rows are one document and do not remove each
@@ -34,22 +39,20 @@ known by 64-bit hashes of their lower-case words, shingles by 64-bit hashes.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, boxed, documents, dropped, saved, unboxed, where_last
+from .common import WORD, boxed, documents, dropped, saved, tidy, unboxed, where_last
 from .components import components
 
-STOP = re.compile(r"[.!?…][\"'”’»)\]]*(?=[\x20\x09-\x0D]|$)|\n")
-TOKEN = re.compile(WORD)
+#: Marks that end a sentence, and marks that may follow them.
+STOPS, CLOSERS = ".!?…", "\"'”’»)]"
 #: Rows of a table of two numbers, and of the table of clusters, that may be broadcast.
 SMALL, SMALL_CLUSTERS = 1_000_000, 200_000
 #: Buckets of up to this many different paragraphs are compared pair by pair.
@@ -78,62 +81,120 @@ class Rules:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold))
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for m in STOP.finditer(text):
-        yield at, m.end()
-        at = m.end()
-    yield at, len(text)
-
-
-def paragraphs(text: str, rules: Rules) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words) of the paragraphs of a text; together they hold all its words."""
-    out: list[tuple[int, int, list[bytes]]] = []
-    start, held = 0, []
-    for a, b in sentences(text):
-        words = text[a:b].lower().encode().split()
-        if not words:
-            continue
-        if len(words) > rules.long_words:
-            if held:
-                out.append((start, a, held))
-                held = []
-            first, part = a, []
-            for m in TOKEN.finditer(text, a, b):
-                w = m.group().lower().encode()
-                part.append(w)
-                if len(part) >= rules.min_words and not xxhash.xxh32_intdigest(w) & 15:
-                    out.append((first, m.end(), part))
-                    first, part = m.end(), []
-            if part:
-                start, held = first, part
-            if len(held) >= rules.min_words:
-                out.append((start, b, held))
-                held = []
-            continue
-        if not held:
-            start = a
-        held = held + words if held else words
-        if len(held) >= rules.min_words:
-            out.append((start, b, held))
-            held = []
-    if held:
-        out.append((start, len(text), held))
-    return out
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(paras: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+#: Any odd number; powers of it and of its inverse are kept for texts of usual length.
+BASE = 0x9E3779B97F4A7C15
+USUAL = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
+
+
+POWERS, BACK = _powers(BASE, USUAL), _powers(pow(BASE, -1, 1 << 64), USUAL)
+
+
+def run_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each run of values; the runs, none empty, are laid end to end."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    inside = np.arange(len(values)) - np.repeat(starts, sizes)
+    most = int(sizes.max())
+    power = POWERS if most <= USUAL else _powers(BASE, most)
+    return _mix(np.add.reduceat((values + np.uint64(1)) * power[inside], starts) + sizes.astype(np.uint64))
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, from the hashes of words."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    power, back = (POWERS, BACK) if n <= USUAL else (_powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
+    return _mix((sums[k:] - sums[:-k]) * back[: n - k + 1])
+
+
+def _ranges(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a text, and where its words start and end."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = np.ones(len(points) + 2, np.int8)
+    space[1:-1] = (points == 32) | ((points >= 9) & (points <= 13))
+    edge = np.diff(space)
+    return points, np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
+@dataclass
+class Cut:
+    """A text in words and paragraphs."""
+
+    start: np.ndarray  # the words' characters
+    end: np.ndarray
+    word: np.ndarray  # hashes of the lower-case words
+    bound: np.ndarray  # words before each paragraph, and all words
+
+    @classmethod
+    def of(cls, text: str, rules: Rules) -> Cut:
+        points, start, end = _ranges(text)
+        lower = text.lower()
+        low, a, b = (points, start, end) if lower == text else _ranges(lower)
+        sizes = b - a
+        inside = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        word = run_hashes(low[inside].astype(np.uint64), sizes)
+        return cls(start, end, word, _bounds(points, start, end, word, rules))
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bound)
+
+
+def _sentence_ends(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of words up to the end of each sentence."""
+    last = end - 1
+    while (closing := np.isin(points[last], CLOSE_POINTS) & (last > start)).any():
+        last = last - closing
+    lines = np.concatenate([[0], np.cumsum(points == 10)])
+    after = np.append(start[1:], len(points))
+    ends = np.isin(points[last], STOP_POINTS) | (lines[after] > lines[end])
+    ends[-1] = True
+    return np.flatnonzero(ends) + 1
+
+
+STOP_POINTS, CLOSE_POINTS = (np.array([ord(c) for c in marks], np.uint32) for marks in (STOPS, CLOSERS))
+
+
+def _bounds(points: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, rules: Rules) -> np.ndarray:
+    n = len(word)
+    if not n:
+        return np.zeros(1, np.int64)
+    out, held, before, marks = [0], 0, 0, None
+    for at in _sentence_ends(points, start, end).tolist():
+        if at - before > rules.long_words:
+            if held < before:
+                out.append(before)
+                held = before
+            if marks is None:
+                marks = np.flatnonzero(word & np.uint64(15) == 0) + 1
+            for mark in marks[np.searchsorted(marks, before + 1) : np.searchsorted(marks, at, "right")].tolist():
+                if mark - held >= rules.min_words:
+                    out.append(mark)
+                    held = mark
+        if at - held >= rules.min_words:
+            out.append(at)
+            held = at
+        before = at
+    if held < n:
+        out.append(n)
+    return np.array(out)
+
+
+def shingle_hashes(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of paragraphs laid end to end (a shorter paragraph is
     one shingle), and the number of each paragraph's."""
-    sizes = np.fromiter(map(len, paras), np.int64, len(paras))
-    digest = xxhash.xxh64_intdigest
-    words = np.fromiter((digest(w) for p in paras for w in p), np.uint64, int(sizes.sum()))
     counts = np.maximum(sizes - k + 1, 1)
     starts = np.cumsum(sizes) - sizes
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -141,7 +202,7 @@ def shingle_hashes(paras: list[list[bytes]], k: int) -> tuple[np.ndarray, np.nda
     h = np.zeros(len(at), np.uint64)
     for i in range(k):
         inside = at + i < ends
-        h = np.where(inside, _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(at + i, len(words) - 1)] + np.uint64(i + 1)), h)
+        h = np.where(inside, _mix(h * np.uint64(BASE) + words[np.minimum(at + i, len(words) - 1)] + np.uint64(i + 1)), h)
     return h, counts
 
 
@@ -151,19 +212,62 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
     return np.stack([_mix(np.minimum.reduceat(_mix(hashes ^ np.uint64(7919 * (b + 1) << 32)), starts) + np.uint64(b)) for b in range(bands)])
 
 
-def _pids(paras: list[list[bytes]]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(b" ".join(p)) for p in paras], np.uint64).view(np.int64)
+def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
+    """The least of each span neighbours."""
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def seeds(words: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places and hashes of the seeds: of the runs of seed words inside each stretch of
+    passage words, that of the smallest hash. Of equal seeds of a text the first; and whether
+    there are any."""
+    h = gram_hashes(words, rules.seed)
+    span = rules.passage - rules.seed + 1
+    if len(h) < span:
+        return np.zeros(0, np.int64), h[:0], False
+    least = np.pad(_sliding_min(h, span), span - 1)  # 0: no stretch
+    most = ~_sliding_min(~least, span)  # of the stretches that hold a run
+    at = np.flatnonzero(most == h)
+    found, first = np.unique(h[at], return_index=True)
+    return at[first], found, len(found) < len(at)
+
+
+def own_repeats(cut: Cut, k: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """(first, last, words, gram, times, removed) of the passages of k words or more that a
+    text repeats. A repeat that overlaps its own first occurrence leaves that whole."""
+    h = gram_hashes(cut.word, k)
+    _, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    kept, n = first[number], times[number]
+    out = []
+    for removed in (False, True):
+        at = np.flatnonzero((n > 1) & ((np.arange(len(h)) > kept) == removed))
+        if not len(at):
+            continue
+        start = np.maximum(at, kept[at] + k) if removed else at
+        at, start = at[start < at + k], start[start < at + k]
+        apart = np.append(True, start[1:] > at[:-1] + k - 1)
+        lead = np.flatnonzero(apart)
+        tail = np.append(lead[1:], len(at)) - 1
+        most = np.maximum.reduceat(n[at], lead)
+        gram = h[at[lead]].view(np.int64)
+        out += [(int(cut.start[a]), int(cut.end[b + k - 1]), int(b + k - a), int(g), int(m), removed) for a, b, g, m in zip(start[lead], at[tail], gram, most, strict=True)]
+    return out
 
 
-def _cut(batch: pa.RecordBatch, rules: Rules) -> Iterator[tuple[np.ndarray, list[list[tuple[int, int, list[bytes]]]]]]:
-    """Rows of a batch and their paragraphs, about HELD at a time."""
+def _parts(batch: pa.RecordBatch, rules: Rules) -> Iterator[tuple[np.ndarray, list[Cut]]]:
+    """Rows of a batch that hold words, cut; about HELD paragraphs at a time."""
     rows, held, n = [], [], 0
     for k, text in enumerate(batch.column("text").to_pylist()):
-        found = paragraphs(text, rules) if text else []
-        if found:
-            rows.append(k)
-            held.append(found)
-            n += len(found)
+        if not text or not len((cut := Cut.of(text, rules)).word):
+            continue
+        rows.append(k)
+        held.append(cut)
+        n += len(cut.bound)
         if n > HELD:
             yield np.array(rows), held
             rows, held, n = [], [], 0
@@ -171,60 +275,125 @@ def _cut(batch: pa.RecordBatch, rules: Rules) -> Iterator[tuple[np.ndarray, list
         yield np.array(rows), held
 
 
-PARAGRAPHS = "id long, th long, no int, first int, last int, n_words int, pid long, keys array<long>"
+def _table(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    """A batch of a schema; columns that are not given are NULL."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _as(values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
+PIECES = "th long, no int, first int, last int, n_words int, pid long, keys array<long>, at int, seed long, gram long, times int, removed boolean"
+VERIFIED = "th long, pid long, shingles array<long>, at int, first int, last int, gram long"
 
 
-def cut_paragraphs(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs: id, th, text. A row for each paragraph."""
+def _typed(docs: DataFrame, columns: str) -> str:
+    return f"id {docs.schema['id'].dataType.simpleString()}, {columns}"
+
+
+def cut_pieces(docs: DataFrame, rules: Rules) -> DataFrame:
+    """docs: id, th, text. A row for each paragraph (with pid), for each seed (with seed) and
+    for each passage that a text itself repeats (with times)."""
+    kind = _typed(docs, PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
         for batch in batches:
-            for rows, held in _cut(batch, rules):
-                each = np.fromiter(map(len, held), np.int64, len(held))
-                flat = [p for doc in held for p in doc]
-                words = [p[2] for p in flat]
-                keys = band_keys(*shingle_hashes(words, rules.shingle), rules.bands).T.reshape(-1).view(np.int64)
+            schema = schema or pa.schema([batch.schema.field("id"), *(pa.field(f.split()[0], _arrow_type(f.split()[1])) for f in PIECES.split(", "))])
+            for rows, cuts in _parts(batch, rules):
+                each = np.array([len(c.bound) - 1 for c in cuts])
+                sizes = np.concatenate([c.sizes() for c in cuts])
+                words = np.concatenate([c.word for c in cuts])
+                keys = band_keys(*shingle_hashes(words, sizes, rules.shingle), rules.bands).T.reshape(-1).view(np.int64)
                 back = pa.array(np.repeat(rows, each))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(back),
-                        batch.column("th").take(back),
-                        pa.array(np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each), pa.int32()),
-                        pa.array([p[0] for p in flat], pa.int32()),
-                        pa.array([p[1] for p in flat], pa.int32()),
-                        pa.array([len(p[2]) for p in flat], pa.int32()),
-                        pa.array(_pids(words)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * rules.bands, pa.int32()), pa.array(keys)),
-                    ],
-                    names=[f.split()[0] for f in PARAGRAPHS.split(", ")],
+                yield _table(
+                    schema,
+                    {
+                        "id": batch.column("id").take(back),
+                        "th": batch.column("th").take(back),
+                        "no": np.arange(len(sizes)) - np.repeat(np.cumsum(each) - each, each),
+                        "first": np.concatenate([np.append(0, c.end[c.bound[1:-1] - 1]) for c in cuts]),
+                        "last": np.concatenate([c.end[c.bound[1:] - 1] for c in cuts]),
+                        "n_words": sizes,
+                        "pid": run_hashes(words, sizes).view(np.int64),
+                        "keys": _lists(keys, np.full(len(sizes), rules.bands)),
+                    },
                 )
+                found = [seeds(c.word, rules) for c in cuts]
+                back = pa.array(np.repeat(rows, [len(x[0]) for x in found]))
+                yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": np.concatenate([x[0] for x in found]), "seed": np.concatenate([x[1] for x in found]).view(np.int64)})
+                own = [(row, *x) for row, c, f in zip(rows.tolist(), cuts, found, strict=True) if f[2] for x in own_repeats(c, rules.passage)]
+                if own:
+                    back, *columns = (pa.array(x) for x in zip(*own, strict=True))
+                    yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back)} | dict(zip(("first", "last", "n_words", "gram", "times", "removed"), columns, strict=True)))
+        tidy()
+
+    return docs.mapInArrow(cut, kind)
+
+
+def _arrow_type(name: str) -> pa.DataType:
+    return {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[name]
 
-    return docs.mapInArrow(cut, PARAGRAPHS)
 
+def placed(paras: DataFrame, members: DataFrame) -> DataFrame:
+    """pid, n, at and until (the first and the last place) and near (it shares a bucket) of
+    the paragraphs that stand in several places or share a bucket with others."""
+    place = F.struct("id", "th", "no")
+    near = members.select("pid").distinct().withColumn("near", F.lit(True))
+    met = paras.groupBy("pid").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max(place).alias("until"))
+    return saved(met.join(near, "pid", "left").where("near or at <> until"), "para-places")
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
-    """pid, shingles (sorted distinct hashes) of the paragraphs in wanted (pid, distinct)."""
-    few = wanted.count() <= SMALL
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def asked(places: DataFrame, found: DataFrame) -> DataFrame:
+    """id, th, nos and spots: the paragraphs that share a bucket (the first place of each) and
+    the seeds that other texts share, which the second reading of a document looks at."""
+    nos = places.where("near").select("at.id", "at.th", "at.no", F.lit(None).cast("int").alias("at"))
+    again = saved(found.groupBy("seed").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("seed"), "passage-seeds")
+    met = found.join(F.broadcast(again) if again.count() <= SMALL else again, "seed")
+    spots = met.groupBy("th", "at").agg(F.min("id").alias("id")).select("id", "th", F.lit(None).cast("int").alias("no"), "at")
+    return nos.unionAll(spots).groupBy("id", "th").agg(F.collect_list("no").alias("nos"), F.collect_list("at").alias("spots"))
+
+
+def verified(docs: DataFrame, asks: DataFrame, rules: Rules) -> DataFrame:
+    """Shingles (sorted distinct hashes) of the paragraphs that are asked for, and the hashes of
+    all stretches of passage words around the seeds, the first of equal ones."""
+    kind = _typed(docs, VERIFIED)
+    k = rules.passage
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
         for batch in batches:
-            for _, docs_held in _cut(batch, rules):
-                words = [p[2] for doc in docs_held for p in doc]
-                pids = _pids(words)
-                pids, at = np.unique(pids, return_index=True)
-                if held.value is not None:
-                    keys = held.value
-                    hit = keys[np.minimum(np.searchsorted(keys, pids), len(keys) - 1)] == pids if len(keys) else np.zeros(len(pids), bool)
-                    pids, at = pids[hit], at[hit]
-                if not len(pids):
-                    continue
-                h, counts = shingle_hashes([words[k] for k in at], rules.shingle)
-                sets = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(pids), pa.array(sets, pa.list_(pa.int64()))], ["pid", "shingles"])
-
-    sets = docs.mapInArrow(collect, "pid long, shingles array<long>")
-    return (sets if few else sets.join(wanted, "pid", "left_semi")).dropDuplicates(["pid"])
+            schema = schema or pa.schema([batch.schema.field("id"), *(pa.field(f.split()[0], _arrow_type(f.split()[1])) for f in VERIFIED.split(", "))])
+            nos, spots = (batch.column(c).to_pylist() for c in ("nos", "spots"))
+            for rows, cuts in _parts(batch, rules):
+                picked = [np.sort(np.array(nos[row], np.int64)) for row in rows]
+                sizes = np.concatenate([c.sizes()[p] for c, p in zip(cuts, picked, strict=True)])
+                if len(sizes):
+                    words = np.concatenate([c.word[c.bound[p] : c.bound[p + 1]] for c, ps in zip(cuts, picked, strict=True) for p in ps.tolist()])
+                    h, counts = shingle_hashes(words, sizes, rules.shingle)
+                    owner = np.repeat(np.arange(len(sizes)), counts)
+                    order = np.lexsort((h.view(np.int64), owner))
+                    h, owner = h[order], owner[order]
+                    fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+                    yield _table(schema, {"pid": run_hashes(words, sizes).view(np.int64), "shingles": _lists(h[fresh].view(np.int64), np.bincount(owner[fresh], minlength=len(sizes)))})
+                for row, cut in zip(rows.tolist(), cuts, strict=True):
+                    if not spots[row]:
+                        continue
+                    h = gram_hashes(cut.word, k)
+                    at = np.unique(np.array(spots[row])[:, None] - np.arange(k - rules.seed + 1))
+                    at = at[(at >= 0) & (at < len(h))]
+                    at = np.sort(at[np.unique(h[at], return_index=True)[1]])
+                    back = pa.array(np.full(len(at), row))
+                    yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": at, "first": cut.start[at], "last": cut.end[at + k - 1], "gram": h[at].view(np.int64)})
+        tidy()
+
+    return docs.join(asks, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "nos", "spots").mapInArrow(read, kind)
 
 
 def _spanning(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,14 +465,19 @@ def large_links(large: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     return placed.where("ring = 0 and lead <> pid").select(F.col("lead").alias("a"), F.col("pid").alias("b")).unionAll(found)
 
 
-def near_links(docs: DataFrame, paras: DataFrame, rules: Rules) -> DataFrame:
-    """a, b: links between the hashes of different paragraphs; they connect all pairs that
-    share a bucket and are similar enough."""
+def bucketed(paras: DataFrame) -> DataFrame:
+    """key, pid: the buckets that hold different paragraphs."""
     keyed = paras.select(F.explode("keys").alias("key"), "pid")
     shared = saved(keyed.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("most")).where("lead < most").select("key"), "para-buckets")
     few = shared.count() <= SMALL
     members = saved(keyed.join(F.broadcast(shared) if few else shared, "key").distinct(), "para-members")
-    sets = saved(shingle_sets(docs, members.select("pid").distinct(), rules), "para-sets")
+    dropped(shared)
+    return members
+
+
+def near_links(members: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """a, b: links between the hashes of different paragraphs; they connect all pairs that
+    share a bucket and are similar enough."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("pid").alias("lead")).where("n > 1")
     placed = members.join(sizes, "key")
     little, large = placed.where(F.col("n") <= PAIRED).select("key", "pid"), placed.where(F.col("n") > PAIRED)
@@ -314,82 +488,19 @@ def near_links(docs: DataFrame, paras: DataFrame, rules: Rules) -> DataFrame:
     return saved(good.unionAll(large_links(large.select("key", "pid", "lead"), sets, rules)), "para-links")
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words, from the hashes of words."""
-    if len(words) < k:
-        return np.zeros(0, np.uint64)
-    power = np.cumprod(np.full(len(words), 0x9E3779B97F4A7C15, np.uint64))
-    back = np.cumprod(np.full(len(words), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words) * power)])
-    return _mix((sums[k:] - sums[:-k]) * back[: len(words) - k + 1])
-
-
-def seeds(words: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds: of the runs of seed words inside each stretch of
-    passage words, the one of the smallest hash."""
-    h = gram_hashes(words, rules.seed)
-    span = rules.passage - rules.seed + 1
-    if len(h) < span:
-        return np.zeros(0, int), h[:0]
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, span).argmin(1) + np.arange(len(h) - span + 1))
-    return at, h[at]
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-
-
-def equal_passages(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs: id, th, text. Passages of at least rules.passage words that stand in several
-    places, in the columns of repeats()."""
-    k = rules.passage
-
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, places, hashes = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, np.uint64)]
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                at, h = seeds(_word_hashes(TOKEN.findall(text.lower())), rules)
-                rows.append(np.full(len(at), row))
-                places.append(at)
-                hashes.append(h)
-            back = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(back), batch.column("th").take(back), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "th", "at", "seed"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, (text, spots) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True)):
-                found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-                h = gram_hashes(_word_hashes([text[a:b].lower() for a, b in found]), k)
-                at = np.unique(np.array(spots)[:, None] - np.arange(k - rules.seed + 1))
-                at = at[(at >= 0) & (at < len(h))]
-                ends = np.array(found)
-                back = pa.array(np.full(len(at), row))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(back), batch.column("th").take(back), pa.array(at, pa.int32()), pa.array(ends[at, 0], pa.int32()), pa.array(ends[at + k - 1, 1], pa.int32()), pa.array(h[at].view(np.int64))],
-                    ["id", "th", "at", "first", "last", "gram"],
-                )
-
-    place = F.struct("id", "th", "at")
-    found = saved(docs.mapInArrow(seeded, "id long, th long, at int, seed long"), "passage-seeds")
-    again = found.groupBy("seed").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("seed")
-    spots = found.join(again, "seed").groupBy("id", "th").agg(F.collect_set("at").alias("spots"))
-    near = docs.dropDuplicates(["id", "th"]).join(spots, ["id", "th"])
-    grams = saved(near.select("id", "th", "text", "spots").mapInArrow(windows, "id long, th long, at int, first int, last int, gram long"), "passage-windows")
-    dropped(found)
-    place = F.struct("id", "th", "at", "last")
-    total = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("kept"), F.max(place).alias("until")).where("kept <> until").drop("until")
-    met = grams.join(total, "gram").withColumn("removed", place != F.col("kept"))
-    # A repeat that overlaps its own first occurrence leaves that whole.
-    own = F.col("removed") & (F.col("kept.id") == F.col("id")) & (F.col("kept.th") == F.col("th"))
-    start = F.when(own, F.greatest("at", F.col("kept.at") + k)).otherwise(F.col("at"))
-    met = met.withColumns({"start": start, "first": F.when(own, F.greatest("first", "kept.last")).otherwise(F.col("first"))}).where("first < last")
+def equal_passages(grams: DataFrame, rules: Rules) -> DataFrame:
+    """grams: id, th, at, first, last, gram, no gram twice in a text. The passages of at least
+    rules.passage words that stand in several texts."""
+    doc = F.struct("id", "th")
+    total = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(doc).alias("kept"), F.max(doc).alias("until")).where("kept <> until").drop("until")
+    met = grams.join(total, "gram").withColumn("removed", doc != F.col("kept"))
     by_place = Window.partitionBy("id", "th", "removed").orderBy("at")
     apart = (F.col("first") > F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
     joined = met.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("part", F.sum("apart").over(by_place))
     return joined.groupBy("id", "th", "removed", "part").agg(
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        (F.max("at") + k - F.min("start")).cast("int").alias("n_words"),
+        (F.max("at") + rules.passage - F.min("at")).cast("int").alias("n_words"),
         F.min_by("gram", "at").alias("cluster"),
         F.max("n").alias("cluster_size"),
         F.min_by("kept.id", "at").alias("first_id"),
@@ -400,53 +511,69 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     """A row for each repeated paragraph: id, th (hash of the text), no, first and last (its
     characters), n_words, cluster, cluster_size, first_id and removed. Then the equal
     passages, with a NULL no."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
-    paras = saved(cut_paragraphs(rows, rules), "paragraphs")
-    links = near_links(rows, paras, rules)
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
+    pieces = saved(cut_pieces(rows, rules), "pieces")
+    paras, found = pieces.where("pid is not null").select("id", "th", "no", "first", "last", "n_words", "pid", "keys"), pieces.where("seed is not null").select("id", "th", "at", "seed")
+    members = bucketed(paras)
+    places = placed(paras, members)
+    second = saved(verified(rows, asked(places, found), rules), "verified")
+    sets, grams = second.where("pid is not null").select("pid", "shingles"), second.where("gram is not null").select("id", "th", "at", "first", "last", "gram")
+    links = near_links(members, sets, rules)
+    dropped(members)
     reached = components(links, label="para-links")
     roots = reached.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     named = saved(reached.unionAll(roots), "para-components").select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
-    where = F.struct("id", "th", "no")
-    met = paras.groupBy("pid").agg(F.count("*").alias("n"), F.min(where).alias("at"), F.max(where).alias("until"))
-    met = met.join(named, "pid", "left").where("at <> until or cluster is not null")
-    met = saved(met.select("pid", "n", "at", "until", F.coalesce("cluster", "pid").alias("cluster")), "para-repeated")
+    dropped(links)
+    met = places.join(named, "pid", "left").where("at <> until or cluster is not null").select("pid", "n", "at", "until", F.coalesce("cluster", "pid").alias("cluster"))
     total = met.groupBy("cluster").agg(F.sum("n").alias("cluster_size"), F.min("at").alias("kept"), F.max("until").alias("until")).where("kept <> until")
     held = saved(met.select("pid", "cluster").join(total.drop("until"), "cluster"), "para-clusters")
+    dropped(places)
     n = held.count()
     met = paras.drop("keys")
     if SMALL_CLUSTERS < n <= SMALL:  # too many to broadcast whole: first leave out what has no copy
         met = met.join(F.broadcast(held.select("pid")), "pid", "left_semi")
-    found = met.join(F.broadcast(held) if n <= SMALL_CLUSTERS else held, "pid").distinct()
+    each = met.join(F.broadcast(held) if n <= SMALL_CLUSTERS else held, "pid").distinct()
     by_place = Window.partitionBy("id", "th").orderBy("no")
-    runs = found.withColumn("run", F.col("no") - F.row_number().over(by_place))
+    runs = each.withColumn("run", F.col("no") - F.row_number().over(by_place))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "th", "run"))).where(F.col("run_words") >= rules.min_run)
-    named = runs.select(
-        F.col("id").alias(id), "th", "no", "first", "last", "n_words", "cluster", "cluster_size", F.col("kept.id").alias("first_id"), (where != F.col("kept")).alias("removed")
+    removed = F.struct("id", "th", "no") != F.col("kept")
+    of_paragraphs = runs.select(
+        F.col("id").alias(id), "th", "no", "first", "last", "n_words", "cluster", "cluster_size", F.col("kept.id").alias("first_id"), removed.alias("removed")
     )
-    equal = equal_passages(rows, rules).select(F.col("id").alias(id), "th", F.lit(None).cast("int").alias("no"), *named.columns[3:])
-    return named.unionAll(equal)
+    own = pieces.where("times is not null").select(
+        F.col("id").alias(id), "th", F.lit(None).cast("int").alias("no"), "first", "last", "n_words", F.col("gram").alias("cluster"), F.col("times").cast("long").alias("cluster_size"), F.col("id").alias("first_id"), "removed"
+    )
+    first = saved(of_paragraphs.unionAll(own.distinct()), "repeated-paragraphs")
+    dropped(pieces)
+    dropped(held)
+    equal = equal_passages(grams, rules).withColumn("no", F.lit(None).cast("int")).withColumnRenamed("id", id)
+    then = saved(equal.select(*first.columns), "repeated-passages")
+    dropped(second)
+    return first.unionAll(then)
 
 
 @F.arrow_udf(T.StringType())
-def without(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Texts without the given character ranges, which are in order and may overlap."""
-    out = []
-    for text, cuts in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
-        if cuts and text is not None:
-            parts, at = [], 0
-            for c in cuts:
-                parts.append(text[at : c["first"]])
-                at = max(at, c["last"])
-            text = "".join([*parts, text[at:]]).strip(" \t\n\r\x0b\x0c")
-        out.append(text)
-    return pa.array(out, pa.string())
+    for texts, ranges in batches:
+        out = []
+        for text, cuts in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            if cuts and text is not None:
+                parts, at = [], 0
+                for c in cuts:
+                    parts.append(text[at : c["first"]])
+                    at = max(at, c["last"])
+                text = "".join([*parts, text[at:]]).strip(" \t\n\r\x0b\x0c")
+            out.append(text)
+        yield pa.array(out, pa.string())
+    tidy()
 
 
 def substring_dedup(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without their repeated paragraphs. A document that has no word left is dropped."""
     gone = repeats(docs, rules, id, text).where("removed").groupBy(F.col(id).alias("_i"), F.col("th").alias("_t"))
     cuts = gone.agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_cuts"))
-    keyed = boxed(docs, F.col(id).cast("long").alias("_i"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    keyed = boxed(docs, F.col(id).alias("_i"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
     cut = keyed.join(cuts, ["_i", "_t"], "left").withColumn("_left", F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(without(F.col("_text"), F.col("_cuts"))))
     cut = where_last(cut, F.col("_cuts").isNull() | F.col("_left").rlike(WORD))
     return unboxed(cut, docs, **{text: F.col("_left"), "n_chars": F.length("_left")})

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -305,6 +306,30 @@ def test_permutation_is_one(spark):
 
 
 # Operator 9.
+def test_ranges_of_clustered_ids(spark, monkeypatch):
+    ids = [*range(2000), 10**12, None]
+    df = docs_of(spark, [(k, f"text {k}", "en", "a") for k in ids]).select("doc_id", "text")
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    for most in (1024, 8):
+        monkeypatch.setattr(fingerprints, "QUANTILES", most)
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.range) for r in rows(fingerprints.ranges(df, "doc_id")))
+        assert [x[1] for x in got] == sorted(x[1] for x in got) and max(Counter(x[1] for x in got[:2000]).values()) <= 60
+        texts = {r.doc_id: r.next_text for r in rows(fingerprints.followed(df))}
+        assert all(texts[a] == f"text {b}" for a, b in zip(ids, [*ids[1:], 0], strict=True))
+
+
+def test_peeling_recovers_digests(spark):
+    held = {k: (set(range(100 * k, 100 * k + 30)), set(range(100 * k + 4, 100 * k + 30 + k))) for k in range(1, 40)}
+    pairs = spark.createDataFrame([(k, sorted(a), sorted(b)) for k, (a, b) in held.items()], "pair long, a array<long>, b array<long>")
+    got = {(r.pair, r.side, r.digest) for r in rows(fingerprints.differences(pairs, 64))}
+    peeled = {p for p, *_ in got}
+    assert len(peeled) >= 36 and got == {(k, side, d) for k, (a, b) in held.items() if k in peeled for side, ds in (("left", a - b), ("right", b - a)) for d in ds}
+    a, b = "one two three. " * 40 + "\nsecond line here\nthird line", "one two three. " * 40 + "\nsecond line here\nfourth line\nfifth"
+    out = {r.doc_id: r for r in rows(fingerprints.version_fingerprints(docs_of(spark, [(1, a, "en", "a"), (2, b, "en", "a")]).select("doc_id", "text")))}
+    new = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+    assert (out[1].n_lost, out[1].n_added) == (len(units(a) - units(new)), len(units(new) - units(a)))
+
+
 def units(t):
     out, k = set(), 0
     for line in (t or "").split("\n"):
@@ -339,7 +364,7 @@ def test_sketches(awkward, sample, empty):
 
 
 def test_small_sketches_are_tried_again(spark):
-    pairs = spark.createDataFrame([(k, 0, [10 * k + i for i in range(40)], [10 * k + i + 5 for i in range(40)], 2) for k in range(30)], "rid long, kind int, a array<long>, b array<long>, size long")
+    pairs = spark.createDataFrame([(k, [10 * k + i for i in range(40)], [10 * k + i + 5 for i in range(40)], 2) for k in range(30)], "pair long, a array<long>, b array<long>, size long")
     got = rows(fingerprints.retried(pairs))
     assert len(got) == 30 and all(abs(r.like - 70 / 80) < 1e-12 for r in got)
 
@@ -404,13 +429,12 @@ def test_large_bucket_against_brute_force(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 wanted[root(i)] = root(j)
     rules = passages.Rules()
-    paras = [t.encode().split() for t in texts]
-    pids = passages._pids(paras).tolist()
-    h, counts = passages.shingle_hashes(paras, rules.shingle)
+    words = np.concatenate([passages.Cut.of(t, rules).word for t in texts])
+    pids = passages.run_hashes(words, np.full(700, 40)).view(np.int64).tolist()
+    h, counts = passages.shingle_hashes(words, np.full(700, 40), rules.shingle)
     held = [sorted(set(x.view(np.int64).tolist())) for x in np.split(h, np.cumsum(counts)[:-1])]
-    docs = docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).selectExpr("doc_id as id", "xxhash64(text) as th", "text")
-    one = spark.createDataFrame([(p, [1], s) for p, s in zip(pids, held, strict=True)], "pid long, keys array<long>, sets array<long>")
-    links = passages.near_links(docs, one, rules)
+    one = spark.createDataFrame([(1, p, s) for p, s in zip(pids, held, strict=True)], "key long, pid long, shingles array<long>")
+    links = passages.near_links(one.select("key", "pid"), one.select("pid", "shingles"), rules)
     reached = {r.node: r.component for r in rows(components.components(links))}
     number = {p: i for i, p in enumerate(pids)}
     groups = {}
@@ -505,6 +529,18 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.predicted for r in scored if r.toxic == 0) <= 0.02 * len(scored)
 
 
+def test_held_out_ranking(spark):
+    sf = "/root/testdata/sf0.01"
+    out = toxicity.op4_toxicity(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    scored = rows(out.join(labels.where("toxic is not null"), "doc_id").where("held_out").select("score", "toxic", "predicted", "spans"))
+    bad, good = ([r for r in scored if r.toxic == t] for t in (1, 0))
+    auc = np.mean([(a.score > b.score) + 0.5 * (a.score == b.score) for a in bad for b in good])
+    recall = np.mean([r.predicted for r in bad])
+    assert len(bad) >= 5 and auc >= 0.8 and recall >= 0.6
+    assert all(len(r.spans) > 0 for r in bad if r.predicted)
+
+
 # Operator 2.
 def test_snapshots_collapse(spark, sf_dir):
     schema = "conv_id long, turn long, role string, text string, n int, k string, copies int"
@@ -521,6 +557,17 @@ def test_snapshots_collapse(spark, sf_dir):
     assert harness.differences(spark, chats.op2_chats, chats.OP2_SQL, sf_dir) == ""
 
 
+def test_tied_turns_like_sql(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    log = [(c, pick(0, 0, 1, 2, None), pick("user", "assistant", "", None), pick("a", "b", "", None, "Z")) for c in range(60) for _ in range(int(rng.integers(1, 5)))]
+    df = spark.createDataFrame(log, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    want = con.sql(chats.OP2_SQL).to_arrow_table().to_pylist()
+    assert harness.rows_of(chats.rendered(df).toArrow().to_pylist()) == harness.rows_of(want)
+
+
 # All queries.
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name, texts):
