@@ -266,6 +266,24 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
+def encoded_lists(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    """The ids of each text, ROWS texts at a time."""
+    parts = []
+    for k in range(0, len(texts), ROWS):
+        packed = encoder.ids(texts[k : k + ROWS].to_pylist())
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def decoded_lists(decoder: Decoder, lists: pa.Array) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    return pa.array([decoder.bytes(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
+
+
 def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
     """array<int>: the ids of a text. The rank file, of a fixed size, is broadcast."""
     shared = spark.sparkContext.broadcast(_read(ranks_path))
@@ -274,12 +292,7 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _worker(Encoder, (ranks_path, pattern), shared.value, pattern)
         for texts in batches:
-            parts = []
-            for k in range(0, len(texts), ROWS):
-                packed = own.ids(texts[k : k + ROWS].to_pylist())
-                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            yield encoded_lists(own, texts)
         own.forget()  # the worker lives on, other operators need its memory
         tidy()
 
@@ -294,19 +307,30 @@ def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _worker(Decoder, ranks_path, shared.value)
         for lists in batches:
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            yield pa.array([own.bytes(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
+            yield decoded_lists(own, lists)
         tidy()
 
     return decoded(ids)
 
 
 def bpe_roundtrip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with ids and decoded."""
-    spark = docs.sparkSession
-    return docs.withColumn("ids", encode(spark, whole(text), ranks_path, pattern)).withColumn("decoded", decode(spark, F.col("ids"), ranks_path))
+    """docs with ids and decoded, in place of columns of those names. A batch is encoded, and its
+    ids alone are decoded, in one worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(_read(ranks_path))
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to, back = _worker(Encoder, (ranks_path, pattern), shared.value, pattern), _worker(Decoder, ranks_path, shared.value)
+        for texts in batches:
+            ids = encoded_lists(to, texts)
+            yield pa.StructArray.from_arrays([ids, decoded_lists(back, ids)], fields=list(kind))
+        to.forget()
+        tidy()
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
+    coded = docs.select(*kept, both(whole(text)).alias("_coded"))
+    return coded.select(*kept, F.col("_coded.ids").alias("ids"), F.col("_coded.decoded").alias("decoded"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
