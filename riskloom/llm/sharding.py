@@ -2,13 +2,15 @@
 
 Rows are put in the order of a key and cut into shards of near equal bytes. The cuts are
 found by counting the exact bytes below candidate boundaries: first 8,192 boundaries
-evenly laid over the key, then 1,024 inside each interval that still holds a cut, and so
+evenly laid over the key, then up to 1,024 inside each interval that still holds a cut, and so
 on, until every cut meets its tolerance or no two rows are left to part. Only these
-histograms reach the driver: at most 1,024 numbers for each open cut. Then the rows are
-exchanged once, by fine ranges between the cuts, and numbered inside their shards.
+histograms reach the driver: at most MOST_COUNTS counts in a round, since the more cuts are
+open, the fewer boundaries each gets. Then the rows are exchanged once, by fine ranges
+between the cuts, and numbered inside their shards.
 
 The key of a document is a hash of its text, so equal texts stay together unless their
-group is larger than what a shard may hold beyond its share; then ties are cut by doc_id.
+group is larger than the largest text, whose place alone makes shards as uneven; a larger
+group that no cut's tolerance leaves whole is parted by doc_id.
 
 NULL texts count as empty: 16 bytes. NULL ids come first among ties. Rows that repeat an
 id and a text cannot be parted and go to one shard. An empty table gives no rows; fewer
@@ -27,25 +29,17 @@ from .common import boxed, documents, dropped, saved, whole
 
 #: Bits of the key that each round of probes settles: of a hash of 63, then of a tie.
 KEY_BITS, FIRST, NEXT = 63, 13, 10
+#: Counts of a round that may reach the driver, but for the first.
+MOST_COUNTS = 1 << 18
 #: Rows of a fine range, about; and ranges of a shard at most.
 RANGE_ROWS, MOST_RANGES = 100_000, 256
 
 
-def _rounds(bits: int, first: int) -> list[tuple[int, int]]:
-    """(shift before, shift after) of each round."""
-    out, shift = [], bits
-    while shift > 0:
-        step = min(shift, first if not out else NEXT)
-        out.append((shift, shift - step))
-        shift -= step
-    return out
-
-
 class Cut:
     """One wanted cut: goal bytes below it, give or take slack."""
 
-    def __init__(self, goal: float, slack: float):
-        self.goal, self.slack = goal, slack
+    def __init__(self, goal: float, slack: float, whole: int):
+        self.goal, self.slack, self.whole = goal, slack, whole
         self.key = self.tie = 0  # rows below (key, tie) go left
         self.prefix, self.below, self.open = 0, 0, True
 
@@ -61,7 +55,8 @@ class Cut:
             self.tie = bound << shift
         else:
             self.key = bound << shift
-        if min(left, right) <= self.slack or rest <= 1:
+        group = not tie and shift == 0 and counts[values[at]][0] <= self.whole
+        if min(left, right) <= self.slack or rest <= 1 or group:
             self.open = False
             return
         self.prefix, self.below = values[at], ends[at]
@@ -69,35 +64,38 @@ class Cut:
             self.key = values[at]
 
 
-def find_cuts(keyed: DataFrame, goals: list[tuple[float, float]], tie_bits: int) -> list[Cut]:
-    """keyed: key, tie and size, long, key and tie not negative. goals: bytes, slack."""
-    cuts = [Cut(*g) for g in goals]
-    exact = None
-    for tie, rounds in ((False, _rounds(KEY_BITS, FIRST)), (True, _rounds(tie_bits, NEXT))):
-        for last, shift in rounds:
+def find_cuts(keyed: DataFrame, goals: list[tuple[float, float]], tie_bits: int, whole: int = 0) -> list[Cut]:
+    """keyed: key, tie and size, long, key and tie not negative. goals: bytes, slack. A key of at
+    most whole bytes is not parted."""
+    cuts = [Cut(*g, whole) for g in goals]
+    for tie, bits in ((False, KEY_BITS), (True, tie_bits)):
+        last = bits
+        while last:
             waiting = [c for c in cuts if c.open]
             if not waiting:
                 return cuts
+            first = last == bits
+            step = FIRST if first and not tie else max(1, min(NEXT, (MOST_COUNTS // len(waiting)).bit_length() - 1))
+            shift = last - min(last, step)
             column = F.col("tie") if tie else F.col("key")
             where = F.shiftright(column, last) if last < 63 else F.lit(0).cast("long")
             if tie:  # one key holds more than a cut may leave out
                 part = keyed.where(F.col("key").isin(list({c.key for c in waiting})))
                 place = F.struct("key", where.alias("prefix"))
             else:
-                part = keyed if exact is None else keyed.where(where.isin(list({c.prefix for c in waiting})))
+                part = keyed if first else keyed.where(where.isin(list({c.prefix for c in waiting})))
                 place = F.struct(F.lit(0).cast("long").alias("key"), where.alias("prefix"))
-            exact = True
             found = part.groupBy(place.alias("p"), F.shiftright(column, shift).alias("v")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
             hist: dict[tuple, dict] = {}
-            for r in found.collect():
+            for r in found.toLocalIterator():
                 hist.setdefault((r.p.key, r.p.prefix), {})[r.v] = (r.s, r.n)
             for c in waiting:
-                first = tie and last == tie_bits
-                own = hist.get((c.key if tie else 0, 0 if first else c.prefix))
+                own = hist.get((c.key if tie else 0, 0 if tie and first else c.prefix))
                 if own:
                     c.settle(own, shift, tie)
                 else:
                     c.open = False
+            last = shift
     return cuts
 
 
@@ -107,7 +105,7 @@ def histogram_shards(df: DataFrame, key: Column, tie: Column, size: Column, n_sh
     group_slack of a shard; tie orders and parts what is left."""
     named = boxed(df, F.shiftrightunsigned(key.cast("long"), 1).alias("_key"), tie.cast("long").alias("_tie"), size.cast("long").alias("_size"))
     keyed = saved(named.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), F.col("_size").alias("size")), "shard-keys")
-    total = keyed.agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("tie").alias("lo"), F.max("tie").alias("hi")).first()
+    total = keyed.agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("tie").alias("lo"), F.max("tie").alias("hi"), F.max("size").alias("most")).first()
     if not total.n:
         return df.withColumns({"shard": F.lit(0).cast("int"), "slot": F.lit(0).cast("long")})
     fine = min(MOST_RANGES, max(1, round(total.n / n_shards / RANGE_ROWS)))
@@ -116,7 +114,7 @@ def histogram_shards(df: DataFrame, key: Column, tie: Column, size: Column, n_sh
     base = (total.lo or 0) - 1  # a NULL tie comes before all others
     from_base = lambda c: F.coalesce(F.col(c) - base, F.lit(0))
     based = keyed.withColumn("tie", from_base("tie"))
-    cuts = find_cuts(based, [(step * k, slack(k)) for k in range(1, n_shards * fine)], max(1, ((total.hi or 0) - base).bit_length()))
+    cuts = find_cuts(based, [(step * k, slack(k)) for k in range(1, n_shards * fine)], max(1, ((total.hi or 0) - base).bit_length()), total.most)
     bounds = sorted((c.key, c.tie) for c in cuts)
 
     # Place of a row: the ranges before its first 13 bits, and the cuts at or below it among those.
