@@ -4,9 +4,10 @@ The words of a source, its documents in a fixed order, are packed end to end and
 blocks of block words; the last block is what is left. A source's target is its share by
 weight, never above cap times its words. The mix has one slot for each block it takes, and
 the slots are dealt to output shards of slots_per_shard. The counts of each shard are
-multinomial draws by target from what is left to deal: slot g belongs to the source whose
-range of slots holds the image of g in a pseudorandom permutation of all slots, so that a
-source gets its target to the word over all shards. The slots of a source walk its blocks
+multinomial by target, on the condition that all shards together give each source its
+target to the word, which is to draw without replacement from all slots (a multivariate
+hypergeometric draw): slot g belongs to the source whose range of slots holds the image of
+g in a pseudorandom permutation of all slots. The slots of a source walk its blocks
 in the order of a permutation of its own, pass after pass, the short last block at the end
 of a pass; the last slot is cut to the words that are left. Slots and blocks are joined by
 source and block index.
@@ -68,7 +69,7 @@ def packed(sized: DataFrame, targets: DataFrame, n_rows: int) -> DataFrame:
     Sources are packed in runs of documents, so that no source lands in one task."""
     runs = max(1, n_rows // RUN)
     dealt = sized.join(targets.select("source", "sid"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id", "size"), F.lit(runs)))
+    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id", "size", "spread"), F.lit(runs))).drop("spread")
     own = Window.partitionBy("sid", "run").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = dealt.withColumn("start", F.sum("size").over(own) - F.col("size"))
     lengths = dealt.groupBy("sid", "run").agg(F.sum("size").alias("length"))
@@ -110,10 +111,15 @@ def taken_words(pack: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFr
     return met.select("rid", "pass", a.alias("a"), b.alias("b")).where("b > a")
 
 
+def spread(text: str) -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("spread")
+
+
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size and rid, a number of the row, written once so that it holds."""
+    """doc_id, source, size, rid, a number of the row, and spread, which parts rows without an id;
+    written once so that it holds."""
     n = F.regexp_count(whole(text), F.lit(WORD)).cast("long")
-    return saved(docs.select("doc_id", "source", n.alias("size")).withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+    return saved(docs.select("doc_id", "source", n.alias("size"), spread(text)).withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -136,8 +142,8 @@ def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mixed corpus as rows of docs: for each pass that takes words of a document, a row
     whose text is those words in their order, each with the white space before it."""
     n = F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size")
-    numbered = saved(boxed(docs, F.col("doc_id"), F.col("source"), F.col(text).alias("_text"), n).withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
-    _, pack, dealt = mix(numbered.select("doc_id", "source", "size", "rid"), **how)
+    numbered = saved(boxed(docs, F.col("doc_id"), F.col("source"), F.col(text).alias("_text"), n, spread(text)).withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
+    _, pack, dealt = mix(numbered.select("doc_id", "source", "size", "spread", "rid"), **how)
     ranges = taken_words(pack, dealt).groupBy("rid", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
     met = numbered.join(ranges, "rid")
     met = met.withColumn("_w", F.regexp_extract_all(whole("_text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
