@@ -243,7 +243,8 @@ _taggers: dict[int, Tagger] = {}
 
 
 def toxic_spans(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
-    """docs with toxicity: struct of score, expected (number of toxic tokens) and spans."""
+    """docs with toxicity, in place of a column of that name: struct of score, expected (number
+    of toxic tokens) and spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<score:double,expected:double,spans:array<struct<start:int,end:int>>>")
@@ -284,4 +285,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str, max_toxic: int = 1000, max_cl
     model = fit(*sample(docs, labels, max_toxic, max_clean))
     scored = toxic_spans(docs, model).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     score = F.col("toxicity.score")
-    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.expected").alias("expected_toxic"), F.size("toxicity.spans").alias("n_spans"))
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.expected").alias("expected_toxic"), F.size("toxicity.spans").alias("n_spans"), F.col("toxicity.spans").alias("spans"))
