@@ -46,7 +46,15 @@ def _(t: Tables) -> DataFrame:
     return jobs.finished(scored, "stream-scores").groupBy("final_decision").agg(F.count("*").alias("n"))
 
 
-@query("stream_sla")
+@query(
+    "stream_sla",
+    """with recursive e as (select concat('C', user_id) as case_id, us // 1000 as ms, case when merchant_category = 'purchase' then 'RESOLVED' else 'ENQUEUED' end as event,
+  row_number() over (partition by user_id order by us // 1000, case when merchant_category = 'purchase' then 1 else 0 end) as n from v_txn),
+s as (select distinct case_id, 0::bigint as n, null::bigint as due, null::bigint as alarm from e
+  union all select s.case_id, e.n, case when event = 'RESOLVED' then null when due is null or ms > due then ms + 3600000 else due end, case when ms > due then due end from s join e on e.case_id = s.case_id and e.n = s.n + 1),
+z as (select case_id, due from s qualify row_number() over (partition by case_id order by n desc) = 1)
+select case_id, alarm as due_ms from s where alarm is not null union all select case_id, due from z where due <= (select max(us) // 1000 - 600000 from v_txn)""",
+)
 def _(t: Tables) -> DataFrame:
     kind = F.when(F.col("merchant_category") == "purchase", "RESOLVED").otherwise("ENQUEUED")
     rows = _stream(t).select(F.concat(F.lit("C"), "user_id").alias("case_id"), kind.alias("event"), "ts", F.lit(60).alias("sla_minutes"))

@@ -100,23 +100,34 @@ def score_stream(txn: DataFrame, block: DataFrame, score: str = "fraud_score") -
 
 
 class SlaAlarms(StatefulProcessor):
-    """One alarm at created + sla unless the case was resolved before."""
+    """One alarm at created + sla unless the case was resolved by then. Rows are taken in the order
+    of their times, whichever micro-batch brings them: a row past the due time raises the alarm
+    first, and a case that is enqueued after its alarm gets a new due time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.due = handle.getValueState("due", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for r in part.sort_values("at_ms").itertuples():
-                if r.event == "ENQUEUED" and not self.due.exists():
-                    due = int(r.at_ms) + int(r.sla_minutes) * 60_000
-                    self.due.update((due,))
-                    self.handle.registerTimer(due)
-                elif r.event == "RESOLVED" and self.due.exists():
-                    self.handle.deleteTimer(self.due.get()[0])
-                    self.due.clear()
-        yield pd.DataFrame()
+        due, alarms = self.due.get()[0] if self.due.exists() else None, []
+        before = due
+        for r in pd.concat(rows).sort_values(["at_ms", "event"], kind="stable").itertuples():
+            if due is not None and r.at_ms > due:
+                alarms.append(due)
+                due = None
+            if r.event == "ENQUEUED" and due is None:
+                due = int(r.at_ms) + int(r.sla_minutes) * 60_000
+            elif r.event == "RESOLVED":
+                due = None
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is None:
+                self.due.clear()
+            else:
+                self.due.update((due,))
+                self.handle.registerTimer(due)
+        yield pd.DataFrame({"case_id": [key[0]] * len(alarms), "due_ms": alarms}).astype({"due_ms": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self.due.get()[0] if self.due.exists() else expiredTimerInfo.getExpiryTimeInMs()
