@@ -45,7 +45,7 @@ class LineRules:
     window: int = 5
     #: A line fails with at least this share of words that are separators only.
     nav_share: float = 0.15
-    #: A line fails with at least this share of symbols among the characters of its words.
+    #: A line fails with at least this share of symbols among its characters.
     symbol_share: float = 0.10
     #: A line of at least shout_words words fails with this share of words that shout.
     shout_words: int = 3
@@ -102,27 +102,27 @@ def line_ok(line: Column, words: Column, rules: LineRules) -> Column:
 
 def quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, clean_text,
-    clean_words, base_failed and kept."""
+    clean_words, base_failed and kept, in place of columns of those names."""
     lines = F.filter(F.transform(F.split(whole(text), "\n"), lambda x: F.struct(x.alias("line"), _words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
-    df = docs.withColumn("_l", lines)
-    df = df.withColumns({"_w": F.flatten("_l.words"), "_k": F.filter("_l", lambda x: line_ok(x["line"], x["words"], rules))})
-    w = F.col("_w")
+    df = docs.withColumn("_op8_lines", lines)
+    df = df.withColumns({"_op8_words": F.flatten("_op8_lines.words"), "_op8_kept": F.filter("_op8_lines", lambda x: line_ok(x["line"], x["words"], rules))})
+    w = F.col("_op8_words")
     windows = F.when(
         F.size(w) >= rules.window,
         F.transform(F.sequence(F.lit(1), F.size(w) - (rules.window - 1)), lambda i: F.xxhash64(F.slice(w, i, rules.window))),
     ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_h", windows)
+    df = df.withColumn("_op8_hashes", windows)
     df = df.withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(whole(text), r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l.line"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_h"), rules.window).cast("long"),
-            "clean_text": F.array_join("_k.line", "\n"),
-            "clean_words": F.aggregate("_k", F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])),
+            "n_dup_lines": (F.size("_op8_lines") - F.size(F.array_distinct("_op8_lines.line"))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col("_op8_hashes"), rules.window).cast("long"),
+            "clean_text": F.array_join("_op8_kept.line", "\n"),
+            "clean_words": F.aggregate("_op8_kept", F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])),
         }
-    ).drop("_l", "_w", "_k", "_h")
+    ).drop("_op8_lines", "_op8_words", "_op8_kept", "_op8_hashes")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat * F.col("n_words"))
     lost = F.col("n_words") - F.col("clean_words") > rules.max_loss * F.col("n_words")
     return df.withColumn("base_failed", failed).withColumn("kept", ~(failed | lost))

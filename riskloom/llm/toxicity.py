@@ -15,7 +15,7 @@ of their id, and of them only rows that the caller leaves in (op4: crc32 of the
 
 NULL and empty texts have no token and get the score of a document without evidence. Equal
 texts get equal scores. With no labelled document of one kind the score is the share of the
-other (0 where there are none). Long texts are tagged whole. Other columns pass through.
+other (0 where there are none), and all tokens or none are offending. Long texts are tagged whole. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -126,7 +126,8 @@ def fit(rows: list[tuple[str, int]], base_rate: float, epochs: int = 6) -> Field
     was drawn."""
     toxic = [bool(t) for _, t in rows]
     if len(set(toxic)) < 2:
-        return Field(link=(30.0 if any(toxic) else -30.0, 0.0, 0.0))
+        sure = 30.0 if any(toxic) else -30.0
+        return Field(bias=sure, link=(sure, 0.0, 0.0))
     texts = [[line.split() for line in (x or "").encode().split(b"\n")] for x, _ in rows]
     lexicon = tagged_forms(texts, toxic)
     lines = [(line, t) for doc, t in zip(texts, toxic, strict=True) for line in doc if line]

@@ -429,7 +429,7 @@ def test_large_bucket_against_brute_force(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 wanted[root(i)] = root(j)
     rules = passages.Rules()
-    words = np.concatenate([passages.Cut.of(t, rules).word for t in texts])
+    words = passages.cut_texts(texts, rules).word
     pids = passages.run_hashes(words, np.full(700, 40)).view(np.int64).tolist()
     h, counts = passages.shingle_hashes(words, np.full(700, 40), rules.shingle)
     held = [sorted(set(x.view(np.int64).tolist())) for x in np.split(h, np.cumsum(counts)[:-1])]
@@ -568,6 +568,18 @@ def test_tied_turns_like_sql(spark):
     assert harness.rows_of(chats.rendered(df).toArrow().to_pylist()) == harness.rows_of(want)
 
 
+# Names of docs that are names of the operators' own.
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Some words of a text that is long enough to be kept here.", 7, "w", [1], b"x", 0.5)], "doc_id long, text string, n_words int, _w string, ids array<int>, decoded binary, toxicity double")
+    q = quality.quality(df)
+    assert sorted(q.columns) == sorted({*df.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "clean_words", "base_failed", "kept"})
+    assert (q.first().n_words, q.first()["_w"]) == (13, "w")
+    b = bpe.bpe_roundtrip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert sorted(b.columns) == sorted(df.columns) and bytes(b.first().decoded).decode() == df.first().text
+    t = toxicity.toxic_spans(df, toxicity.fit([], 0.0))
+    assert t.columns == df.columns and t.first().toxicity.spans == []
+
+
 # All queries.
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name, texts):
