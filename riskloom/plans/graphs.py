@@ -318,10 +318,14 @@ def _(t: Tables) -> DataFrame:
     return G.modularity_communities(_all_edges(t), t("v_accounts"))
 
 
-@query("modularity_gain", "select true as better_than_alone, true as within_bounds")
+@query(
+    "modularity_of_placements",
+    """with e as (select a.country as x, b.country as y, t.src, t.dst from v_transfers t join v_accounts a on a.account_id = t.src join v_accounts b on b.account_id = t.dst),
+k as (select c, count(*) as k from (select x as c from e union all select y from e) group by 1), n as (select c, count(*) as k from (select src as c from e union all select dst from e) group by 1)
+select round((select avg((x = y)::int) from e) - (select sum(k * k) / pow(sum(k), 2) from k), 9) as by_country, round(-(select sum(k * k) / pow(sum(k), 2) from n), 9) as alone""",
+)
 def _(t: Tables) -> DataFrame:
-    """What holds of any good placement by transfers: it beats one community for each account."""
+    """The modularity of two given placements of the accounts: by country, and each by itself."""
     e, a = t("v_transfers"), t("v_accounts")
-    got = G.modularity(e, G.modularity_communities(e, a)).select(F.col("modularity").alias("m"))
-    alone = G.modularity(e, a.select("account_id", F.col("account_id").alias("community"))).select(F.col("modularity").alias("n"))
-    return got.crossJoin(F.broadcast(alone)).select((F.col("m") > F.col("n") + 0.05).alias("better_than_alone"), F.col("m").between(-0.5, 1).alias("within_bounds"))  # one row each
+    value = lambda c, name: G.modularity(e, a.select("account_id", F.col(c).alias("community"))).select(F.round("modularity", 9).alias(name))
+    return value("country", "by_country").crossJoin(F.broadcast(value("account_id", "alone")))  # one row each
