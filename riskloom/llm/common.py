@@ -36,7 +36,7 @@ def scratch_root(spark: SparkSession) -> str:
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Statements in here give back the disk of their shuffles as soon as they end."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
     try:
         yield
