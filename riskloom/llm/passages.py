@@ -59,8 +59,8 @@ SMALL, SMALL_CLUSTERS = 1_000_000, 200_000
 PAIRED = 64
 #: Paragraphs on one side of a block of a larger bucket.
 BLOCK = 512
-#: Paragraphs that a task holds at once.
-HELD = 40_000
+#: Characters of texts that a task cuts at once, about.
+HELD = 500_000
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 #: Any odd number; powers of it and of its inverse are kept for texts of usual length.
 BASE = 0x9E3779B97F4A7C15
-USUAL = 1 << 16
+USUAL = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -130,66 +130,84 @@ def _ranges(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Cut:
-    """A text in words and paragraphs."""
+class Words:
+    """Several texts in words and paragraphs, laid end to end."""
 
-    start: np.ndarray  # the words' characters
+    start: np.ndarray  # the words' characters in their own text
     end: np.ndarray
     word: np.ndarray  # hashes of the lower-case words
+    of: np.ndarray  # words before each text, and all words
     bound: np.ndarray  # words before each paragraph, and all words
-
-    @classmethod
-    def of(cls, text: str, rules: Rules) -> Cut:
-        points, start, end = _ranges(text)
-        lower = text.lower()
-        low, a, b = (points, start, end) if lower == text else _ranges(lower)
-        sizes = b - a
-        inside = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        word = run_hashes(low[inside].astype(np.uint64), sizes)
-        return cls(start, end, word, _bounds(points, start, end, word, rules))
+    paras: np.ndarray  # paragraphs before each text, and all paragraphs
 
     def sizes(self) -> np.ndarray:
         return np.diff(self.bound)
 
 
+def cut_texts(texts: list[str], rules: Rules) -> Words:
+    """The texts are joined by line feeds, which end words and sentences."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    offsets = np.cumsum(lengths + 1) - lengths - 1
+    text = "\n".join(texts)
+    points, start, end = _ranges(text)
+    lower = text.lower()
+    low, a, b = (points, start, end) if lower == text else _ranges(lower)
+    sizes = b - a
+    inside = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    word = run_hashes(low[inside].astype(np.uint64), sizes)
+    of = np.append(np.searchsorted(start, offsets), len(start))
+    bound, paras = _bounds(points, start, end, word, of, rules)
+    own = np.repeat(offsets, np.diff(of))
+    return Words(start - own, end - own, word, of, bound, paras)
+
+
+STOP_POINTS, CLOSE_POINTS = (np.array([ord(c) for c in marks], np.uint32) for marks in (STOPS, CLOSERS))
+
+
+def _one_of(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = x == values[0]
+    for v in values[1:]:
+        out |= x == v
+    return out
+
+
 def _sentence_ends(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The number of words up to the end of each sentence."""
     last = end - 1
-    while (closing := np.isin(points[last], CLOSE_POINTS) & (last > start)).any():
+    while (closing := _one_of(points[last], CLOSE_POINTS) & (last > start)).any():
         last = last - closing
-    lines = np.concatenate([[0], np.cumsum(points == 10)])
+    lines = np.flatnonzero(points == 10)
     after = np.append(start[1:], len(points))
-    ends = np.isin(points[last], STOP_POINTS) | (lines[after] > lines[end])
-    ends[-1] = True
+    ends = _one_of(points[last], STOP_POINTS) | (np.searchsorted(lines, after) > np.searchsorted(lines, end))
+    ends[-1:] = True
     return np.flatnonzero(ends) + 1
 
 
-STOP_POINTS, CLOSE_POINTS = (np.array([ord(c) for c in marks], np.uint32) for marks in (STOPS, CLOSERS))
-
-
-def _bounds(points: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, rules: Rules) -> np.ndarray:
-    n = len(word)
-    if not n:
-        return np.zeros(1, np.int64)
-    out, held, before, marks = [0], 0, 0, None
-    for at in _sentence_ends(points, start, end).tolist():
-        if at - before > rules.long_words:
-            if held < before:
-                out.append(before)
-                held = before
-            if marks is None:
-                marks = np.flatnonzero(word & np.uint64(15) == 0) + 1
-            for mark in marks[np.searchsorted(marks, before + 1) : np.searchsorted(marks, at, "right")].tolist():
-                if mark - held >= rules.min_words:
-                    out.append(mark)
-                    held = mark
-        if at - held >= rules.min_words:
-            out.append(at)
-            held = at
-        before = at
-    if held < n:
-        out.append(n)
-    return np.array(out)
+def _bounds(points: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, of: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """bound and paras of Words."""
+    ends = _sentence_ends(points, start, end)
+    marks = np.flatnonzero(word & np.uint64(15) == 0) + 1
+    cut = np.searchsorted(ends, of, "right").tolist()
+    ends, out, paras = ends.tolist(), [0], [0]
+    for d, n in enumerate(of[1:].tolist()):
+        held = before = out[-1]
+        for at in ends[cut[d] : cut[d + 1]]:
+            if at - before > rules.long_words:
+                if held < before:
+                    out.append(before)
+                    held = before
+                for mark in marks[np.searchsorted(marks, before + 1) : np.searchsorted(marks, at, "right")].tolist():
+                    if mark - held >= rules.min_words:
+                        out.append(mark)
+                        held = mark
+            if at - held >= rules.min_words:
+                out.append(at)
+                held = at
+            before = at
+        if held < n:
+            out.append(n)
+        paras.append(len(out) - 1)
+    return np.array(out), np.array(paras)
 
 
 def shingle_hashes(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,25 +240,39 @@ def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return x
 
 
-def seeds(words: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places and hashes of the seeds: of the runs of seed words inside each stretch of
-    passage words, that of the smallest hash. Of equal seeds of a text the first; and whether
-    there are any."""
-    h = gram_hashes(words, rules.seed)
-    span = rules.passage - rules.seed + 1
-    if len(h) < span:
-        return np.zeros(0, np.int64), h[:0], False
-    least = np.pad(_sliding_min(h, span), span - 1)  # 0: no stretch
-    most = ~_sliding_min(~least, span)  # of the stretches that hold a run
-    at = np.flatnonzero(most == h)
-    found, first = np.unique(h[at], return_index=True)
-    return at[first], found, len(found) < len(at)
+def _inside(of: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Whether a run of k words that starts at each of n places stays in its text."""
+    out = np.zeros(n, bool)
+    for a, b in zip(of[:-1].tolist(), (of[1:] - k + 1).tolist(), strict=True):
+        out[a : max(a, b)] = True
+    return out
 
 
-def own_repeats(cut: Cut, k: int) -> list[tuple[int, int, int, int, int, bool]]:
+def seeds(w: Words, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, places and hashes of the seeds: of the runs of seed words inside each stretch of
+    passage words of a text, that of the smallest hash; of equal seeds of a text the first. And
+    the texts that have equal ones."""
+    h = gram_hashes(w.word, rules.seed)
+    span = rules.passage - rules.seed + 1
+    if len(h) < span:
+        none = np.zeros(0, np.int64)
+        return none, none, h[:0], none
+    least = _sliding_min(h, span)
+    least[~_inside(w.of, len(least), rules.passage)] = 0  # no stretch
+    most = ~_sliding_min(~np.pad(least, span - 1), span)  # of the stretches that hold a run
+    at = np.flatnonzero((most == h) & (most > 0))
+    text = np.searchsorted(w.of, at, "right") - 1
+    order = np.lexsort((at, h[at], text))
+    at, text = at[order], text[order]
+    again = np.append(False, (h[at[1:]] == h[at[:-1]]) & (text[1:] == text[:-1]))[: len(at)]
+    kept = ~again
+    return text[kept], at[kept] - w.of[text[kept]], h[at[kept]], np.unique(text[again])
+
+
+def own_repeats(start: np.ndarray, end: np.ndarray, word: np.ndarray, k: int) -> list[tuple[int, int, int, int, int, bool]]:
     """(first, last, words, gram, times, removed) of the passages of k words or more that a
     text repeats. A repeat that overlaps its own first occurrence leaves that whole."""
-    h = gram_hashes(cut.word, k)
+    h = gram_hashes(word, k)
     _, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     kept, n = first[number], times[number]
     out = []
@@ -248,31 +280,28 @@ def own_repeats(cut: Cut, k: int) -> list[tuple[int, int, int, int, int, bool]]:
         at = np.flatnonzero((n > 1) & ((np.arange(len(h)) > kept) == removed))
         if not len(at):
             continue
-        start = np.maximum(at, kept[at] + k) if removed else at
-        at, start = at[start < at + k], start[start < at + k]
-        apart = np.append(True, start[1:] > at[:-1] + k - 1)
-        lead = np.flatnonzero(apart)
+        begin = np.maximum(at, kept[at] + k) if removed else at
+        at, begin = at[begin < at + k], begin[begin < at + k]
+        lead = np.flatnonzero(np.append(True, begin[1:] > at[:-1] + k - 1))
         tail = np.append(lead[1:], len(at)) - 1
         most = np.maximum.reduceat(n[at], lead)
         gram = h[at[lead]].view(np.int64)
-        out += [(int(cut.start[a]), int(cut.end[b + k - 1]), int(b + k - a), int(g), int(m), removed) for a, b, g, m in zip(start[lead], at[tail], gram, most, strict=True)]
+        out += [(int(start[a]), int(end[b + k - 1]), int(b + k - a), int(g), int(m), removed) for a, b, g, m in zip(begin[lead], at[tail], gram, most, strict=True)]
     return out
 
 
-def _parts(batch: pa.RecordBatch, rules: Rules) -> Iterator[tuple[np.ndarray, list[Cut]]]:
-    """Rows of a batch that hold words, cut; about HELD paragraphs at a time."""
+def _parts(batch: pa.RecordBatch, rules: Rules) -> Iterator[tuple[np.ndarray, Words]]:
+    """Rows of a batch, and their words; about HELD characters at a time."""
     rows, held, n = [], [], 0
     for k, text in enumerate(batch.column("text").to_pylist()):
-        if not text or not len((cut := Cut.of(text, rules)).word):
-            continue
         rows.append(k)
-        held.append(cut)
-        n += len(cut.bound)
+        held.append(text)
+        n += len(text)
         if n > HELD:
-            yield np.array(rows), held
+            yield np.array(rows), cut_texts(held, rules)
             rows, held, n = [], [], 0
     if rows:
-        yield np.array(rows), held
+        yield np.array(rows), cut_texts(held, rules)
 
 
 def _table(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
@@ -306,29 +335,32 @@ def cut_pieces(docs: DataFrame, rules: Rules) -> DataFrame:
         schema = None
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("id"), *(pa.field(f.split()[0], _arrow_type(f.split()[1])) for f in PIECES.split(", "))])
-            for rows, cuts in _parts(batch, rules):
-                each = np.array([len(c.bound) - 1 for c in cuts])
-                sizes = np.concatenate([c.sizes() for c in cuts])
-                words = np.concatenate([c.word for c in cuts])
-                keys = band_keys(*shingle_hashes(words, sizes, rules.shingle), rules.bands).T.reshape(-1).view(np.int64)
+            for rows, w in _parts(batch, rules):
+                if not len(w.word):
+                    continue
+                each, sizes = np.diff(w.paras), w.sizes()
+                keys = band_keys(*shingle_hashes(w.word, sizes, rules.shingle), rules.bands).T.reshape(-1).view(np.int64)
                 back = pa.array(np.repeat(rows, each))
+                no = np.arange(len(sizes)) - np.repeat(w.paras[:-1], each)
+                last = w.end[w.bound[1:] - 1]
                 yield _table(
                     schema,
                     {
                         "id": batch.column("id").take(back),
                         "th": batch.column("th").take(back),
-                        "no": np.arange(len(sizes)) - np.repeat(np.cumsum(each) - each, each),
-                        "first": np.concatenate([np.append(0, c.end[c.bound[1:-1] - 1]) for c in cuts]),
-                        "last": np.concatenate([c.end[c.bound[1:] - 1] for c in cuts]),
+                        "no": no,
+                        "first": np.where(no == 0, 0, np.append(0, last[:-1])),
+                        "last": last,
                         "n_words": sizes,
-                        "pid": run_hashes(words, sizes).view(np.int64),
+                        "pid": run_hashes(w.word, sizes).view(np.int64),
                         "keys": _lists(keys, np.full(len(sizes), rules.bands)),
                     },
                 )
-                found = [seeds(c.word, rules) for c in cuts]
-                back = pa.array(np.repeat(rows, [len(x[0]) for x in found]))
-                yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": np.concatenate([x[0] for x in found]), "seed": np.concatenate([x[1] for x in found]).view(np.int64)})
-                own = [(row, *x) for row, c, f in zip(rows.tolist(), cuts, found, strict=True) if f[2] for x in own_repeats(c, rules.passage)]
+                text, at, seed, doubled = seeds(w, rules)
+                back = pa.array(rows[text])
+                yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": at, "seed": seed.view(np.int64)})
+                spans = [slice(*w.of[d : d + 2]) for d in doubled.tolist()]
+                own = [(rows[d], *x) for d, part in zip(doubled, spans, strict=True) for x in own_repeats(w.start[part], w.end[part], w.word[part], rules.passage)]
                 if own:
                     back, *columns = (pa.array(x) for x in zip(*own, strict=True))
                     yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back)} | dict(zip(("first", "last", "n_words", "gram", "times", "removed"), columns, strict=True)))
@@ -371,26 +403,32 @@ def verified(docs: DataFrame, asks: DataFrame, rules: Rules) -> DataFrame:
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("id"), *(pa.field(f.split()[0], _arrow_type(f.split()[1])) for f in VERIFIED.split(", "))])
             nos, spots = (batch.column(c).to_pylist() for c in ("nos", "spots"))
-            for rows, cuts in _parts(batch, rules):
-                picked = [np.sort(np.array(nos[row], np.int64)) for row in rows]
-                sizes = np.concatenate([c.sizes()[p] for c, p in zip(cuts, picked, strict=True)])
-                if len(sizes):
-                    words = np.concatenate([c.word[c.bound[p] : c.bound[p + 1]] for c, ps in zip(cuts, picked, strict=True) for p in ps.tolist()])
+            for rows, w in _parts(batch, rules):
+                picked = np.sort(np.array([w.paras[d] + no for d, row in enumerate(rows.tolist()) for no in nos[row]], np.int64))
+                if len(picked):
+                    sizes = w.sizes()[picked]
+                    inside = np.repeat(w.bound[picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    words = w.word[inside]
                     h, counts = shingle_hashes(words, sizes, rules.shingle)
                     owner = np.repeat(np.arange(len(sizes)), counts)
                     order = np.lexsort((h.view(np.int64), owner))
                     h, owner = h[order], owner[order]
                     fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
                     yield _table(schema, {"pid": run_hashes(words, sizes).view(np.int64), "shingles": _lists(h[fresh].view(np.int64), np.bincount(owner[fresh], minlength=len(sizes)))})
-                for row, cut in zip(rows.tolist(), cuts, strict=True):
-                    if not spots[row]:
-                        continue
-                    h = gram_hashes(cut.word, k)
-                    at = np.unique(np.array(spots[row])[:, None] - np.arange(k - rules.seed + 1))
-                    at = at[(at >= 0) & (at < len(h))]
-                    at = np.sort(at[np.unique(h[at], return_index=True)[1]])
-                    back = pa.array(np.full(len(at), row))
-                    yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": at, "first": cut.start[at], "last": cut.end[at + k - 1], "gram": h[at].view(np.int64)})
+                found = [(d, at + w.of[d]) for d, row in enumerate(rows.tolist()) for at in spots[row]]
+                if found:
+                    text, at = (np.array(x) for x in zip(*found, strict=True))
+                    h = gram_hashes(w.word, k)
+                    at = (at[:, None] - np.arange(k - rules.seed + 1)).reshape(-1)
+                    text = np.repeat(text, k - rules.seed + 1)
+                    inside = (at >= w.of[text]) & (at + k <= w.of[text + 1])
+                    at, text = at[inside], text[inside]
+                    order = np.lexsort((at, h[at], text))
+                    at, text = at[order], text[order]
+                    first = np.append(True, (h[at[1:]] != h[at[:-1]]) | (text[1:] != text[:-1]))[: len(at)]
+                    at, text = at[first], text[first]
+                    back = pa.array(rows[text])
+                    yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": at - w.of[text], "first": w.start[at], "last": w.end[at + k - 1], "gram": h[at].view(np.int64)})
         tidy()
 
     return docs.join(asks, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "nos", "spots").mapInArrow(read, kind)
