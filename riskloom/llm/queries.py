@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, fingerprints, mixing, passages, quality, sharding, simhash, token_counts, toxicity
+from . import bpe, chats, extraction, fingerprints, mixing, passages, quality, retrieval, sharding, simhash, token_counts, toxicity, variants
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_line_cleaning": quality.op8_line_cleaning,
     "op9_sketches": fingerprints.op9_sketches,
     "op10_bpe": bpe.op10_bpe,
+    "op11_search": retrieval.op11_search,
+    "op12_main_text": extraction.op12_main_text,
+    "op13_variants": variants.op13_variants,
 }
 
 SQL = {
     "op2_chats": chats.OP2_SQL,
     "op8_line_cleaning": quality.OP8_SQL,
+    "op11_search": retrieval.OP11_SQL,
 }
