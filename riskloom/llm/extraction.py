@@ -202,12 +202,13 @@ class Lines(HTMLParser):
         return len(self.rawdata) if end < 0 else end + 1
 
 
-def threshold(ratios: np.ndarray) -> float:
-    """Between the two clusters of the logarithms of ratios."""
+def threshold(ratios: np.ndarray, longest: float) -> float:
+    """Between the two clusters of the logarithms of ratios. Where all are alike, all is content
+    if it has some text to a tag or a line (longest: its characters) as long as a paragraph."""
     x = np.log1p(ratios)
     low, high = float(x.min()), float(x.max())
     if high - low < np.log(4):  # one cluster
-        return 0.0 if high >= np.log1p(8) else np.inf
+        return 0.0 if high >= np.log1p(8) or longest >= 80 else np.inf
     for _ in range(30):
         cut = (low + high) / 2
         a, b = x[x < cut].mean(), x[x >= cut].mean()
@@ -228,7 +229,7 @@ def main_text(html: str) -> str:
     ratio = plain / np.maximum(np.array([n for *_, n, _ in lines]), 1)
     smooth = np.convolve(ratio, SMOOTH, "full")[2:-2] / np.convolve(np.ones(len(ratio)), SMOOTH, "full")[2:-2]
     smooth = np.where(plain > 0, smooth, 0)
-    content = smooth >= max(threshold(smooth), 1e-9)
+    content = smooth >= max(threshold(smooth, plain.max()), 1e-9)
     at = [node for *_, node in lines]
 
     # What each element holds: content characters and all characters, summed from inside out.
