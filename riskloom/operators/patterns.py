@@ -4,9 +4,13 @@ share one partition and order, so the detectors together need one exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .velocity import sliced
+
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 
@@ -19,8 +23,11 @@ def prior():
     return own().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def by_time():
-    return Window.partitionBy("user_id").orderBy("us")
+def _over_slices(df: DataFrame, name: str, back: int, to: int, made: Callable[[WindowSpec], Column]) -> DataFrame:
+    """df with a column over the frame (t - back, t + to); users with many rows go in slices of time."""
+    cut, keys = sliced(df, back + 1)
+    frame = Window.partitionBy(*keys).orderBy("us").rangeBetween(-back, to)
+    return cut.withColumn(name, made(frame)).where("_home").drop("_slice", "_home")
 
 
 def impossible_travel(df: DataFrame, minutes: int = 5) -> DataFrame:
@@ -32,12 +39,12 @@ def impossible_travel(df: DataFrame, minutes: int = 5) -> DataFrame:
 
 def velocity_attack(df: DataFrame, n: int = 20, seconds: int = 120, most: float = 50.0) -> DataFrame:
     small = (F.col("amount") <= most).cast("int")
-    return df.withColumn("pattern_velocity", F.sum(small).over(by_time().rangeBetween(-seconds * 1_000_000, 0)) >= n)
+    return _over_slices(df, "pattern_velocity", seconds * 1_000_000, 0, lambda frame: F.sum(small).over(frame) >= n)
 
 
 def card_testing(df: DataFrame, n: int = 5, minutes: int = 25, tiny: float = 1.0, large: float = 500.0) -> DataFrame:
-    tests = F.sum((F.col("amount") <= tiny).cast("int")).over(by_time().rangeBetween(-minutes * MINUTE, -1))
-    return df.withColumn("pattern_card_testing", (F.col("amount") >= large) & (F.coalesce(tests, F.lit(0)) >= n))
+    tests = lambda frame: F.coalesce(F.sum((F.col("amount") <= tiny).cast("int")).over(frame), F.lit(0))
+    return _over_slices(df, "pattern_card_testing", minutes * MINUTE, -1, lambda frame: (F.col("amount") >= large) & (tests(frame) >= n))
 
 
 def time_anomaly(df: DataFrame, night: tuple[int, int] = (0, 5), rare: float = 0.05, large: float = 400.0, history: int = 10) -> DataFrame:

@@ -127,8 +127,10 @@ def _(t: Tables) -> DataFrame:
   round(avg(amount) over w, 8) as avg_amount_7d, max(amount) over m as max_amount_30d, round(stddev_samp(amount) over m, 8) as std_amount_30d,
   round(avg(amount) over l, 8) as avg_transaction_amount, count(*) over l as transaction_count,
   round(avg(case when (us // 86400000000 + 3) % 7 >= 5 then 1.0 else 0.0 end) over l, 8) as weekend_share,
-  round(avg(case when (us % 86400000000) // 3600000000 >= 22 or (us % 86400000000) // 3600000000 < 6 then 1.0 else 0.0 end) over l, 8) as night_share
-from v_txn window h as (partition by user_id order by us range between 3599999999 preceding and current row),
+  round(avg(case when (us % 86400000000) // 3600000000 >= 22 or (us % 86400000000) // 3600000000 < 6 then 1.0 else 0.0 end) over l, 8) as night_share,
+  round((us - lag(us) over o) / 86400000000.0, 8) as days_since_last, round(cast(us - min(us) over l as double) / 86400000000.0 / nullif(count(*) over l - 1, 0), 8) as mean_days_between,
+  round(case when stddev_samp(amount) over m > 0 then (amount - avg(amount) over l) / stddev_samp(amount) over m end, 8) as amount_z_score
+from v_txn window o as (partition by user_id order by us, transaction_id), h as (partition by user_id order by us range between 3599999999 preceding and current row),
   d as (partition by user_id order by us range between 86399999999 preceding and current row),
   w as (partition by user_id order by us range between 604799999999 preceding and current row),
   m as (partition by user_id order by us range between 2591999999999 preceding and current row),
@@ -137,7 +139,7 @@ from v_txn window h as (partition by user_id order by us range between 359999999
 def _(t: Tables) -> DataFrame:
     out = velocity.velocity_block(t("v_txn"))
     whole = ("transactions_last_hour", "transactions_last_day", "transactions_last_week", "max_amount_30d", "transaction_count")
-    parts = ("amount_last_hour", "amount_last_day", "amount_last_week", "avg_amount_7d", "std_amount_30d", "avg_transaction_amount", "weekend_share", "night_share")
+    parts = ("amount_last_hour", "amount_last_day", "amount_last_week", "avg_amount_7d", "std_amount_30d", "avg_transaction_amount", "weekend_share", "night_share", "days_since_last", "mean_days_between", "amount_z_score")
     return out.select("transaction_id", *whole, *(F.round(c, 8).alias(c) for c in parts))
 
 

@@ -26,6 +26,15 @@ def _(t: Tables) -> DataFrame:
     return jobs.finished(jobs.trailing_stream(_stream(t)), "stream-velocity").select("transaction_id", "user_id", "count_1h", "count_24h", "amount_1h", "amount_24h")
 
 
+@query("stream_velocity_warm", TRAIL_SQL + " select transaction_id, user_id, count_1h, count_24h, amount_1h, amount_24h from w where us > (select (min(us) + max(us)) // 2 from v_txn)")
+def _(t: Tables) -> DataFrame:
+    """The second half of the time as a stream, started from the last day of the first half."""
+    rows = t("v_txn")
+    half = rows.agg(F.expr("(min(us) + max(us)) div 2")).first()[0]
+    stream = _stream(t).where(F.unix_micros("ts") > half)
+    return jobs.finished(jobs.trailing_stream(stream, warm=jobs.warm_events(rows, half)), "stream-warm").select("transaction_id", "user_id", "count_1h", "count_24h", "amount_1h", "amount_24h")
+
+
 @query(
     "stream_hopping",
     """select start, user_id, count(*) as n, round(sum(amount), 4) as amount from (select user_id, amount, (us // 3600000000 - k) * 3600 as start from v_txn, range(0, 24) r(k))

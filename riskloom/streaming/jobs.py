@@ -3,9 +3,9 @@ transactions (transaction_id, user_id, ts timestamp, amount, ...)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from fractions import Fraction
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,65 +15,123 @@ from ..functions.scalars import domain_last
 from ..operators import graph, lists, routing, rules
 from ..sources.io import shared_folder
 
-HOUR, DAY = 3600.0, 86400.0
-TRAIL = "transaction_id bigint, user_id string, at double, count_1h bigint, count_24h bigint, amount_1h double, amount_24h double"
-
-
-def _trailing(pairs: list[tuple[float, float]], times: Iterable[float], span: float) -> tuple[list[int], list[float]]:
-    """For each of the ascending times t: the different times and the sum of the amounts of the
-    sorted pairs in (t - span, t]. Two ends move over the pairs, each pair comes and goes once."""
-    counts, sums = [], []
-    low = high = 0
-    n, total = 0, Fraction(0)
-    for t in times:
-        while high < len(pairs) and pairs[high][0] <= t:
-            n += high == 0 or pairs[high][0] != pairs[high - 1][0]
-            total += Fraction(pairs[high][1])
-            high += 1
-        while low < high and pairs[low][0] <= t - span:
-            n -= low + 1 == len(pairs) or pairs[low + 1][0] != pairs[low][0]
-            total -= Fraction(pairs[low][1])
-            low += 1
-        counts.append(n)
-        sums.append(round(float(total), 2))
-    return counts, sums
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+TRAIL = "transaction_id bigint, user_id string, at bigint, count_1h bigint, count_24h bigint, amount_1h double, amount_24h double"
+SPANS = (("1h", HOUR), ("24h", DAY))
+#: Amounts are summed as integers of this many places, so sums are exact and have no order.
+PLACES = 10_000
+
+
+def _trailing(at: np.ndarray, cents: np.ndarray, times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of times t: the different times and the sum of the pairs in (t - span, t]. at is sorted."""
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    n, total = (np.concatenate([[0], np.cumsum(x)]) for x in (new, cents))
+    low, high = np.searchsorted(at, times - span, "right"), np.searchsorted(at, times, "right")
+    return n[high] - n[low], np.round((total[high] - total[low]) / PLACES, 2)
 
 
 class TrailingWindows(StatefulProcessor):
-    """A user's last 24 hours: (time, amount) pairs. Rows of a micro-batch are taken in time
-    order; a row sees what lies in (t - span, t]. Equal times count once, equal (amount to 4
-    places, time) are summed once, as in the batch form."""
+    """A user's last 24 hours and the time that rows may be late. The state is a map from an hour
+    to the (time, amount) pairs in it: a micro-batch reads the hours that its rows look back on
+    and writes those that its rows lie in; hours that have passed are removed. One timer stands
+    for a user: it moves on while there are rows, then clears the state. Rows come in frames of
+    bounded size; of a frame only ids and times are held until the pairs of all frames are in.
+
+    A row sees what lies in (t - span, t], whichever frame brings it. Equal times count once,
+    equal (amount to 4 places, time) are summed once, as in the batch form. The state can start
+    from a table of the pairs of the last day."""
+
+    def __init__(self, late: int = HOUR, most: int = 100_000):
+        self.late, self.most = late, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "at double, amount double")
+        self.hours = handle.getMapState("hours", "hour bigint", "at array<bigint>, cents array<bigint>")
+        self.newest = handle.getValueState("newest", "at bigint")
+
+    def _held(self, hour: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else None
+        return tuple(np.array(x, np.int64) for x in found) if found else (np.zeros(0, np.int64),) * 2
+
+    def _add(self, rows: pd.DataFrame) -> None:
+        """The pairs of rows into their hours."""
+        at = rows["at"].to_numpy(np.int64)
+        cents = np.round(rows["amount"].to_numpy(float) * PLACES).astype(np.int64)
+        hour = at // HOUR
+        for h in np.unique(hour).tolist():
+            old = self._held(h)
+            pairs = np.unique(np.stack([np.concatenate([old[0], at[hour == h]]), np.concatenate([old[1], cents[hour == h]])]), axis=1)
+            if pairs.shape[1] > len(old[0]):
+                self.hours.updateValue((h,), (pairs[0].tolist(), pairs[1].tolist()))
+
+    def _passed(self, newest: int) -> None:
+        """Keep what rows from now on can see; see that a timer stands."""
+        before = self.newest.get()[0] if self.newest.exists() else None
+        if before is None:
+            self.handle.registerTimer((newest + DAY) // 1000 + 1)
+        newest = max(newest, before or newest)
+        if newest != before:
+            self.newest.update((newest,))
+            for (h,) in [k for k in self.hours.keys() if (k[0] + 1) * HOUR <= newest - DAY - self.late]:
+                self.hours.removeKey((h,))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        known = initialState.dropna(subset=["at", "amount"])
+        if len(known):
+            self._add(known)
+            self._passed(int(known["at"].max()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows).sort_values(["at", "transaction_id"])
-        held = [(float(r[0]), float(r[1])) for r in self.seen.get()]
-        pairs = sorted({*held, *((float(t), round(float(a), 4)) for t, a in zip(new["at"], new["amount"], strict=True))})
-        out = new[["transaction_id"]].assign(user_id=key[0], at=new["at"].astype(float))
-        for name, span in (("1h", HOUR), ("24h", DAY)):
-            out[f"count_{name}"], out[f"amount_{name}"] = _trailing(pairs, out["at"], span)
-        last = pairs[-1][0]
-        kept = [p for p in pairs if p[0] > last - DAY]
-        self.seen.put(kept)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(int((last + DAY) * 1000))
-        yield out
+        ids, times = [], []
+        for frame in rows:
+            self._add(frame)
+            ids.append(frame["transaction_id"].to_numpy())
+            times.append(frame["at"].to_numpy(np.int64))
+        ids, times = np.concatenate(ids), np.concatenate(times)
+        order = np.lexsort((ids, times))
+        for k in range(0, len(order), self.most):
+            some = order[k : k + self.most]
+            own = times[some]
+            held = [self._held(h) for h in self._hours(own)]
+            at, cents = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = pd.DataFrame({"transaction_id": ids[some], "user_id": key[0], "at": own})
+            for name, span in SPANS:
+                out[f"count_{name}"], out[f"amount_{name}"] = _trailing(at, cents, own, span)
+            yield out
+        self._passed(int(times.max()))
+
+    def _hours(self, times: np.ndarray) -> list[int]:
+        """The hours that hold pairs and that some of the sorted times look back on, in order."""
+        known = sorted(k[0] for k in self.hours.keys())
+        ends = np.searchsorted(times, [h * HOUR for h in known])  # the first row not before the hour
+        return [h for h, e in zip(known, ends.tolist(), strict=True) if e < len(times) and times[e] - DAY < (h + 1) * HOUR]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        due = newest is not None and (newest + DAY) // 1000 + 1
+        if due and due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.hours.clear()
+            self.newest.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def trailing_stream(txn: DataFrame, late: str = "1 hour") -> DataFrame:
-    rows = txn.withColumn("at", F.unix_micros("ts") / 1e6).withWatermark("ts", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(TrailingWindows(), TRAIL, "append", "EventTime")
+def trailing_stream(txn: DataFrame, late: str = "1 hour", warm: DataFrame | None = None) -> DataFrame:
+    """transaction_id, user_id, at and what lies in the trailing hour and day of each row.
+    warm: user_id, at (microseconds), amount of the last day before the stream (warm_events)."""
+    rows = txn.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late)
+    start = warm.select("user_id", "at", "amount").groupBy("user_id") if warm is not None else None
+    return rows.groupBy("user_id").transformWithStateInPandas(TrailingWindows(pd.Timedelta(late) // pd.Timedelta(microseconds=1)), TRAIL, "append", "EventTime", start)
+
+
+def warm_events(df: DataFrame, as_of: int, span: int = DAY, user: str = "user_id", at: str = "us") -> DataFrame:
+    """The events that a stream which begins after as_of looks back on: those of the table of
+    warm windows, one row an event."""
+    return df.where((F.col(at) > as_of - span) & (F.col(at) <= as_of)).select(F.col(user).alias("user_id"), F.col(at).alias("at"), "amount")
 
 
 def hopping_totals(txn: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -182,4 +240,4 @@ def finished(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-__all__ = ["edges_so_far", "finished", "graph_updater", "hopping_totals", "lists", "score_stream", "sla_alarms", "trailing_stream", "without_duplicates"]
+__all__ = ["edges_so_far", "finished", "graph_updater", "hopping_totals", "lists", "score_stream", "sla_alarms", "trailing_stream", "warm_events", "without_duplicates"]

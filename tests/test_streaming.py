@@ -2,6 +2,7 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from riskloom.operators import velocity
@@ -9,6 +10,38 @@ from riskloom.plans.adapters import Tables
 from riskloom.streaming import jobs
 
 
+def in_batches(spark, rows, folder, n):
+    """rows as a stream of n micro-batches in order of time."""
+    timed = rows.withColumn("ts", F.timestamp_micros("us")).orderBy("us")
+    kept = timed.toPandas()
+    for k in range(n):
+        part = kept.iloc[k * len(kept) // n : (k + 1) * len(kept) // n]
+        spark.createDataFrame(part, timed.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def trail(df):
+    return {r.transaction_id: (r.count_1h, r.count_24h, r.amount_1h, r.amount_24h) for r in df.collect()}
+
+
+def test_warm_start_and_a_user_with_a_third_of_the_rows(spark, sf_dir, tmp_path):
+    rows = Tables(spark, sf_dir)("v_txn").where("cast(user_id as int) % 3 = 0 or transaction_id % 3 = 0")
+    rows = rows.withColumn("user_id", F.when(F.col("transaction_id") % 3 == 0, "big").otherwise(F.col("user_id"))).cache()
+    half = rows.agg(F.expr("(min(us) + max(us)) div 2")).first()[0]
+    want = trail(velocity.trailing(rows, {"1h": velocity.HOUR, "24h": velocity.DAY}).where(F.col("us") > half))
+    stream = in_batches(spark, rows.where(F.col("us") > half), str(tmp_path / uuid.uuid4().hex), 3)
+    assert trail(jobs.finished(jobs.trailing_stream(stream, warm=jobs.warm_events(rows, half)), "test-warm")) == want
+
+
+def test_frames_of_a_hot_user_are_small(spark):
+    at = np.sort(np.random.default_rng(2).integers(0, 30 * jobs.HOUR, 5000))
+    cents = np.random.default_rng(3).integers(1, 10**6, 5000)
+    n, total = jobs._trailing(at, cents, at, jobs.HOUR)
+    for k in (0, 17, 2500, 4999):
+        own = (at > at[k] - jobs.HOUR) & (at <= at[k])
+        assert n[k] == len(set(at[own])) and total[k] == round(int(cents[own].sum()) / jobs.PLACES, 2)
+
+
 def test_trailing_windows_over_many_batches(spark, sf_dir, tmp_path):
     rows = Tables(spark, sf_dir)("v_txn").where("cast(user_id as int) % 5 = 0")
     want = {r.transaction_id: (r.count_1h, r.count_24h, r.amount_1h, r.amount_24h) for r in velocity.trailing(rows, {"1h": velocity.HOUR, "24h": velocity.DAY}).collect()}
