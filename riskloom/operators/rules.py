@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RULE_ORDER, RuleConfig
 from ..functions.scalars import domain_second, first_filled, haversine_km, masked
+from . import lists
 
 
 class Hit:
@@ -29,9 +30,23 @@ class Hit:
         )
 
 
-def rule_hits_of(c: RuleConfig) -> dict[str, list[Hit]]:
-    """The ways in which each rule fires; the first that applies counts."""
+def list_columns(c: RuleConfig) -> dict[str, Column]:
+    """The lists of the rules, and what each holds of a row."""
     col = F.col
+    return {
+        "stolen_cards": col("card_number_hash"),
+        "sanctioned_countries": first_filled(col("billing_country"), col("ip_country"), col("country_code")),
+        "fraud_devices": col("device_id"),
+        "fraud_domains": F.coalesce(domain_second(F.nullif(col("email"), F.lit(""))), F.when(first_filled(col("email")).isNull(), F.lower(col("email_domain")))),
+        "vip_users": col("user_id"),
+    }
+
+
+def rule_hits_of(c: RuleConfig, on_list: dict[str, Column] | None = None) -> dict[str, list[Hit]]:
+    """The ways in which each rule fires; the first that applies counts. on_list: whether a row
+    is on a list, for lists that are tables; the others are those of the configuration."""
+    col = F.col
+    held = {name: value.isin(*getattr(c, name)) for name, value in list_columns(c).items()} | (on_list or {})
     amount = F.coalesce(col("amount"), F.lit(0.0))
     limit = F.coalesce(col("card_limit"), F.lit(c.card_limit))
     count = lambda name: F.coalesce(col(name), F.lit(0))
@@ -48,18 +63,18 @@ def rule_hits_of(c: RuleConfig) -> dict[str, list[Hit]]:
     young, first = age < c.new_account_hours, F.coalesce(col("is_first_transaction"), F.lit(False))
     many, failed = count("transactions_last_hour") > c.per_hour_limit, count("failed_attempts_last_hour") > c.failed_limit
     return {
-        "check_stolen_card": [Hit("check_stolen_card", col("card_number_hash").isin(*c.stolen_cards), "DECLINE", "CRITICAL", F.lit("Card is on the stolen list"), 1.0, card_hash=masked(col("card_number_hash"), 8))],
-        "check_sanctioned_country": [Hit("check_sanctioned_country", country.isin(*c.sanctioned_countries), "DECLINE", "CRITICAL", F.concat(F.lit("Sanctioned country: "), country), 1.0, country=country)],
-        "check_fraud_device": [Hit("check_fraud_device", col("device_id").isin(*c.fraud_devices), "DECLINE", "CRITICAL", F.lit("Device is on the fraud list"), 1.0, device_id=masked(col("device_id"), 10))],
+        "check_stolen_card": [Hit("check_stolen_card", held["stolen_cards"], "DECLINE", "CRITICAL", F.lit("Card is on the stolen list"), 1.0, card_hash=masked(col("card_number_hash"), 8))],
+        "check_sanctioned_country": [Hit("check_sanctioned_country", held["sanctioned_countries"], "DECLINE", "CRITICAL", F.concat(F.lit("Sanctioned country: "), country), 1.0, country=country)],
+        "check_fraud_device": [Hit("check_fraud_device", held["fraud_devices"], "DECLINE", "CRITICAL", F.lit("Device is on the fraud list"), 1.0, device_id=masked(col("device_id"), 10))],
         "check_tor": [Hit("check_tor", tor, "DECLINE", "CRITICAL", F.lit("TOR exit node"), 1.0, is_tor=F.lit("true"))],
-        "check_email_domain": [Hit("check_email_domain", domain.isin(*c.fraud_domains), "DECLINE", "CRITICAL", F.concat(F.lit("Disposable e-mail domain: "), domain), 0.9, domain=domain)],
+        "check_email_domain": [Hit("check_email_domain", held["fraud_domains"], "DECLINE", "CRITICAL", F.concat(F.lit("Disposable e-mail domain: "), domain), 0.9, domain=domain)],
         "check_amount_exceeds_limit": [Hit("check_amount_exceeds_limit", amount > limit, "DECLINE", "CRITICAL", F.concat(F.lit("Amount "), money(amount), F.lit(" over card limit "), money(limit)), 1.0, amount=amount, limit=limit)],
         "check_velocity_limits": [
             Hit("check_velocity_limits", many, "DECLINE", "HIGH", F.concat(count("transactions_last_hour").cast("string"), F.lit(f" transactions an hour (limit {c.per_hour_shown})")), 0.95, txn_per_hour=count("transactions_last_hour")),
             Hit("check_velocity_limits", failed, "DECLINE", "HIGH", F.concat(count("failed_attempts_last_hour").cast("string"), F.lit(" failed attempts")), 0.92, failed_attempts=count("failed_attempts_last_hour")),
         ],
         "check_card_testing_pattern": [Hit("check_card_testing_pattern", amount.isin(*c.round_amounts) & (count("transactions_last_minute") >= c.round_per_minute), "DECLINE", "HIGH", F.lit("Card testing: round amount in a burst"), 0.93, amount=amount, txn_per_minute=count("transactions_last_minute"))],
-        "check_vip_user": [Hit("check_vip_user", col("user_id").isin(*c.vip_users) & (amount <= c.vip_amount), "APPROVE", None, F.lit("VIP user under the VIP amount"), 0.99, user_id=col("user_id"))],
+        "check_vip_user": [Hit("check_vip_user", held["vip_users"] & (amount <= c.vip_amount), "APPROVE", None, F.lit("VIP user under the VIP amount"), 0.99, user_id=col("user_id"))],
         "check_micro_transaction": [Hit("check_micro_transaction", amount < c.micro_amount, "APPROVE", None, F.concat(F.lit("Micro amount "), money(amount)), 0.95, amount=amount)],
         "check_impossible_travel": [Hit("check_impossible_travel", (hours > 0) & (km / hours > c.travel_kmh), "DECLINE", "HIGH", F.concat(F.format_string("%.0f", km), F.lit(" km in "), F.format_string("%.1f", hours), F.lit(" h")), 0.98, distance_km=km, hours=hours)],
         "check_new_account_risk": [
@@ -70,15 +85,20 @@ def rule_hits_of(c: RuleConfig) -> dict[str, list[Hit]]:
     }
 
 
-def evaluate_rules(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+def evaluate_rules(df: DataFrame, config: RuleConfig = RuleConfig(), tables: DataFrame | None = None, id: str = "transaction_id") -> DataFrame:
     """df with triggered (array of hits), triggered_names, rules_decision, primary_reason and
     continue_to_ml.
 
     The first CRITICAL hit declines and the first APPROVE hit approves, whichever stands
     first; later rules are not listed. Else two HIGH hits decline; else the row passes on.
     Which rules fire is worked out as plain flags; reasons are made for hits only, and only
-    where a reader asks for them."""
-    made = rule_hits_of(config)
+    where a reader asks for them. tables: list, entity: rows of the lists of list_columns in
+    place of those of the configuration; a list without a row is empty."""
+    on_list = None
+    if tables is not None:
+        df = lists.listed(df, tables, list_columns(config), id)
+        on_list = {name: F.col(f"_in_{name}") for name in list_columns(config)}
+    made = rule_hits_of(config, on_list)
     rules = [made[name] for name in RULE_ORDER if name not in config.disabled]
     names = [name for name in RULE_ORDER if name not in config.disabled]
 
@@ -110,7 +130,7 @@ def evaluate_rules(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFram
             "primary_reason": F.when(stopped, last(lambda w: w.reason)).when(F.col("_high") >= 2, many),
         }
     )
-    return out.withColumn("continue_to_ml", F.col("rules_decision") == "PASS_TO_ML").drop("_stop", "_high", *(f"_way{i}" for i in range(len(rules))))
+    return out.withColumn("continue_to_ml", F.col("rules_decision") == "PASS_TO_ML").drop("_stop", "_high", *(f"_way{i}" for i in range(len(rules))), *(f"_in_{name}" for name in on_list or ()))
 
 
 def rule_names() -> Column:

@@ -45,10 +45,13 @@ with r as (
 )"""
 
 
-def decided(t: Tables) -> DataFrame:
+def _rule_rows(t: Tables) -> DataFrame:
     at = lambda c: F.timestamp_micros(c)
-    rows = t("v_rule_input").withColumns({"transaction_time": at("txn_us"), "last_transaction_time": at("last_us")})
-    return rules.evaluate_rules(rows)
+    return t("v_rule_input").withColumns({"transaction_time": at("txn_us"), "last_transaction_time": at("last_us")})
+
+
+def decided(t: Tables) -> DataFrame:
+    return rules.evaluate_rules(_rule_rows(t))
 
 
 @query("rules_decisions", RULES_SQL + " select transaction_id, rules_decision, array_to_string(list_transform(kept, lambda x: x[3:]), ',') as triggered, rules_decision = 'PASS_TO_ML' as continue_to_ml from d")
@@ -56,6 +59,49 @@ def _(t: Tables) -> DataFrame:
     return decided(t).select("transaction_id", "rules_decision", rules.rule_names().alias("triggered"), "continue_to_ml")
 
 
+RULE_LISTS_SQL = """
+select 'stolen_cards' as list, concat('card_', cast(c_custkey as string)) as entity from customer where c_acctbal < -500
+union all select 'fraud_devices', concat('D', cast(p_size * 20 as string)) from part where p_size < 10
+union all select 'vip_users', concat('U', cast(c_custkey as string)) from customer where c_acctbal > 9000
+union all select 'sanctioned_countries', n from (select case when n_nationkey % 5 = 0 then 'SY' else 'KP' end as n from nation)
+union all select 'fraud_domains', 'fakeinbox.com' from region"""
+#: What the SQL compares with the five lists of the configuration, and the lists' names.
+IN_LISTS = {
+    "card_number_hash in ('4532123456789012', '5425233430109903')": "card_number_hash in (select entity from rl where list = 'stolen_cards')",
+    "country in ('KP', 'IR', 'SY', 'CU')": "country in (select entity from rl where list = 'sanctioned_countries')",
+    "device_id in ('device_fraud_001', 'device_fraud_002')": "device_id in (select entity from rl where list = 'fraud_devices')",
+    "dom in ('tempmail.com', '10minutemail.com', 'guerrillamail.com', 'throwaway.email', 'fakeinbox.com')": "dom in (select entity from rl where list = 'fraud_domains')",
+    "user_id in ('user_vip_001', 'user_vip_002')": "user_id in (select entity from rl where list = 'vip_users')",
+}
+
+
+def _listed_sql() -> str:
+    sql = RULES_SQL.replace("with r as", f"with rl as ({RULE_LISTS_SQL}), r as", 1)
+    for said, held in IN_LISTS.items():
+        assert said in sql
+        sql = sql.replace(said, held)
+    return sql
+
+
+@query("rules_listed", _listed_sql() + " select transaction_id, rules_decision, array_to_string(list_transform(kept, lambda x: x[3:]), ',') as triggered from d")
+def _(t: Tables) -> DataFrame:
+    """The rules over lists that are tables."""
+    return rules.evaluate_rules(_rule_rows(t), tables=t.sql(RULE_LISTS_SQL)).select("transaction_id", "rules_decision", "triggered_names").withColumnRenamed("triggered_names", "triggered")
+
+
+REASONS_SQL = """ select transaction_id, case when stop > 0 then case kept[-1][3:]
+    when 'check_stolen_card' then 'Card is on the stolen list' when 'check_sanctioned_country' then concat('Sanctioned country: ', country)
+    when 'check_fraud_device' then 'Device is on the fraud list' when 'check_tor' then 'TOR exit node' when 'check_email_domain' then concat('Disposable e-mail domain: ', dom)
+    when 'check_amount_exceeds_limit' then printf('Amount %.2f over card limit %.2f', a, coalesce(card_limit, 10000)) when 'check_vip_user' then 'VIP user under the VIP amount'
+    when 'check_micro_transaction' then printf('Micro amount %.2f', a) end
+  when n_high >= 2 then printf('Multiple high-severity violations (%d)', n_high) end as reason from d"""
+
+
+@query("rules_reasons", RULES_SQL + REASONS_SQL)
+def _(t: Tables) -> DataFrame:
+    return decided(t).select("transaction_id", F.col("primary_reason").alias("reason"))
+
+
 @query("rules_hits", RULES_SQL + " select rule_name[3:] as rule_name, count(*) as hits from (select unnest(kept) as rule_name from d) group by 1")
 def _(t: Tables) -> DataFrame:
     return rules.rule_hits(decided(t))

@@ -70,13 +70,22 @@ def _(t: Tables) -> DataFrame:
     return jobs.finished(jobs.sla_alarms(rows), "stream-sla")
 
 
+def _graph(t: Tables) -> str:
+    """A folder with the edges and counters of the whole stream."""
+    root = f"{shared_folder(t.spark)}/stream-graph-{uuid.uuid4().hex}"
+    update = jobs.graph_updater(root, {"USES": ("user_id", "device_id"), "AT": ("user_id", "merchant_category")})
+    _stream(t).writeStream.foreachBatch(update).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
 @query("stream_graph", "select rel_type, count(*) as n from (select distinct user_id, device_id, 'USES' as rel_type, transaction_id from v_txn union all select distinct user_id, merchant_category, 'AT', transaction_id from v_txn) group by 1")
 def _(t: Tables) -> DataFrame:
-    root = f"{shared_folder(t.spark)}/stream-graph-{uuid.uuid4().hex}"
-    update = jobs.graph_updater(f"{root}/edges", {"USES": ("user_id", "device_id"), "AT": ("user_id", "merchant_category")})
-    q = _stream(t).writeStream.foreachBatch(update).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return jobs.edges_so_far(t.spark, f"{root}/edges").groupBy("rel_type").agg(F.count("*").alias("n"))
+    return jobs.edges_so_far(t.spark, _graph(t)).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_counters", "select user_id as account, count(*) as transactions, cast(sum(is_fraud) as bigint) as fraud, round(sum(amount), 4) as amount, min(us) as first_us, max(us) as last_us from v_txn group by 1")
+def _(t: Tables) -> DataFrame:
+    return jobs.counters_so_far(t.spark, _graph(t)).withColumn("amount", F.round(F.col("amount").cast("double"), 4))
 
 
 @query("stream_labels", "select transaction_id, is_fraud as label from v_txn")

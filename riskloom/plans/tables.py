@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
 from ..operators import lists, profiles, tables, velocity
+from ..sources import versioned
+from ..sources.io import shared_folder
 from .adapters import Tables
 from .registry import query
 
@@ -284,18 +288,28 @@ def _two(t: Tables) -> tuple[DataFrame, DataFrame]:
     return made[0], made[1].withColumn("account_type", F.when(F.col("total_transactions") % 2 == 0, F.col("account_type")))
 
 
-@query(
-    "profiles_upserted",
-    f"""with a as (select *, 'Active' as account_status from (with r as (select * from ({PROFILE_ROWS}) where transaction_id % 3 = 0) {BUILT_SQL})),
+UPSERTED_SQL = f"""with a as (select *, 'Active' as account_status from (with r as (select * from ({PROFILE_ROWS}) where transaction_id % 3 = 0) {BUILT_SQL})),
 b as (select *, 'Review' as account_status from (with r as (select * from ({PROFILE_ROWS}) where transaction_id % 3 <> 0) {BUILT_SQL}))
 select user_id, coalesce(case when b.total_transactions % 2 = 0 then b.account_type end, a.account_type) as account_type, coalesce(b.account_status, a.account_status) as account_status,
   coalesce(b.fraud_flag_count, a.fraud_flag_count) as fraud_flag_count, greatest(a.device_count, b.device_count) as device_count, greatest(a.last_transaction_at, b.last_transaction_at) as last_transaction_at
-from a full join b using (user_id)""",
-)
+from a full join b using (user_id)"""
+
+
+@query("profiles_upserted", UPSERTED_SQL)
 def _(t: Tables) -> DataFrame:
     return profiles.upsert_profiles(*_two(t)).select("user_id", "account_type", "account_status", "fraud_flag_count", "device_count", "last_transaction_at")
 
 
+@query("profiles_stored", UPSERTED_SQL)
+def _(t: Tables) -> DataFrame:
+    """The same, into a stored table in hash buckets."""
+    current, incoming = _two(t)
+    root = f"{shared_folder(t.spark)}/profiles-{uuid.uuid4().hex}"
+    versioned.create(current, root, "user_id")
+    versioned.upsert(incoming, root, profiles.upsert_profiles)
+    return versioned.read(t.spark, root).select("user_id", "account_type", "account_status", "fraud_flag_count", "device_count", "last_transaction_at")
+
+
 @query(
     "profiles_flagged_frozen",
     f"""with r as ({PROFILE_ROWS}), b as ({BUILT_SQL}) select user_id, fraud_flag_count + (cast(user_id as int) % 7 = 0)::int as fraud_flag_count, is_high_risk or cast(user_id as int) % 7 = 0 as is_high_risk,

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import domain_last
 from ..operators import graph, lists, routing, rules
+from ..sources import versioned
 from ..sources.io import shared_folder
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -206,18 +207,52 @@ def without_duplicates(txn: DataFrame, late: str = "24 hours") -> DataFrame:
     return txn.withWatermark("ts", late).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def graph_updater(path: str, ends: dict[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds a batch's edges in a folder of its batch id: a batch
-    that is run again overwrites itself. Readers take each edge once (edges_so_far)."""
+EDGES = "src string, dst string, rel_type string, transaction_id bigint"
+COUNTERS = "account string, transactions bigint, fraud bigint, amount decimal(38,4), first_us bigint, last_us bigint"
+
+
+def batch_counters(batch: DataFrame, account: str = "user_id") -> DataFrame:
+    """What a batch adds to the counters of its accounts."""
+    us = F.unix_micros("ts")
+    return batch.groupBy(F.col(account).cast("string").alias("account")).agg(
+        F.count("*").alias("transactions"),
+        F.sum(F.coalesce("is_fraud", F.lit(0)).cast("long")).alias("fraud"),
+        F.sum(F.coalesce(F.col("amount").cast("decimal(28,4)"), F.lit(0))).cast("decimal(38,4)").alias("amount"),
+        F.min(us).alias("first_us"),
+        F.max(us).alias("last_us"),
+    )
+
+
+def summed_counters(rows: DataFrame) -> DataFrame:
+    total = [F.sum(c).cast(kind).alias(c) for c, kind in (("transactions", "long"), ("fraud", "long"), ("amount", "decimal(38,4)"))]
+    return rows.groupBy("account").agg(*total, F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def graph_updater(path: str, ends: dict[str, tuple[str, str]], every: int = 20) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds a batch's edges and what it adds to the counters of its
+    accounts, as deltas of its batch id: a batch that is run again replaces its own or, once a
+    snapshot holds it, changes nothing. Every so many batches the deltas before are folded."""
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        graph.transaction_edges(batch, ends).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch = batch.persist()
+        versioned.add_delta(graph.transaction_edges(batch, ends).select("src", "dst", "rel_type", "transaction_id"), f"{path}/edges", batch_id)
+        versioned.add_delta(batch_counters(batch), f"{path}/counters", batch_id)
+        batch.unpersist()
+        if batch_id % every == every - 1:
+            versioned.fold_deltas(spark, f"{path}/edges", EDGES, DataFrame.distinct, batch_id)
+            versioned.fold_deltas(spark, f"{path}/counters", COUNTERS, summed_counters, batch_id)
 
     return update
 
 
 def edges_so_far(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch").distinct()
+    return versioned.read_folded(spark, f"{path}/edges", EDGES, DataFrame.distinct)
+
+
+def counters_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """account, transactions, fraud, amount, first_us, last_us over all batches."""
+    return versioned.read_folded(spark, f"{path}/counters", COUNTERS, summed_counters)
 
 
 def finished(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -240,4 +275,4 @@ def finished(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-__all__ = ["edges_so_far", "finished", "graph_updater", "hopping_totals", "lists", "score_stream", "sla_alarms", "trailing_stream", "warm_events", "without_duplicates"]
+__all__ = ["counters_so_far", "edges_so_far", "finished", "graph_updater", "hopping_totals", "lists", "score_stream", "sla_alarms", "trailing_stream", "warm_events", "without_duplicates"]
