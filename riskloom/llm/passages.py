@@ -1,31 +1,37 @@
 """Operator 3: substring dedup by paragraph MinHash banding.
 
-A paragraph is a run of whole sentences of at least min_words words (a line end closes a
-sentence; a long stretch without end marks is cut where a word's hash says so), so that a
-passage falls into the same paragraphs wherever it stands. Equal paragraphs meet by their
-hash. For near ones, MinHash values of their five-word shingles form bands; the number of
-bands is tuned so that a pair at the threshold meets with probability recall. Paragraphs
-that meet are verified by exact Jaccard similarity of their shingles. A bucket of at most
-PAIRED different paragraphs is compared pair by pair in joins; in a larger one all are
-compared with the smallest, and then each with every other in blocks of BLOCK, but for
-pairs that the distance to the smallest decides: those similar to it are linked already,
+Near paragraphs. A paragraph is a line of min_run to long_line words. A line of more than
+wide_line words can hold paragraphs that begin and end inside it, so there the smallest runs
+of whole sentences of wide words or more are paragraphs too; they overlap, and none holds
+another, so that two that overlap are never similar and a cluster can't creep along a text.
+One word changed, added or dropped in wide words leaves a similarity of 0.8. (A run that stands at
+just wide words in one text and at one less in the other can be missed.) Lines and runs are
+compared among themselves. MinHash values of the five-word shingles of a paragraph form bands of
+`rows` values; the number of bands is tuned so that a pair at the threshold meets with
+probability recall. Paragraphs that meet are verified by exact Jaccard similarity of their
+shingles. A bucket of at most PAIRED different paragraphs is compared pair by pair in joins; in a
+larger one all are compared with the smallest, and then each with every other in blocks of BLOCK,
+but for pairs that the distance to the smallest decides: those similar to it are linked already,
 and one further from it than twice the allowed distance is similar to none of them. So
 every similar pair of a bucket is linked, directly or by others. The work in a bucket of
 many paragraphs that are not similar grows with the square of their number.
 Components of the links are the clusters.
 
-A paragraph with a copy counts as a repeat where it stands in a run of such paragraphs of
-min_run words or more; short lines that many documents share are left alone. Of each
-cluster the first occurrence, by id and place, stays; all others are removals.
+Equal sentences. Sentences of min_words words or more (a line end closes a sentence; a long
+stretch without end marks is cut where a word's hash says so) meet by their hash. One with a
+copy counts as a repeat where it stands in a run of such sentences of min_run words or more;
+short lines that many documents share are left alone. Of each cluster of paragraphs or equal
+sentences the first occurrence, by id and place, stays; all others are removals. Paragraphs are
+numbered by negative even numbers, sentences from 0.
 
 Equal passages of passage words or more that different texts share are found wherever they
 begin and end, also inside sentences: hashes of seed words, one chosen by content in each
 stretch of passage words, show where a text can have such a copy (winnowing: no equal passage
-goes without one). There the stretches of passage words are compared by a rolling hash, and
-those that stand in an earlier document are removals, joined where they overlap: a passage
-ends at the exact word. Such rows have no paragraph number. Of exact copies of a text only
-the first takes part, the others are repeated paragraphs already. Passages that a text itself
-repeats are found the same way inside it; all but the first go.
+goes without one; of a seed that a text repeats every place counts). There the stretches of
+passage words are compared by a rolling hash, and those that stand in an earlier document are
+removals, joined where they overlap: a passage ends at the exact word. Such rows have no
+number. Of exact copies of a text only one is searched that way against others. What a text
+repeats inside itself is found the same way; all but the first go.
 
 Both searches read the texts once to cut them, and then once more only the documents that
 hold something to verify, which go out with the list of what is asked of them.
@@ -70,15 +76,22 @@ class Rules:
     long_words: int = 48
     shingle: int = 5
     threshold: float = 0.8
-    recall: float = 0.99
+    recall: float = 0.98
     min_run: int = 30
     #: Equal passages of this many words are found at any word; by hashes of seed words.
     passage: int = 51
     seed: int = 20
+    #: Words of a run of sentences that is a paragraph, of lines that have such runs, and of the
+    #: longest line that is a paragraph itself.
+    wide: int = 50
+    wide_line: int = 60
+    long_line: int = 200
+    #: MinHash values of a band.
+    rows: int = 2
 
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**self.rows))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,6 +152,7 @@ class Words:
     of: np.ndarray  # words before each text, and all words
     bound: np.ndarray  # words before each paragraph, and all words
     paras: np.ndarray  # paragraphs before each text, and all paragraphs
+    lines: np.ndarray  # words before each line, and all words
 
     def sizes(self) -> np.ndarray:
         return np.diff(self.bound)
@@ -158,7 +172,8 @@ def cut_texts(texts: list[str], rules: Rules) -> Words:
     of = np.append(np.searchsorted(start, offsets), len(start))
     bound, paras = _bounds(points, start, end, word, of, rules)
     own = np.repeat(offsets, np.diff(of))
-    return Words(start - own, end - own, word, of, bound, paras)
+    lines = np.unique(np.concatenate([[0], np.searchsorted(start, np.flatnonzero(points == 10)), [len(start)]]))
+    return Words(start - own, end - own, word, of, bound, paras, lines)
 
 
 STOP_POINTS, CLOSE_POINTS = (np.array([ord(c) for c in marks], np.uint32) for marks in (STOPS, CLOSERS))
@@ -210,24 +225,43 @@ def _bounds(points: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.nda
     return np.array(out), np.array(paras)
 
 
-def shingle_hashes(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles of paragraphs laid end to end (a shorter paragraph is
-    one shingle), and the number of each paragraph's."""
-    counts = np.maximum(sizes - k + 1, 1)
-    starts = np.cumsum(sizes) - sizes
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    ends = np.repeat(starts + sizes, counts)
-    h = np.zeros(len(at), np.uint64)
-    for i in range(k):
-        inside = at + i < ends
-        h = np.where(inside, _mix(h * np.uint64(BASE) + words[np.minimum(at + i, len(words) - 1)] + np.uint64(i + 1)), h)
-    return h, counts
+def wide_paragraphs(w: Words, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word + 1 and kind (0: lines, 1: runs of sentences) of the paragraphs."""
+    begin, end = w.lines[:-1], w.lines[1:]
+    whole = (end - begin >= rules.min_run) & (end - begin <= rules.long_line)
+    cuts = np.union1d(w.bound, w.lines)
+    at = np.searchsorted(cuts, cuts - rules.wide, "right") - 1  # the latest begin of a run that ends here
+    line = np.maximum(np.searchsorted(w.lines, cuts) - 1, 0)
+    last = w.lines[np.minimum(line + 1, len(w.lines) - 1)]
+    runs = (at >= 0) & (cuts[at] >= w.lines[line]) & (last - w.lines[line] > rules.wide_line)
+    runs &= np.append(True, at[1:] != at[:-1])  # the earliest end of a run that begins there
+    a, b = np.concatenate([begin[whole], cuts[at[runs]]]), np.concatenate([end[whole], cuts[runs]])
+    kind = np.concatenate([np.zeros(whole.sum(), np.uint64), np.ones(runs.sum(), np.uint64)])
+    order = np.lexsort((kind, b, a))
+    return a[order], b[order], kind[order]
+
+
+def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """A hash of the words a to b - 1 and the kind."""
+    n = len(words)
+    power, back = (POWERS, BACK) if n < USUAL else (_powers(BASE, n + 1), _powers(pow(BASE, -1, 1 << 64), n + 1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
+    return _mix(_mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)) + kind)
 
 
-def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
-    """One MinHash value of each paragraph for each band, marked with the band."""
-    starts = np.cumsum(counts) - counts
-    return np.stack([_mix(np.minimum.reduceat(_mix(hashes ^ np.uint64(7919 * (b + 1) << 32)), starts) + np.uint64(b)) for b in range(bands)])
+def band_keys(words: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray, rules: Rules) -> np.ndarray:
+    """A key of each paragraph, of the words a to b - 1, for each band: from its least shingle
+    hashes under `rows` mixings."""
+    h = np.append(gram_hashes(words, rules.shingle), np.uint64(0))
+    spans = np.stack([a, b - rules.shingle + 1], axis=1).reshape(-1)
+    out = []
+    for band in range(rules.bands):
+        key = kind + np.uint64(band)
+        for row in range(rules.rows):
+            mixed = _mix(h ^ np.uint64(7919 * (1 + band * rules.rows + row) << 32))
+            key = _mix(key * np.uint64(BASE) + np.minimum.reduceat(mixed, spans)[::2])
+        out.append(key)
+    return np.stack(out)
 
 
 def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -250,8 +284,7 @@ def _inside(of: np.ndarray, n: int, k: int) -> np.ndarray:
 
 def seeds(w: Words, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts, places and hashes of the seeds: of the runs of seed words inside each stretch of
-    passage words of a text, that of the smallest hash; of equal seeds of a text the first. And
-    the texts that have equal ones."""
+    passage words of a text, that of the smallest hash. And the texts that have equal ones."""
     h = gram_hashes(w.word, rules.seed)
     span = rules.passage - rules.seed + 1
     if len(h) < span:
@@ -265,8 +298,7 @@ def seeds(w: Words, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     order = np.lexsort((at, h[at], text))
     at, text = at[order], text[order]
     again = np.append(False, (h[at[1:]] == h[at[:-1]]) & (text[1:] == text[:-1]))[: len(at)]
-    kept = ~again
-    return text[kept], at[kept] - w.of[text[kept]], h[at[kept]], np.unique(text[again])
+    return text, at - w.of[text], h[at], np.unique(text[again])
 
 
 def own_repeats(start: np.ndarray, end: np.ndarray, word: np.ndarray, k: int) -> list[tuple[int, int, int, int, int, bool]]:
@@ -327,8 +359,8 @@ def _typed(docs: DataFrame, columns: str) -> str:
 
 
 def cut_pieces(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs: id, th, text. A row for each paragraph (with pid), for each seed (with seed) and
-    for each passage that a text itself repeats (with times)."""
+    """docs: id, th, text. A row for each sentence (with pid), each paragraph (with pid and
+    keys), each seed (with seed) and each passage that a text itself repeats (with times)."""
     kind = _typed(docs, PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +371,6 @@ def cut_pieces(docs: DataFrame, rules: Rules) -> DataFrame:
                 if not len(w.word):
                     continue
                 each, sizes = np.diff(w.paras), w.sizes()
-                keys = band_keys(*shingle_hashes(w.word, sizes, rules.shingle), rules.bands).T.reshape(-1).view(np.int64)
                 back = pa.array(np.repeat(rows, each))
                 no = np.arange(len(sizes)) - np.repeat(w.paras[:-1], each)
                 last = w.end[w.bound[1:] - 1]
@@ -353,9 +384,26 @@ def cut_pieces(docs: DataFrame, rules: Rules) -> DataFrame:
                         "last": last,
                         "n_words": sizes,
                         "pid": run_hashes(w.word, sizes).view(np.int64),
-                        "keys": _lists(keys, np.full(len(sizes), rules.bands)),
                     },
                 )
+                a, b, kind_of = wide_paragraphs(w, rules)
+                if len(a):
+                    text = np.searchsorted(w.of, a, "right") - 1
+                    left = np.searchsorted(text, text, "right") - np.arange(len(a))  # from here to the text's last
+                    back = pa.array(rows[text])
+                    yield _table(
+                        schema,
+                        {
+                            "id": batch.column("id").take(back),
+                            "th": batch.column("th").take(back),
+                            "no": -2 * left,
+                            "first": w.start[a],
+                            "last": w.end[b - 1],
+                            "n_words": b - a,
+                            "pid": span_hashes(w.word, a, b, kind_of).view(np.int64),
+                            "keys": _lists(band_keys(w.word, a, b, kind_of, rules).T.reshape(-1).view(np.int64), np.full(len(a), rules.bands)),
+                        },
+                    )
                 text, at, seed, doubled = seeds(w, rules)
                 back = pa.array(rows[text])
                 yield _table(schema, {"id": batch.column("id").take(back), "th": batch.column("th").take(back), "at": at, "seed": seed.view(np.int64)})
@@ -375,11 +423,11 @@ def _arrow_type(name: str) -> pa.DataType:
 
 def placed(paras: DataFrame, members: DataFrame) -> DataFrame:
     """pid, n, at and until (the first and the last place) and near (it shares a bucket) of
-    the paragraphs that stand in several places or share a bucket with others."""
+    the sentences that stand in several places and the paragraphs that share a bucket with others."""
     place = F.struct("id", "th", "no")
     near = members.select("pid").distinct().withColumn("near", F.lit(True))
     met = paras.groupBy("pid").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max(place).alias("until"))
-    return saved(met.join(near, "pid", "left").where("near or at <> until"), "para-places")
+    return saved(met.join(near, "pid", "left").where("near or (at <> until and at.no >= 0)"), "para-places")
 
 
 def asked(places: DataFrame, found: DataFrame) -> DataFrame:
@@ -404,17 +452,18 @@ def verified(docs: DataFrame, asks: DataFrame, rules: Rules) -> DataFrame:
             schema = schema or pa.schema([batch.schema.field("id"), *(pa.field(f.split()[0], _arrow_type(f.split()[1])) for f in VERIFIED.split(", "))])
             nos, spots = (batch.column(c).to_pylist() for c in ("nos", "spots"))
             for rows, w in _parts(batch, rules):
-                picked = np.sort(np.array([w.paras[d] + no for d, row in enumerate(rows.tolist()) for no in nos[row]], np.int64))
-                if len(picked):
-                    sizes = w.sizes()[picked]
-                    inside = np.repeat(w.bound[picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                    words = w.word[inside]
-                    h, counts = shingle_hashes(words, sizes, rules.shingle)
-                    owner = np.repeat(np.arange(len(sizes)), counts)
+                if any(nos[row] for row in rows.tolist()):
+                    a, b, kind_of = wide_paragraphs(w, rules)
+                    after = np.searchsorted(a, w.of[1:])  # paragraphs up to the end of each text
+                    picked = np.sort(np.array([after[d] + no // 2 for d, row in enumerate(rows.tolist()) for no in nos[row]], np.int64))
+                    a, b, kind_of = a[picked], b[picked], kind_of[picked]
+                    counts = b - a - rules.shingle + 1
+                    owner = np.repeat(np.arange(len(a)), counts)
+                    h = gram_hashes(w.word, rules.shingle)[np.repeat(a - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
                     order = np.lexsort((h.view(np.int64), owner))
                     h, owner = h[order], owner[order]
                     fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
-                    yield _table(schema, {"pid": run_hashes(words, sizes).view(np.int64), "shingles": _lists(h[fresh].view(np.int64), np.bincount(owner[fresh], minlength=len(sizes)))})
+                    yield _table(schema, {"pid": span_hashes(w.word, a, b, kind_of).view(np.int64), "shingles": _lists(h[fresh].view(np.int64), np.bincount(owner[fresh], minlength=len(a)))})
                 found = [(d, at + w.of[d]) for d, row in enumerate(rows.tolist()) for at in spots[row]]
                 if found:
                     text, at = (np.array(x) for x in zip(*found, strict=True))
@@ -552,7 +601,7 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
     pieces = saved(cut_pieces(rows, rules), "pieces")
     paras, found = pieces.where("pid is not null").select("id", "th", "no", "first", "last", "n_words", "pid", "keys"), pieces.where("seed is not null").select("id", "th", "at", "seed")
-    members = bucketed(paras)
+    members = bucketed(paras.where("keys is not null"))
     places = placed(paras, members)
     second = saved(verified(rows, asked(places, found), rules), "verified")
     sets, grams = second.where("pid is not null").select("pid", "shingles"), second.where("gram is not null").select("id", "th", "at", "first", "last", "gram")
@@ -562,7 +611,7 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     roots = reached.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     named = saved(reached.unionAll(roots), "para-components").select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
     dropped(links)
-    met = places.join(named, "pid", "left").where("at <> until or cluster is not null").select("pid", "n", "at", "until", F.coalesce("cluster", "pid").alias("cluster"))
+    met = places.join(named, "pid", "left").where("(at <> until and at.no >= 0) or cluster is not null").select("pid", "n", "at", "until", F.coalesce("cluster", "pid").alias("cluster"))
     total = met.groupBy("cluster").agg(F.sum("n").alias("cluster_size"), F.min("at").alias("kept"), F.max("until").alias("until")).where("kept <> until")
     held = saved(met.select("pid", "cluster").join(total.drop("until"), "cluster"), "para-clusters")
     dropped(places)

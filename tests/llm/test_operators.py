@@ -406,6 +406,70 @@ def test_near_paragraphs_meet(spark):
     assert found.where("removed").count() >= 0.97 * pairs
 
 
+def similarity(a, b):
+    a, b = (set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_near_paragraphs_with_an_edit_anywhere(spark, inside):
+    """One word changed, added or dropped at any place: of paragraphs that are lines, of 40 to 200
+    words; and of runs of sentences inside a longer line."""
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    said = lambda n, mark: [word() + ("." if i % mark == mark - 1 else "") for i in range(n)]
+    rows_in, wanted = [], set()
+    for k in range(150):
+        n = int(rng.integers(60 if inside else 40, 200))
+        one = said(n - n % 18 if inside else n, 18 if k % 3 else 400)
+        if inside:
+            one[-1] = one[-1].rstrip(".") + "."
+        two, at = list(one), int(rng.integers(0, len(one)))
+        two[at : at + 1] = [[word() + one[at][6:]], [one[at], word()], []][k % 3 if not one[at].endswith(".") else 0]
+        if similarity(one, two) >= 0.8:
+            wanted.add(2 * k + 1)
+        for d, w in ((2 * k, one), (2 * k + 1, two)):
+            around = [" ".join(said(36, 9)) for _ in range(2)] if inside else ["", ""]
+            rows_in.append((d, f"{around[0]} {' '.join(w)} {around[1]}".strip(), "en", "a"))
+    found = {r.doc_id for r in rows(passages.repeats(docs_of(spark, rows_in)).where("removed and no < 0"))}
+    assert len(wanted) > 120 and found <= {2 * k + 1 for k in range(150)}
+    assert len(found & wanted) >= 0.95 * len(wanted)
+
+
+def test_passages_whose_middle_a_text_repeats(spark):
+    """52 shared words, whose middle 40 also stand alone elsewhere in one of the two texts."""
+    rng = np.random.default_rng(32)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    texts = {}
+    for k in range(100):
+        shared = some(52)
+        texts[2 * k] = f"{some(70)} {shared} {some(70)}"
+        texts[2 * k + 1] = f"{some(40)} {' '.join(shared.split()[6:46])} {some(60)} {shared} {some(30)}"
+    found = rows(passages.repeats(docs_of(spark, [(d, t, "en", "a") for d, t in texts.items()])).where("removed"))
+    exact = {r.doc_id for r in found if r.no is None and r.n_words == 52}
+    assert exact == set(range(1, 200, 2))
+
+
+def test_links_of_whole_documents_against_brute_force(spark, sample):
+    """Every pair of similar lines of some hundred documents is in one cluster; no other line is."""
+    docs = sample.orderBy("doc_id").limit(150)
+    found = rows(passages.repeats(docs).where("no < 0 and removed"))
+    gone = {}
+    for r in found:
+        gone.setdefault(r.doc_id, []).append((r.first, r.last))
+    rules = passages.Rules()
+    lines = []
+    for r in sorted(rows(docs), key=lambda r: r.doc_id):
+        for m in re.finditer(r"[^\n]+", r.text or ""):
+            w = [x.lower() for x in WORD.findall(m.group())]
+            if rules.min_run <= len(w) <= rules.long_line:
+                lines.append((r.doc_id, m, w))
+    pairs = [(a, b) for k, b in enumerate(lines) for a in lines[:k] if a[2] != b[2] and similarity(a[2], b[2]) >= 0.8]
+    for a, b in pairs:
+        ends = lambda x: (x[1].start(), x[1].end())
+        assert any(f <= ends(x)[0] + 3 and last >= ends(x)[1] - 3 for x in (a, b) for f, last in gone.get(x[0], ())), (a[0], b[0])
+
+
 def test_large_bucket_against_brute_force(spark):
     rng = np.random.default_rng(12)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
@@ -431,8 +495,7 @@ def test_large_bucket_against_brute_force(spark):
     rules = passages.Rules()
     words = passages.cut_texts(texts, rules).word
     pids = passages.run_hashes(words, np.full(700, 40)).view(np.int64).tolist()
-    h, counts = passages.shingle_hashes(words, np.full(700, 40), rules.shingle)
-    held = [sorted(set(x.view(np.int64).tolist())) for x in np.split(h, np.cumsum(counts)[:-1])]
+    held = [sorted(set(passages.gram_hashes(w, rules.shingle).view(np.int64).tolist())) for w in np.split(words, 700)]
     one = spark.createDataFrame([(1, p, s) for p, s in zip(pids, held, strict=True)], "key long, pid long, shingles array<long>")
     links = passages.near_links(one.select("key", "pid"), one.select("pid", "shingles"), rules)
     reached = {r.node: r.component for r in rows(components.components(links))}
