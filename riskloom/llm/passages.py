@@ -84,7 +84,7 @@ class Rules:
     #: Words of a run of sentences that is a paragraph, of lines that have such runs, and of the
     #: longest line that is a paragraph itself.
     wide: int = 50
-    wide_line: int = 60
+    wide_line: int = 100
     long_line: int = 200
     #: MinHash values of a band.
     rows: int = 2
