@@ -47,6 +47,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,8 @@ SMALL, SMALL_CLUSTERS = 1_000_000, 200_000
 PAIRED = 64
 #: Paragraphs on one side of a block of a larger bucket.
 BLOCK = 512
+#: Pairs are verified in so many steps, since each sends the shingle sets of its pairs.
+STEPS = 4
 #: Characters of texts that a task cuts at once, about.
 HELD = 500_000
 
@@ -569,10 +572,17 @@ def near_links(members: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     placed = members.join(sizes, "key")
     little, large = placed.where(F.col("n") <= PAIRED).select("key", "pid"), placed.where(F.col("n") > PAIRED)
     pairs = little.select("key", F.col("pid").alias("lead")).join(little, "key").where("lead < pid").select("lead", "pid").distinct()
-    both = pairs.join(sets, "pid").join(sets.select(F.col("pid").alias("lead"), F.col("shingles").alias("of_lead")), "lead")
+    pairs = saved(pairs, "para-pairs")
     alike = F.size(F.array_intersect("shingles", "of_lead")) >= rules.threshold * F.size(F.array_union("shingles", "of_lead"))
-    good = both.where(alike).select(F.col("lead").alias("a"), F.col("pid").alias("b"))
-    return saved(good.unionAll(large_links(large.select("key", "pid", "lead"), sets, rules)), "para-links")
+    good = []
+    for k in range(STEPS):  # a step's shuffles are given back before the next
+        mine = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(STEPS)) == k
+        leads = sets.where(mine("pid")).select(F.col("pid").alias("lead"), F.col("shingles").alias("of_lead"))
+        both = pairs.where(mine("lead")).join(sets, "pid").join(leads, "lead")
+        good.append(saved(both.where(alike).select(F.col("lead").alias("a"), F.col("pid").alias("b")), "para-alike"))
+    dropped(pairs)
+    good.append(saved(large_links(large.select("key", "pid", "lead"), sets, rules), "para-alike"))
+    return saved(reduce(DataFrame.unionAll, good), "para-links")
 
 
 def equal_passages(grams: DataFrame, rules: Rules) -> DataFrame:
