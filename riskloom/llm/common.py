@@ -55,6 +55,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def saved_apart(df: DataFrame, label: str, kind: Column, kinds: list[str]) -> dict[str, DataFrame]:
+    """saved(), with a table for each kind, which can be dropped alone. kind is one of kinds."""
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    with shuffles_freed(df.sparkSession):
+        df.withColumn("_kind", kind).write.partitionBy("_kind").parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    found = {f.getPath().getName() for f in files.listStatus(at)}
+    out = {}
+    for k in kinds:
+        own = f"{path}/_kind={k}"
+        out[k] = df.sparkSession.read.schema(df.schema).parquet(own) if f"_kind={k}" in found else df.sparkSession.createDataFrame([], df.schema)
+        out[k]._riskloom_path = own
+    return out
+
+
 def tidy() -> None:
     """At the end of a task: give free memory of a Python worker back, since the worker stays
     for the stages after this one."""

@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, boxed, documents, dropped, saved, tidy, unboxed, where_last
+from .common import WORD, boxed, documents, dropped, saved, saved_apart, tidy, unboxed, where_last
 from .components import components
 
 #: Marks that end a sentence, and marks that may follow them.
@@ -609,11 +609,16 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     characters), n_words, cluster, cluster_size, first_id and removed. Then the equal
     passages, with a NULL no."""
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
-    pieces = saved(cut_pieces(rows, rules), "pieces")
-    paras, found = pieces.where("pid is not null").select("id", "th", "no", "first", "last", "n_words", "pid", "keys"), pieces.where("seed is not null").select("id", "th", "at", "seed")
-    members = bucketed(paras.where("keys is not null"))
+    kind = F.when(F.col("keys").isNotNull(), "paras").when(F.col("pid").isNotNull(), "sentences").when(F.col("seed").isNotNull(), "seeds").otherwise("own")
+    pieces = saved_apart(cut_pieces(rows, rules), "pieces", kind, ["paras", "sentences", "seeds", "own"])
+    members = bucketed(pieces["paras"].select("keys", "pid"))
+    spots = ["id", "th", "no", "first", "last", "n_words", "pid"]
+    wide = saved(pieces["paras"].join(members.select("pid").distinct(), "pid", "left_semi").select(*spots), "para-wide")
+    dropped(pieces["paras"])
+    paras, found = pieces["sentences"].select(*spots).unionAll(wide), pieces["seeds"].select("id", "th", "at", "seed")
     places = placed(paras, members)
     second = saved(verified(rows, asked(places, found), rules), "verified")
+    dropped(pieces["seeds"])
     sets, grams = second.where("pid is not null").select("pid", "shingles"), second.where("gram is not null").select("id", "th", "at", "first", "last", "gram")
     links = near_links(members, sets, rules)
     dropped(members)
@@ -626,7 +631,7 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     held = saved(met.select("pid", "cluster").join(total.drop("until"), "cluster"), "para-clusters")
     dropped(places)
     n = held.count()
-    met = paras.drop("keys")
+    met = paras
     if SMALL_CLUSTERS < n <= SMALL:  # too many to broadcast whole: first leave out what has no copy
         met = met.join(F.broadcast(held.select("pid")), "pid", "left_semi")
     each = met.join(F.broadcast(held) if n <= SMALL_CLUSTERS else held, "pid").distinct()
@@ -637,12 +642,12 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     of_paragraphs = runs.select(
         F.col("id").alias(id), "th", "no", "first", "last", "n_words", "cluster", "cluster_size", F.col("kept.id").alias("first_id"), removed.alias("removed")
     )
-    own = pieces.where("times is not null").select(
+    own = pieces["own"].select(
         F.col("id").alias(id), "th", F.lit(None).cast("int").alias("no"), "first", "last", "n_words", F.col("gram").alias("cluster"), F.col("times").cast("long").alias("cluster_size"), F.col("id").alias("first_id"), "removed"
     )
     first = saved(of_paragraphs.unionAll(own.distinct()), "repeated-paragraphs")
-    dropped(pieces)
-    dropped(held)
+    for done in (pieces["sentences"], pieces["own"], wide, held):
+        dropped(done)
     equal = equal_passages(grams, rules).withColumn("no", F.lit(None).cast("int")).withColumnRenamed("id", id)
     then = saved(equal.select(*first.columns), "repeated-passages")
     dropped(second)
