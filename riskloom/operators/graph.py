@@ -3,6 +3,8 @@ keep their state in tables in the shared folder and only read counts on the driv
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import GraphConfig
 from ..functions.scalars import clamp
-from ..sources.io import stored
+from ..sources.io import bucketed, stored
+
+#: The edges of a node are dealt to slots of this many above this share of all edges.
+SLOT, HOT_SHARE = 100_000, 0.001
 
 
 def entity_edges(df: DataFrame, user: str, columns: dict[str, str]) -> DataFrame:
@@ -25,6 +30,41 @@ def transaction_edges(txn: DataFrame, ends: dict[str, tuple[str, str]]) -> DataF
     return txn.select("transaction_id", F.inline(each)).where("src is not null and dst is not null").dropDuplicates(["src", "dst", "rel_type", "transaction_id"])
 
 
+@dataclass(frozen=True)
+class EdgeTable:
+    """Edges stored once in buckets of the end (key) at which every round meets them, so a round
+    shuffles what it sends along them and not the edges. Nodes with very many edges have them
+    dealt to slots; hot (key, slots) has those nodes, None if there are none."""
+
+    rows: DataFrame
+    key: str
+    hot: DataFrame | None
+
+    def meet(self, nodes: DataFrame, id: str) -> DataFrame:
+        """Each edge and the row of the node at its key. nodes: one row for each id."""
+        if self.hot is None:
+            return self.rows.join(nodes, self.rows[self.key] == nodes[id])
+        slots = nodes.join(F.broadcast(self.hot), nodes[id] == self.hot["_hot"], "left")  # at most 1 / HOT_SHARE rows
+        each = slots.select(*nodes.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)).alias("_at"))
+        return self.rows.join(each, (self.rows[self.key] == each[id]) & (self.rows["_slot"] == each["_at"])).drop("_slot", "_at")
+
+
+def edge_table(edges: DataFrame, key: str, label: str) -> EdgeTable:
+    """edges: src, dst and more columns, written in buckets of key (src or dst)."""
+    edges = stored(edges, label)
+    n = edges.count()
+    if n <= SLOT:
+        return EdgeTable(bucketed(edges, [key], label), key, None)
+    many = edges.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("n")).where(F.col("n") > max(SLOT, HOT_SHARE * n))
+    hot = stored(many.select("_hot", F.ceil(F.col("n") / SLOT).cast("int").alias("_slots")), f"{label}-hot")
+    if hot.isEmpty():
+        return EdgeTable(bucketed(edges, [key], label), key, None)
+    other = "dst" if key == "src" else "src"
+    dealt = edges.join(F.broadcast(hot), edges[key] == hot["_hot"], "left")
+    slotted = dealt.select(*edges.columns, F.coalesce(F.pmod(F.xxhash64(other), F.col("_slots")).cast("int"), F.lit(0)).alias("_slot"))
+    return EdgeTable(bucketed(slotted, [key, "_slot"], label), key, hot)
+
+
 def merge_edges(current: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("src", "dst", "rel_type"), created: str = "created_at") -> DataFrame:
     """Union with one row for each key: the first write keeps the created fields."""
     rest = [c for c in current.columns if c not in key]
@@ -184,37 +224,47 @@ def graph_risk_score(ring: Column, devices: Column, device_fraud: Column, depth:
 
 def shortest_path(edges: DataFrame, source: str, target: str, hops: int) -> DataFrame:
     """One row: source, target, connected, length, nodes, types. Breadth first over both
-    directions of all edges; of equally short paths the one with the smallest joined ids, and
-    of the edges between two nodes the smallest rel_type (empty if edges have none)."""
+    directions of all edges, from both ends: each step the smaller front moves on, and the path
+    is found where the two meet, so hardly more than half its length is searched from each end.
+    Of equally short paths the one with the smallest joined ids, and of the edges between two
+    nodes the smallest rel_type (empty if edges have none)."""
+    spark = edges.sparkSession
+    none = F.array().cast("array<string>")
+    row = lambda connected, length, nodes, types: (F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(connected).alias("connected"), F.lit(length).alias("length"), nodes.alias("nodes"), types.alias("types"))
     e = edges.select("src", "dst", F.col("rel_type") if "rel_type" in edges.columns else F.lit("").alias("rel_type")).where("src <> dst")
     both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type"))
-    both = stored(both.groupBy("src", "dst").agg(F.min("rel_type").alias("rel_type")), "path-edges")
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(source, [source], [])], "at string, nodes array<string>, types array<string>")
-    seen = front.select("at")
-    ends = F.lit(source).alias("source"), F.lit(target).alias("target")
-    for length in range(1, hops + 1):
-        step = both.join(front, both["src"] == front["at"]).select(F.col("dst").alias("to"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("types", F.array("rel_type")).alias("types"))
-        step = step.join(seen, F.col("to") == seen["at"], "left_anti")
-        front = stored(step.groupBy(F.col("to").alias("at")).agg(F.min_by(F.struct("nodes", "types"), F.array_join("nodes", "|")).alias("p")).select("at", "p.*"), "path-front")
-        hit = front.where(F.col("at") == target)
-        if not hit.isEmpty():
-            return hit.select(*ends, F.lit(True).alias("connected"), F.lit(length).alias("length"), "nodes", "types")
-        if front.isEmpty():
+    both = edge_table(both.groupBy("src", "dst").agg(F.min("rel_type").alias("rel_type")), "src", "path-edges")
+    start = lambda at: spark.createDataFrame([(at, [at], [])], "at string, nodes array<string>, types array<string>")
+    fronts, before, sizes = [start(source), start(target)], [None, None], [1, 1]
+    for length in range(1, hops + 1) if source != target else ():
+        k = 0 if sizes[0] <= sizes[1] else 1
+        front, met = fronts[k], both.meet(fronts[k], "at")
+        grown = lambda kept, new: F.concat(kept, F.array(new)) if k == 0 else F.concat(F.array(new), kept)  # noqa: B023, E731
+        step = met.select(F.col("dst").alias("to"), grown("nodes", "dst").alias("nodes"), grown("types", "rel_type").alias("types"))
+        # Both directions are there, so what a front meets again lies in it or in the one before.
+        for old in (front, before[k]):
+            step = step.join(old.select("at"), F.col("to") == F.col("at"), "left_anti") if old is not None else step
+        best = F.min_by(F.struct("nodes", "types"), F.array_join("nodes", "|"))
+        fronts[k], before[k] = stored(step.groupBy(F.col("to").alias("at")).agg(best.alias("p")).select("at", "p.*"), "path-front"), front
+        sizes[k] = fronts[k].count()
+        if not sizes[k]:
             break
-        seen = seen.unionAll(front.select("at"))
-    none = F.array().cast("array<string>")
-    return spark.range(1).select(*ends, F.lit(False).alias("connected"), F.lit(0).alias("length"), none.alias("nodes"), none.alias("types"))
+        back = fronts[1].select("at", F.col("nodes").alias("rest"), F.col("types").alias("later"))
+        whole = fronts[0].join(back, "at").select(F.concat("nodes", F.slice("rest", 2, hops + 1)).alias("nodes"), F.concat("types", "later").alias("types"))
+        hit = stored(whole.agg(F.min_by(F.struct("nodes", "types"), F.array_join("nodes", "|")).alias("p")).where("p is not null"), "path")
+        if not hit.isEmpty():
+            return hit.select(*row(True, length, F.col("p.nodes"), F.col("p.types")))
+    return spark.range(1).select(*row(False, 0, none, none))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """account_id, component_id (smallest id reachable). Labels spread along edges, and each
     round every label is replaced by its own label's label, so chains halve."""
     e = edges.select("src", "dst").where("src <> dst")
-    both = stored(e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "component-edges")
+    both = edge_table(e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "dst", "component-edges")
     labels = stored(nodes.select(F.col("account_id").alias("id")).distinct().withColumn("label", F.col("id")), "component-labels")
     while True:
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("label").alias("m"))
+        near = both.meet(labels, "id").groupBy("src").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("label", "m").alias("new"), F.col("label").alias("old"))
         jump = spread.join(labels.select(F.col("id").alias("new"), F.col("label").alias("j")), "new", "left").select("id", F.least("new", "j").alias("label"), "old")
         step = stored(jump, "component-labels")
@@ -248,15 +298,16 @@ def device_groups(edges: DataFrame, min_size: int = 3) -> DataFrame:
 
 def pagerank(transfers: DataFrame, accounts: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     """account_id, score: unnormalised, base 1 - damping, parallel edges counted, sinks keep
-    their mass. Stored every five rounds."""
+    their mass. Edges and nodes lie in buckets, so a round shuffles only the scores sent, summed
+    by target before. Stored every five rounds."""
     base = 1 - config.damping
     e = transfers.select("src", "dst")
     weight = e.groupBy("src", "dst").agg(F.count("*").alias("k")).join(e.groupBy("src").agg(F.count("*").alias("out")), "src")
-    weight = stored(weight.select("src", "dst", (F.col("k") / F.col("out")).alias("w")), "rank-edges")
-    ids = stored(accounts.select("account_id").distinct(), "rank-nodes")
+    weight = edge_table(weight.select("src", "dst", (F.col("k") / F.col("out")).alias("w")), "src", "rank-edges")
+    ids = bucketed(accounts.select("account_id").distinct(), ["account_id"], "rank-nodes")
     rank = ids.withColumn("score", F.lit(base))
     for k in range(config.rounds):
-        sent = weight.join(rank, weight["src"] == rank["account_id"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("score")).alias("got"))
+        sent = weight.meet(rank, "account_id").groupBy("dst").agg(F.sum(F.col("w") * F.col("score")).alias("got"))
         rank = ids.join(sent, ids["account_id"] == sent["dst"], "left").select("account_id", (F.lit(base) + config.damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if k % 5 == 4:
             rank = stored(rank, "ranks")
@@ -330,11 +381,12 @@ def _moved(both: DataFrame, rounds: int) -> DataFrame:
     hash parity may move to the neighbouring community with the largest positive gain in
     modularity; two rounds without a move end it."""
     total = both.agg(F.sum("w")).first()[0] or 1.0
+    beside = edge_table(both.where("src <> dst"), "dst", "modularity-beside")
     degree = stored(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "modularity-degrees")
     own, still = degree.select("id", F.col("id").alias("c")), 0
     for r in range(rounds):
         size = own.join(degree, "id").groupBy("c").agg(F.sum("k").alias("ck"))
-        near = both.where("src <> dst").join(own.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("win"))
+        near = beside.meet(own.select(F.col("id").alias("at"), "c"), "at").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("win"))
         option = near.join(own.select("id", F.col("c").alias("was")).join(degree, "id"), "id").join(size, "c")
         gain = F.col("win") - F.col("k") * (F.col("ck") - F.when(F.col("c") == F.col("was"), F.col("k")).otherwise(0.0)) / total
         best = option.withColumn("gain", gain).groupBy("id").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", "c")).alias("b"), F.max(F.when(F.col("c") == F.col("was"), F.col("gain"))).alias("stay"))

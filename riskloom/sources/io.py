@@ -61,3 +61,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """df as stored(), in as many buckets of keys as a shuffle has partitions, one file each: a
+    join or grouping on keys reads it without an exchange, however often."""
+    spark = df.sparkSession
+    name, n = f"{label}_{uuid.uuid4().hex}".replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the catalogue forgets it; the files stay, as those of stored()
+    return out
