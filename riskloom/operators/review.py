@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
+from .velocity import HOT_ROWS, hot_users
 
 MINUTE = 60_000_000
 
@@ -70,33 +71,79 @@ def event_rank(event: Column) -> Column:
     return F.when(event == "ENQUEUED", 0).when(event == "ASSIGNED", 1).when(event == "REQUEUED", 2).when(event == "RESOLVED", 3).otherwise(4)
 
 
+#: The states of a case; a case opens in the first.
+STATES = ("PENDING", "IN_REVIEW", "RESOLVED", "TIMED_OUT")
+
+
 def _step(state: Column, e: Column) -> Column:
     s, kind = state["status"], e["event"]
-    ok = (
-        ((kind == "ENQUEUED") & s.isNull())
-        | ((kind == "ASSIGNED") & (s == "PENDING"))
+    ok = F.coalesce(
+        ((kind == "ASSIGNED") & (s == "PENDING"))
         | ((kind == "REQUEUED") & (s == "IN_REVIEW"))
-        | (kind == "RESOLVED") & s.isNotNull()
-        | ((kind == "TIMED_OUT") & s.isNotNull() & ~s.isin("RESOLVED", "TIMED_OUT"))
+        | (kind == "RESOLVED")
+        | ((kind == "TIMED_OUT") & ~s.isin("RESOLVED", "TIMED_OUT")),
+        F.lit(False),
+    )
+    held = F.when(kind == "ASSIGNED", F.struct(e["analyst"].alias("analyst"), e["us"].alias("assigned_us"))).when(kind == "REQUEUED", F.struct(F.lit(None).cast("string").alias("analyst"), F.lit(None).cast("bigint").alias("assigned_us")))
+    return F.struct(
+        F.when(ok, F.when(kind == "REQUEUED", "PENDING").when(kind == "ASSIGNED", "IN_REVIEW").otherwise(kind)).otherwise(s).alias("status"),
+        F.when(ok & held.isNotNull(), held).otherwise(state["held"]).alias("held"),
+        F.when(ok & (kind == "RESOLVED"), F.struct(e["us"].alias("us"))).otherwise(state["resolved"]).alias("resolved"),
+        (state["applied"] + ok.cast("int")).alias("applied"),
     )
-    new = F.when(kind.isin("ENQUEUED", "REQUEUED"), "PENDING").when(kind == "ASSIGNED", "IN_REVIEW").otherwise(kind)
-    kept = lambda name, value: F.when(ok, value).otherwise(state[name]).alias(name)
+
+
+def _start(status: str) -> Column:
+    """A state before any event: held and resolved are NULL until an event sets what they hold."""
+    held, resolved = F.lit(None).cast("struct<analyst:string,assigned_us:bigint>"), F.lit(None).cast("struct<us:bigint>")
+    return F.struct(F.lit(status).alias("status"), held.alias("held"), resolved.alias("resolved"), F.lit(0).alias("applied"))
+
+
+def _then(state: Column, change: Column) -> Column:
+    """What a state becomes by a change: a struct with the outcome from each of STATES."""
+    pick = lambda f: reduce(lambda w, s: w.when(state["status"] == s, change[s][f]), STATES[1:], F.when(state["status"] == STATES[0], change[STATES[0]][f]))
     return F.struct(
-        kept("status", new),
-        kept("analyst", F.when(kind == "ASSIGNED", e["analyst"]).when(kind == "REQUEUED", F.lit(None).cast("string")).otherwise(state["analyst"])),
-        kept("assigned_us", F.when(kind == "ASSIGNED", e["us"]).when(kind == "REQUEUED", F.lit(None).cast("bigint")).otherwise(state["assigned_us"])),
-        kept("resolved_us", F.when(kind == "RESOLVED", e["us"]).otherwise(state["resolved_us"])),
-        (state["applied"] + F.coalesce(ok, F.lit(False)).cast("int")).alias("applied"),
+        pick("status").alias("status"),
+        F.coalesce(pick("held"), state["held"]).alias("held"),
+        F.coalesce(pick("resolved"), state["resolved"]).alias("resolved"),
+        (state["applied"] + pick("applied")).alias("applied"),
     )
 
 
-def case_state(events: DataFrame) -> DataFrame:
+def _changes(events: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and change: what the events of each key, in order, make of a case in each state."""
+    ordered = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("us", event_rank(F.col("event")).alias("rank"), "event", "analyst"))).alias("e"))
+    each = F.struct(*(F.aggregate("e", _start(s), _step).alias(s) for s in STATES))
+    return ordered.select(*keys, each.alias("change"))
+
+
+def _hot_states(events: DataFrame, fan: int) -> DataFrame:
+    """The states of cases of many events: their events meet in ranges of time, each range is
+    made into its change, and changes are joined fan at a time, so no case is one row."""
+    cut = ranks.ranged(events, ["case_id"], F.col("us").cast("double")).withColumnRenamed("_range", "_at")
+    many = _changes(cut, ["case_id", "_at"])
+    width = ranks.PARTS
+    while width > fan:
+        width = -(-width // fan)
+        parts = many.groupBy("case_id", F.floor(F.col("_at") / fan).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_at", "change"))).alias("c"))
+        joined = F.struct(*(F.aggregate("c", _start(s), lambda x, c: _then(x, c["change"])).alias(s) for s in STATES))
+        many = parts.select("case_id", "_at", joined.alias("change"))
+    whole = many.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("_at", "change"))).alias("c"))
+    return whole.select("case_id", F.aggregate("c", _start(STATES[0]), lambda x, c: _then(x, c["change"])).alias("s"))
+
+
+def case_state(events: DataFrame, hot_rows: int = HOT_ROWS, fan: int = 16) -> DataFrame:
     """case_id, status, analyst, assigned_us, resolved_us, applied (events that counted). The
     events of a case are replayed in order; those not allowed in its state are ignored. A
-    case opens with its first event if it has no ENQUEUED."""
-    ordered = events.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("us", event_rank(F.col("event")).alias("rank"), "event", "analyst"))).alias("e"))
-    zero = F.struct(F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("analyst"), F.lit(None).cast("bigint").alias("assigned_us"), F.lit(None).cast("bigint").alias("resolved_us"), F.lit(0).alias("applied"))
-    return ordered.select("case_id", F.aggregate("e", zero, _step).alias("s")).select("case_id", "s.*")
+    case opens with its first event if it has no ENQUEUED. Cases above the bounds of hot users
+    are replayed in ranges of time, whose outcomes from each state are joined."""
+    hot = hot_users(events, "case_id", hot_rows)
+    few = events if hot is None else events.join(F.broadcast(hot), "case_id", "left_anti")  # at most 1 / HOT_SHARE cases
+    ordered = few.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("us", event_rank(F.col("event")).alias("rank"), "event", "analyst"))).alias("e"))
+    states = ordered.select("case_id", F.aggregate("e", _start(STATES[0]), _step).alias("s"))
+    if hot is not None:
+        states = states.unionByName(_hot_states(events.join(F.broadcast(hot), "case_id", "left_semi"), fan))
+    return states.select("case_id", "s.status", "s.held.analyst", "s.held.assigned_us", F.col("s.resolved.us").alias("resolved_us"), "s.applied")
 
 
 def list_cases(cases: DataFrame, limit: int = 100, **equal: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import scalars as S
 from ..operators import lists, profiles, tables, velocity
-from ..sources import versioned
+from ..sources import database, versioned
 from ..sources.io import shared_folder
 from .adapters import Tables
 from .registry import query
@@ -310,6 +310,25 @@ def _(t: Tables) -> DataFrame:
     return versioned.read(t.spark, root).select("user_id", "account_type", "account_status", "fraud_flag_count", "device_count", "last_transaction_at")
 
 
+@query("profiles_in_database", UPSERTED_SQL)
+def _(t: Tables) -> DataFrame:
+    """The same, merged into a table of a database and read back in ranges of the last time. The
+    database is that of spark.riskloom.jdbc.url; where all work is done on this machine and none
+    is named, one in memory."""
+    url = t.spark.conf.get("spark.riskloom.jdbc.url", None)
+    if not url:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.riskloom.jdbc.url to a database that the driver and all executors reach")
+        url = "jdbc:derby:memory:riskloom;create=true"
+    columns = ["user_id", "account_type", "account_status", "fraud_flag_count", "device_count", "last_transaction_at"]
+    current, incoming = (p.select(*columns) for p in _two(t))
+    table = f"profiles_{uuid.uuid4().hex}"
+    database.create_table(current, url, table, profiles.DATABASE_TYPES, ["user_id"])
+    for rows in (current, incoming):
+        database.merge_table(rows, url, table, profiles.DATABASE_TYPES, ["user_id"], profiles.DATABASE_MERGE)
+    return database.read_table(t.spark, url, table, by="last_transaction_at", parts=t.spark.sparkContext.defaultParallelism)
+
+
 @query(
     "profiles_flagged_frozen",
     f"""with r as ({PROFILE_ROWS}), b as ({BUILT_SQL}) select user_id, fraud_flag_count + (cast(user_id as int) % 7 = 0)::int as fraud_flag_count, is_high_risk or cast(user_id as int) % 7 = 0 as is_high_risk,

@@ -35,15 +35,6 @@ def write_importances(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A profile table in a database; its driver must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
-    df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=table, **options).save()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. A folder of our own only where it is unset and all work is done on
     this machine, as in tests."""
