@@ -5,10 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import KolmogorovSmirnovTest
@@ -67,23 +71,43 @@ def boosted_trees(features: list[str], label: str = "label", weight: str | None
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), trees])
 
 
+def class_weighted(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
+    """df with a weight: the number of 0 labels over that of 1 labels for rows labelled 1, else 1
+    (1 for all where a label is missing altogether)."""
+    count = lambda v: F.sum((F.col(label) == v).cast("double"))
+    ratio = df.agg(F.try_divide(count(0), count(1)).alias("_ratio"))
+    both = df.crossJoin(F.broadcast(ratio))  # one row
+    return both.withColumn(weight, F.when((F.col(label) == 1) & (F.col("_ratio") > 0), F.col("_ratio")).otherwise(1.0)).drop("_ratio")
+
+
 def probability(scored: DataFrame) -> Column:
     return vector_to_array("probability")[1]
 
 
-def random_search(train: DataFrame, features: list[str], grid: dict[str, list], n: int, k: int, label: str = "label", seed: int = 42) -> DataFrame:
-    """params (text) and mean auc of n parameter sets drawn from the grid, over the folds 0
-    to k - 1 of column fold."""
+def side_by_side(tasks: list, parallelism: int) -> list:
+    """Results of driver-side tasks, in order, that many at a time: small fits leave executors idle
+    between their jobs, so the jobs of several fill them."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(lambda run: run(), [inherit(t) for t in tasks])
+
+
+def random_search(train: DataFrame, features: list[str], grid: dict[str, list], n: int, k: int, label: str = "label", seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """params (text) and mean auc (without bins) of n parameter sets drawn from the grid, over the
+    folds 0 to k - 1 of column fold. Features are assembled once, fits run side by side."""
     sets = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
     drawn = random.Random(seed).sample(sets, min(n, len(sets)))
-    rows = []
-    for params in drawn:
-        total = 0.0
-        for f in range(k):
-            model = boosted_trees(features, label, **params).fit(train.where(F.col("fold") != f))
-            held = model.transform(train.where(F.col("fold") == f)).withColumn("score", probability(train))
-            total += ranking_metrics(held, label, "score").first()["auc"]
-        rows.append((str(sorted(params.items())), total / k))
+    assemble, trees = boosted_trees(features, label).getStages()
+    ready = stored(assemble.transform(train).select("features", label, "fold"), "search-folds")
+    auc = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+
+    def one(chosen: dict, f: int) -> float:
+        fitted = trees.fit(ready.where(F.col("fold") != f), {trees.getParam(p): v for p, v in chosen.items()})
+        return auc.evaluate(fitted.transform(ready.where(F.col("fold") == f)))
+
+    scores = side_by_side([partial(one, chosen, f) for chosen in drawn for f in range(k)], parallelism)
+    means = np.array(scores).reshape(len(drawn), k).mean(axis=1)
+    rows = [(str(sorted(chosen.items())), float(mean)) for chosen, mean in zip(drawn, means, strict=True)]
     return train.sparkSession.createDataFrame(rows, "params string, auc double")
 
 
@@ -108,18 +132,20 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def cross_validated(train: DataFrame, features: list[str], k: int = 5, label: str = "label", **params) -> DataFrame:
+def cross_validated(train: DataFrame, features: list[str], k: int = 5, label: str = "label", parallelism: int = 4, **params) -> DataFrame:
     """metric, scores, mean, std (population) and band of auc, precision, recall and f1: one fit
-    for each of the folds 0 to k - 1 of column fold, scored on the rows of that fold."""
-    found: dict[str, list[float]] = {m: [] for m in ("auc", "precision", "recall", "f1")}
-    for f in range(k):
-        model = boosted_trees(features, label, **params).fit(train.where(F.col("fold") != f))
-        held = stored(model.transform(train.where(F.col("fold") == f)).select(label, probability(train).alias("score"), "prediction"), "cv-scores")
+    for each of the folds 0 to k - 1 of column fold, scored on the rows of that fold; fits run
+    side by side."""
+    ready = stored(train.select(*features, label, "fold"), "cv-folds")
+
+    def one(f: int) -> list[float]:
+        model = boosted_trees(features, label, **params).fit(ready.where(F.col("fold") != f))
+        held = stored(model.transform(ready.where(F.col("fold") == f)).select(label, probability(train).alias("score"), "prediction"), "cv-scores")
         counts = confusion(held, F.col("prediction") == 1, F.col(label) == 1).first()
-        found["auc"].append(ranking_metrics(held, label, "score").first()["auc"] or 0.0)
-        for m in ("precision", "recall", "f1"):
-            found[m].append(float(counts[m] or 0.0))
-    rows = [(m, s, float(np.mean(s)), float(np.std(s))) for m, s in found.items()]
+        return [ranking_metrics(held, label, "score").first()["auc"] or 0.0, *(float(counts[m] or 0.0) for m in ("precision", "recall", "f1"))]
+
+    found = zip(*side_by_side([partial(one, f) for f in range(k)], parallelism), strict=True)
+    rows = [(m, list(s), float(np.mean(s)), float(np.std(s))) for m, s in zip(("auc", "precision", "recall", "f1"), found, strict=True)]
     return train.sparkSession.createDataFrame(rows, "metric string, scores array<double>, mean double, std double").withColumn("band", stability(F.col("std")))
 
 
