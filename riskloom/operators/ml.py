@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -15,7 +15,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,20 +236,40 @@ def ks_two_sample(base: DataFrame, new: DataFrame, columns: list[str], alpha: fl
     return out.select("feature", "d", "p_value", (F.col("p_value") < alpha).alias("drifted"))
 
 
+# Hart's rational approximation of the normal distribution, numerator and
+# denominator from the highest power down.
+ABOVE = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+BELOW = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Share of the standard normal distribution up to z, to 14 places."""
+    far = F.abs(z)
+    powers = lambda terms: reduce(lambda sum_, term: sum_ * far + F.lit(term), terms[1:], F.lit(terms[0]))
+    fraction = reduce(lambda sum_, k: far + F.lit(float(k)) / sum_, (4, 3, 2, 1), far + F.lit(0.65))
+    bell = F.exp(-far * far / 2)
+    tail = F.when(far < 7.07106781186547, bell * powers(ABOVE) / powers(BELOW)).otherwise(bell / fraction / 2.506628274631)
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
 def ks_normal(new: DataFrame, baseline: DataFrame, alpha: float = 0.05) -> DataFrame:
     """feature, d, p_value, drifted: new values against a normal distribution of the baseline's
-    mean and std (a row for each feature). Features that new lacks are left out, and those whose
-    baseline has no spread or that have no value."""
-    rows = []
-    for r in baseline.select("feature", "mean", "std").collect():
-        if r.feature not in new.columns or not r.std:
-            continue
-        x = new.select(F.col(r.feature).cast("double").alias("x")).where("x is not null and not isnan(x)")
-        if x.isEmpty():
-            continue
-        t = KolmogorovSmirnovTest.test(x, "x", "norm", float(r["mean"]), float(r["std"])).first()
-        rows.append((r.feature, float(t.statistic), float(t.pValue), bool(t.pValue < alpha)))
-    return new.sparkSession.createDataFrame(rows, "feature string, d double, p_value double, drifted boolean")
+    mean and std (a row for each feature, so few). All features in one pass, through ranges of
+    their values. Features that new lacks are left out, and those whose baseline has no spread or
+    that have no value. p_value is asymptotic with Stephens' correction for small samples: of 60 rows
+    it is off by up to 0.02, by 0.002 below 0.1."""
+    of = {r.feature for r in baseline.where("std > 0").select("feature").collect()}
+    columns = [c for c in new.columns if c in of]
+    if not columns:
+        return new.sparkSession.createDataFrame([], "feature string, d double, p_value double, drifted boolean")
+    run = ranks.running(tables.unpivoted(new, columns).groupBy("feature", "x").agg(F.count("*").alias("k")), ["feature"], "x", ["k"])
+    at = run.join(baseline.where("std > 0").select("feature", "mean", "std"), "feature")
+    expected, n = normal_cdf((F.col("x") - F.col("mean")) / F.col("std")), F.col("k_all")
+    gap = F.greatest(F.abs(expected - F.col("k_upto") / n), F.abs(expected - (F.col("k_upto") - F.col("k")) / n))
+    d = at.groupBy("feature").agg(F.max(gap).alias("d"), F.max("k_all").cast("double").alias("n"))
+    root = F.sqrt("n")
+    out = d.withColumn("p_value", ks_p_value(F.col("d"), F.pow(root + 0.12 + 0.11 / root, 2)))
+    return out.select("feature", "d", "p_value", (F.col("p_value") < alpha).alias("drifted"))
 
 
 def drift_summary(tests: DataFrame) -> DataFrame:

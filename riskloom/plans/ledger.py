@@ -337,7 +337,7 @@ def _train(t: Tables) -> DataFrame:
 @query("gbt_scores")
 def _(t: Tables) -> DataFrame:
     rows = _train(t)
-    model = M.boosted_trees(FEATURES, maxIter=20).fit(rows.where("fold <> 0"))
+    model = M.boosted_trees(FEATURES).fit(rows.where("fold <> 0"))
     return model.transform(rows.where("fold = 0")).withColumn("score", M.probability(rows)).select("transaction_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -345,7 +345,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Frauds weigh as much as all else in the fit; the held-out fold is scored from flat tables."""
     rows = _train(t)
-    model = M.boosted_trees(FEATURES, weight="weight", maxIter=20).fit(M.class_weighted(rows.where("fold <> 0")))
+    model = M.boosted_trees(FEATURES, weight="weight").fit(M.class_weighted(rows.where("fold <> 0")))
     margin = trees.margin(trees.exported(model), FEATURES)
     return rows.where("fold = 0").select("transaction_id", "label", F.round(trees.probability(margin), 6).alias("score"))
 
@@ -354,7 +354,7 @@ def _calibrated(t: Tables) -> DataFrame:
     """Fold 0 with the margin, score and calibrated score of trees fitted on fold 2, whose margins
     on fold 1 gave the sigmoid."""
     rows = _train(t)
-    model = M.boosted_trees(FEATURES, maxIter=20).fit(rows.where("fold = 2"))
+    model = M.boosted_trees(FEATURES).fit(rows.where("fold = 2"))
     margin = trees.margin(trees.exported(model), FEATURES)
     slope, intercept = M.platt_fit(rows.where("fold = 1").withColumn("margin", margin))
     held = rows.where("fold = 0").withColumn("margin", margin)
@@ -382,7 +382,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("importances")
 def _(t: Tables) -> DataFrame:
-    return M.importances(M.boosted_trees(FEATURES, maxIter=20).fit(_train(t)), FEATURES, t.spark)
+    return M.importances(M.boosted_trees(FEATURES).fit(_train(t)), FEATURES, t.spark)
 
 
 @query("cv_scores")

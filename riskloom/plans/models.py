@@ -4,6 +4,7 @@ files, and of ledger steps that stand alone."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +51,35 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(stats.schema).json(path).withColumns({c: F.round(c, 4) for c in ("mean", "std", "median", "q25", "q75")})
 
 
-@query("drift_baseline")
+def _normal_sql(z: str) -> str:
+    """The normal distribution in SQL, by the same approximation."""
+    powers = lambda terms: reduce(lambda sum_, term: f"({sum_} * {z} + {term!r}::double)", terms[1:], f"{terms[0]!r}::double")
+    fraction = reduce(lambda sum_, k: f"({z} + {k} / {sum_})", (4, 3, 2, 1), f"({z} + 0.65)")
+    return f"exp(-{z} * {z} / 2) * case when {z} < 7.07106781186547 then {powers(M.ABOVE)} / {powers(M.BELOW)} else 1 / {fraction} / 2.506628274631::double end"
+
+
+@query(
+    "drift_baseline",
+    "with b as ("
+    + " union all ".join(f"select '{c}' as feature, avg(cast({c} as double)) as mean, stddev_pop(cast({c} as double)) as std from v_features" for c in BASE)
+    + "), l as ("
+    + " union all ".join(f"select '{c}' as feature, cast({c} as double) as x from v_features where account_age_days > 60" for c in BASE)
+    + f"""), g as (select feature, x, count(*) as k from l where x is not null group by 1, 2),
+r as (select feature, x, k, sum(k) over (partition by feature order by x) as upto, sum(k) over (partition by feature) as n from g),
+t as (select r.*, (x - mean) / std as z, abs((x - mean) / std) as far from r join b using (feature) where std > 0),
+c as (select *, case when z > 0 then 1 - tail else tail end as f from (select *, {_normal_sql('far')} as tail from t)),
+d as (select feature, max(greatest(abs(f - upto / n), abs(f - (upto - k) / n))) as d, max(n) as n from c group by 1),
+m as (select feature, d, d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) as lam from d),
+p as (select feature, d, least(1, greatest(0, 2 * (select sum(case when k % 2 = 1 then 1.0 else -1.0 end * exp(-2.0 * k * k * lam * lam)) from range(1, 101) r(k)))) as p_value from m)
+select feature, round(d, 6) as d, round(p_value, 6) as p_value, p_value < 0.05 as drifted from p""",
+)
 def _(t: Tables) -> DataFrame:
-    """New rows against a normal distribution of the written baseline; SQL has no such function."""
+    """New rows against a normal distribution of the written baseline."""
     path = _folder(t, "baseline")
     io.write_report(tables.baseline_stats(t("v_features"), list(BASE)), path)
     new = t("v_features").where("account_age_days > 60")
-    return M.ks_normal(new, t.spark.read.schema("feature string, mean double, std double").json(path))
+    out = M.ks_normal(new, t.spark.read.schema("feature string, mean double, std double").json(path))
+    return out.withColumns({c: F.round(c, 6) for c in ("d", "p_value")})
 
 
 # Models.

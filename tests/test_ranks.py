@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import functions as F
 
 from riskloom.operators import ml, ranks
@@ -58,6 +59,27 @@ def test_one_sample_drift(spark):
     assert ml.drift_summary(ml.ks_normal(df, base.where("feature = 'absent'"))).first().drift_score is None
 
 
+def test_normal_distribution(spark):
+    z = [-40.0, -9.0, -7.08, -7.0, -3.5, -1e-9, 0.0, 0.3, 2.0, 7.0, 7.08, 9.0, 40.0]
+    df = spark.createDataFrame([(v,) for v in z], "z double")
+    for r in df.select("z", ml.normal_cdf(F.col("z")).alias("p")).collect():
+        want = 0.5 * math.erfc(-r.z / math.sqrt(2))
+        assert abs(r.p - want) < 1e-14 and (r.z < -37 or abs(r.p - want) <= 1e-6 * want)
+
+
+def test_one_sample_drift_is_sparks_test(spark):
+    """d to rounding, for small samples, ties and many features; p, which is exact there and asymptotic
+    here, to 0.02 and where a drift is decided to 0.002."""
+    rng = np.random.default_rng(8)
+    x = np.stack([np.round(rng.normal(0.1 * k, 1, 60), 1 + k % 3) for k in range(6)], axis=1)
+    names = [f"f{k}" for k in range(6)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"{n} double" for n in names))
+    got = {r.feature: r for r in ml.ks_normal(df, spark.createDataFrame([(n, 0.0, 1.0) for n in names], "feature string, mean double, std double")).collect()}
+    for n in names:
+        want = KolmogorovSmirnovTest.test(df.select(F.col(n).alias("x")), "x", "norm", 0.0, 1.0).first()
+        assert abs(got[n].d - want.statistic) < 1e-12 and abs(got[n].p_value - want.pValue) < (0.002 if want.pValue < 0.1 else 0.02)
+
+
 def test_trailing_sums_move_with_time():
     rng = random.Random(6)
     pairs = sorted({(float(rng.randrange(300)), round(rng.random(), 4)) for _ in range(500)})
