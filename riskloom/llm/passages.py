@@ -61,7 +61,7 @@ from .components import components
 #: Marks that end a sentence, and marks that may follow them.
 STOPS, CLOSERS = ".!?…", "\"'”’»)]"
 #: Rows of a table of two numbers, and of the table of clusters, that may be broadcast.
-SMALL, SMALL_CLUSTERS = 1_000_000, 200_000
+SMALL = 1_000_000
 #: Buckets of up to this many different paragraphs are compared pair by pair.
 PAIRED = 64
 #: Paragraphs on one side of a block of a larger bucket.
@@ -632,9 +632,9 @@ def repeats(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: s
     dropped(places)
     n = held.count()
     met = paras
-    if SMALL_CLUSTERS < n <= SMALL:  # too many to broadcast whole: first leave out what has no copy
+    if n <= SMALL:  # hashes alone are broadcast, to leave out what has no copy before the shuffle
         met = met.join(F.broadcast(held.select("pid")), "pid", "left_semi")
-    each = met.join(F.broadcast(held) if n <= SMALL_CLUSTERS else held, "pid").distinct()
+    each = met.join(held, "pid").distinct()
     by_place = Window.partitionBy("id", "th").orderBy("no")
     runs = each.withColumn("run", F.col("no") - F.row_number().over(by_place))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "th", "run"))).where(F.col("run_words") >= rules.min_run)
