@@ -64,6 +64,18 @@ def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 # Fits.
+#: Rows that are worth a task of a fit, and rows that a task takes at most where cores are few.
+FEWEST, MOST = 50_000, 2_000_000
+
+
+def fit_rows(df: DataFrame) -> DataFrame:
+    """All rows of df, dealt evenly to as many tasks as there are cores to use. A fit runs hundreds of
+    jobs over its rows, and each task of each reports to the driver: what counts is the tasks and
+    not the files that the rows came from."""
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(-(-n // FEWEST), 2 * cores), -(-n // MOST)))
+
+
 def boosted_trees(features: list[str], label: str = "label", weight: str | None = None, **params) -> Pipeline:
     given = {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42} | params
     trees = GBTClassifier(featuresCol="features", labelCol=label, **given, **({"weightCol": weight} if weight else {}))
@@ -101,7 +113,7 @@ def random_search(train: DataFrame, features: list[str], grid: dict[str, list],
     auc = BinaryClassificationEvaluator(labelCol=label, numBins=0)
 
     def one(chosen: dict, f: int) -> float:
-        fitted = trees.fit(ready.where(F.col("fold") != f), {trees.getParam(p): v for p, v in chosen.items()})
+        fitted = trees.fit(fit_rows(ready.where(F.col("fold") != f)), {trees.getParam(p): v for p, v in chosen.items()})
         return auc.evaluate(fitted.transform(ready.where(F.col("fold") == f)))
 
     scores = side_by_side([partial(one, chosen, f) for chosen in drawn for f in range(k)], parallelism)
@@ -138,7 +150,7 @@ def cross_validated(train: DataFrame, features: list[str], k: int = 5, label: st
     ready = stored(train.select(*features, label, "fold"), "cv-folds")
 
     def one(f: int) -> list[float]:
-        model = boosted_trees(features, label, **params).fit(ready.where(F.col("fold") != f))
+        model = boosted_trees(features, label, **params).fit(fit_rows(ready.where(F.col("fold") != f)))
         held = stored(model.transform(ready.where(F.col("fold") == f)).select(label, probability(train).alias("score"), "prediction"), "cv-scores")
         counts = confusion(held, F.col("prediction") == 1, F.col(label) == 1).first()
         return [ranking_metrics(held, label, "score").first()["auc"] or 0.0, *(float(counts[m] or 0.0) for m in ("precision", "recall", "f1"))]

@@ -89,7 +89,7 @@ def _(t: Tables) -> DataFrame:
     read again, and the trees that its metadata name."""
     rows, root = _train(t), _folder(t, "models")
     for stamp, trees in (("20240101_000000", 2), ("20240102_000000", 3)):
-        M.save_model(M.boosted_trees(FEATURES, maxIter=trees, maxDepth=3).fit(rows), FEATURES, {"trees": trees, "features": len(FEATURES)}, root, stamp)
+        M.save_model(M.boosted_trees(FEATURES, maxIter=trees, maxDepth=3).fit(M.fit_rows(rows)), FEATURES, {"trees": trees, "features": len(FEATURES)}, root, stamp)
     model, features, about = M.newest_model(t.spark, root)
     scored = model.transform(rows.select("transaction_id", *features))
     return scored.select("transaction_id", F.round(M.probability(scored), 6).alias("score"), F.lit(about["trees"]).alias("trees"))

@@ -112,3 +112,18 @@ def test_tasks_keep_their_order_and_errors(spark):
 
     with pytest.raises(KeyError):
         ml.side_by_side([fails], 2)
+
+
+def test_fits_have_few_tasks(spark, full, monkeypatch):
+    many = spark.range(1_000).repartition(64)
+    assert ml.fit_rows(many).rdd.getNumPartitions() == 1 and ml.fit_rows(many).count() == 1_000
+    monkeypatch.setattr(ml, "FEWEST", 10)
+    assert ml.fit_rows(many).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(ml, "MOST", 50)
+    assert ml.fit_rows(many).rdd.getNumPartitions() == 20
+    monkeypatch.undo()
+    seen, fit = [], ml.GBTClassifier._fit
+    monkeypatch.setattr(ml.GBTClassifier, "_fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    ml.cross_validated(full.repartition(40), NAMES, 3, maxIter=1, maxDepth=1)
+    ml.random_search(full.repartition(40), NAMES, {"maxDepth": [1], "maxIter": [1]}, 1, 3)
+    assert seen == [1] * 6
