@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.operators import velocity
@@ -54,3 +55,42 @@ def test_trailing_windows_over_many_batches(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = jobs.finished(jobs.trailing_stream(stream), "test-velocity")
     assert {r.transaction_id: (r.count_1h, r.count_24h, r.amount_1h, r.amount_24h) for r in out.collect()} == want
+
+
+class HeldState:
+    """A map and a value of a user's state, with the writes counted."""
+
+    def __init__(self):
+        self.map, self.value, self.writes = {}, None, 0
+
+    containsKey = lambda self, k: k in self.map
+    getValue = lambda self, k: self.map.get(k)
+    keys = lambda self: list(self.map)
+    iterator = lambda self: list(self.map.items())
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    removeKey = lambda self, k: self.map.pop(k)
+    registerTimer = lambda self, at: None
+
+    def updateValue(self, k, v):
+        self.map[k], self.writes = v, self.writes + 1
+
+    def update(self, v):
+        self.value = v
+
+
+def test_a_month_in_one_batch_writes_the_last_hours_only():
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.integers(0, 30 * jobs.DAY, 800))
+    rows = pd.DataFrame({"transaction_id": np.arange(800), "at": at, "amount": rng.integers(1, 10**6, 800) / 100})
+    made = []
+    for cuts in ((0, 800), (0, 300, 301, 560, 800)):
+        windows, hours, newest = jobs.TrailingWindows(), HeldState(), HeldState()
+        windows.hours, windows.newest, windows.handle = hours, newest, HeldState()
+        out = [f for a, b in zip(cuts, cuts[1:]) for f in windows.handleInputRows(("u",), iter([rows[a:b]]), None)]
+        assert hours.writes <= 27 * (len(cuts) - 1) and len(hours.map) <= 27
+        made.append(pd.concat(out, ignore_index=True))
+    assert made[0].equals(made[1])
+    for k in (0, 300, 799):
+        own = (at > at[k] - jobs.DAY) & (at <= at[k])
+        assert made[0]["count_24h"][k] == len(set(at[own])) and made[0]["amount_24h"][k] == round(rows["amount"][own].sum(), 2)
