@@ -94,3 +94,15 @@ def test_a_month_in_one_batch_writes_the_last_hours_only():
     for k in (0, 300, 799):
         own = (at > at[k] - jobs.DAY) & (at <= at[k])
         assert made[0]["count_24h"][k] == len(set(at[own])) and made[0]["amount_24h"][k] == round(rows["amount"][own].sum(), 2)
+
+
+def test_state_is_written_as_changes(spark, tmp_path):
+    import glob
+
+    rows = [(k, f"u{k % 3}", 1.0 * k, f"2024-01-0{1 + k % 4} 10:00:00") for k in range(12)]
+    spark.createDataFrame(rows, "transaction_id long, user_id string, amount double, at string").selectExpr("transaction_id", "user_id", "amount", "to_timestamp(at) as ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("transaction_id long, user_id string, amount double, ts timestamp").parquet(f"{tmp_path}/in")
+    name = f"changes-{tmp_path.name}"
+    assert jobs.finished(jobs.hopping_totals(stream), name).count() > 0
+    assert glob.glob(f"{jobs.shared_folder(spark)}/{name}-*/checkpoint/state/**/*.changelog", recursive=True)
+    assert all(spark.conf.get(k, None) != v for k, v in jobs.STATE.items() if "trackTotal" in k)
