@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
@@ -13,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,10 @@ def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 # Fits.
 #: Rows that are worth a task of a fit, and rows that a task takes at most where cores are few.
 FEWEST, MOST = 50_000, 2_000_000
+#: Rows above which a fit takes those alike as one, and as how many these count at least together.
+ALIKE, UNITS = 2_000_000, 1_000_000
+#: Bins of a feature that a fit tells apart, as many as Spark's trees take.
+BINS = 32
 
 
 def fit_rows(df: DataFrame) -> DataFrame:
@@ -82,6 +87,65 @@ def boosted_trees(features: list[str], label: str = "label", weight: str | None
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), trees])
 
 
+def bins(df: DataFrame, features: list[str]) -> Bucketizer:
+    """Bins of the features, from all rows of df, as Spark's trees cut them: every value by itself
+    where there are at most BINS, else quantiles, with a bin of its own for a value that fills more
+    than one. Missing values get a bin above all."""
+    near = df.agg(*(F.approx_count_distinct(c).alias(c) for c in features)).first()
+    few = [c for c in features if near[c] <= 2 * BINS]
+    values = df.agg(*(F.sort_array(F.collect_set(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")))).alias(c) for c in few)).first() if few else {}
+    rest = [c for c in features if c not in few or len(values[c]) > BINS]
+    shares = [k / BINS for k in range(BINS)]
+    ends = dict(zip(rest, df.select(*(F.col(c).cast("double").alias(c) for c in rest)).approxQuantile(rest, shares, 0.001), strict=True)) if rest else {}
+    cuts = []
+    for c in features:
+        if c in ends:
+            q = ends[c]
+            found = {v for v in q if v > q[0]} | {math.nextafter(v, math.inf) for v in q if q.count(v) > 1}
+        else:
+            found = {(a + b) / 2 for a, b in itertools.pairwise(values[c])}
+        cuts.append([-math.inf, *(sorted(found) or [0.0]), math.inf])
+    return Bucketizer(inputCols=features, outputCols=[f"{c}_bin" for c in features], splitsArray=cuts, handleInvalid="keep")
+
+
+def cells(binned: DataFrame, columns: list[str], weight: Column | None = None) -> DataFrame:
+    """columns, n and weight of all rows: those equal in the columns as one. Bins lose their mark as
+    categories, since they are in order."""
+    w = F.lit(1.0) if weight is None else weight
+    return binned.groupBy(*(F.col(c).alias(c, metadata={}) for c in columns)).agg(F.sum(F.col("n") if "n" in binned.columns else F.lit(1)).alias("n"), F.sum(w.cast("double")).alias("weight"))
+
+
+def units(alike: DataFrame, rows: int) -> DataFrame:
+    """Cells dealt to units of at most a millionth of all rows, each with its share of the weight, since a tree
+    draws its part of the rows by units."""
+    parts = F.ceil(F.col("n") / max(1, -(-rows // UNITS))).cast("int")
+    return alike.withColumn("_parts", parts).select(*(c for c in alike.columns if c not in ("n", "weight")), (F.col("weight") / F.col("_parts")).alias("weight"), F.explode(F.sequence(F.lit(1), F.col("_parts")))).drop("col")
+
+
+def _summable(rows: int, params: dict[str, list]) -> bool:
+    """Whether a fit with any of these values of its parameters may take rows alike as one: not where leaves
+    have a least number of rows, which has to be counted, or more bins are asked for."""
+    return rows > ALIKE and max(params.get("minInstancesPerNode", [1])) <= 1 and max(params.get("maxBins", [BINS])) <= BINS
+
+
+def binned_trees(cut: Bucketizer, label: str = "label", **params) -> Pipeline:
+    return boosted_trees(cut.getOutputCols(), label, "weight", **{"maxBins": BINS + 1} | params)
+
+
+def fit_trees(df: DataFrame, features: list[str], label: str = "label", weight: str | None = None, **params) -> PipelineModel:
+    """Boosted trees fitted on all rows of df. A tree tells rows apart by bin and label only, so of a large
+    table, rows equal in these are summed to weighted ones first: a fit's hundreds of passes then
+    go over at most a million more than there are bins met together, whatever the rows."""
+    n = df.count()
+    if not _summable(n, {p: [v] for p, v in params.items()}):
+        return boosted_trees(features, label, weight, **params).fit(fit_rows(df))
+    df = stored(df.select(*features, label, *([weight] if weight else [])), "fit")
+    cut = bins(df, features)
+    alike = cells(cut.transform(df), [*cut.getOutputCols(), label], F.col(weight) if weight else None)
+    model = binned_trees(cut, label, **params).fit(fit_rows(stored(units(alike, n), "fit-cells")))
+    return PipelineModel([cut, *model.stages])
+
+
 def class_weighted(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
     """df with a weight: the number of 0 labels over that of 1 labels for rows labelled 1, else 1
     (1 for all where a label is missing altogether)."""
@@ -103,17 +167,37 @@ def side_by_side(tasks: list, parallelism: int) -> list:
         return pool.map(lambda run: run(), [inherit(t) for t in tasks])
 
 
+def _of_folds(train: DataFrame, features: list[str], label: str, params: dict[str, list], name: str) -> tuple[DataFrame, Bucketizer | None, int]:
+    """Rows of a search over folds, stored once for all its fits: as they are, or, of a large table,
+    summed by bins, label and fold, with n and weight; the bins, if so; how many rows there are."""
+    ready = stored(train.select(*features, label, "fold"), name)
+    n = ready.count()
+    if not _summable(n, params):
+        return ready, None, n
+    cut = bins(ready, features)
+    return stored(cells(cut.transform(ready), [*cut.getOutputCols(), label, "fold"]), f"{name}-cells"), cut, n
+
+
 def random_search(train: DataFrame, features: list[str], grid: dict[str, list], n: int, k: int, label: str = "label", seed: int = 42, parallelism: int = 4) -> DataFrame:
     """params (text) and mean auc (without bins) of n parameter sets drawn from the grid, over the
-    folds 0 to k - 1 of column fold. Features are assembled once, fits run side by side."""
+    folds 0 to k - 1 of column fold. Features are assembled once, fits run side by side. Rows of
+    the same bins have the same score, so those of a large table are scored once for all."""
     sets = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
     drawn = random.Random(seed).sample(sets, min(n, len(sets)))
-    assemble, trees = boosted_trees(features, label).getStages()
-    ready = stored(assemble.transform(train).select("features", label, "fold"), "search-folds")
-    auc = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+    rows, cut, many = _of_folds(train, features, label, grid, "search-folds")
+    assemble, trees = (binned_trees(cut, label) if cut else boosted_trees(features, label)).getStages()
+    ready = assemble.transform(rows)
+    if cut:
+        own = [*cut.getOutputCols(), label]
+        fits = [stored(assemble.transform(units(cells(rows.where(F.col("fold") != f), own, F.col("weight")), many)).select("features", label, "weight"), "search-fit") for f in range(k)]
+        auc = BinaryClassificationEvaluator(labelCol=label, weightCol="weight", numBins=0)
+    else:
+        ready = stored(ready.select("features", label, "fold"), "search-rows")
+        fits = [ready.where(F.col("fold") != f) for f in range(k)]
+        auc = BinaryClassificationEvaluator(labelCol=label, numBins=0)
 
     def one(chosen: dict, f: int) -> float:
-        fitted = trees.fit(fit_rows(ready.where(F.col("fold") != f)), {trees.getParam(p): v for p, v in chosen.items()})
+        fitted = trees.fit(fit_rows(fits[f]), {trees.getParam(p): v for p, v in chosen.items()})
         return auc.evaluate(fitted.transform(ready.where(F.col("fold") == f)))
 
     scores = side_by_side([partial(one, chosen, f) for chosen in drawn for f in range(k)], parallelism)
@@ -124,11 +208,13 @@ def random_search(train: DataFrame, features: list[str], grid: dict[str, list],
 
 def platt_fit(scored: DataFrame, label: str = "label", margin: str = "margin") -> tuple[float, float]:
     """Slope and intercept of a sigmoid over the margin, with smoothed targets: each row twice,
-    weighted by its target and what is left of it."""
-    n = scored.agg(F.sum((F.col(label) == 1).cast("long")), F.sum((F.col(label) == 0).cast("long"))).first()
-    pos, neg = (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2)
-    target = F.when(F.col(label) == 1, pos).otherwise(neg)
-    both = scored.select(F.col(margin).alias("m"), F.inline(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))))
+    weighted by its target and what is left of it. Rows of the same margin and label go into the fit as one."""
+    scored = stored(scored.groupBy(F.col(margin).alias("m"), F.col(label).alias("label")).agg(F.count("*").alias("k")), "margins")
+    n = scored.agg(F.sum(F.when(F.col("label") == 1, F.col("k"))), F.sum(F.when(F.col("label") == 0, F.col("k")))).first()
+    positive, negative = n[0] or 0, n[1] or 0
+    pos, neg = (positive + 1) / (positive + 2), 1 / (negative + 2)
+    target = F.when(F.col("label") == 1, pos).otherwise(neg)
+    both = scored.select("m", F.inline(F.array(F.struct(F.lit(1.0).alias("y"), (target * F.col("k")).alias("w")), F.struct(F.lit(0.0).alias("y"), ((1 - target) * F.col("k")).alias("w")))))
     data = VectorAssembler(inputCols=["m"], outputCol="features").transform(both)
     fit = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, standardization=False).fit(data)
     return float(fit.coefficients[0]), float(fit.intercept)
@@ -146,14 +232,18 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
 def cross_validated(train: DataFrame, features: list[str], k: int = 5, label: str = "label", parallelism: int = 4, **params) -> DataFrame:
     """metric, scores, mean, std (population) and band of auc, precision, recall and f1: one fit
     for each of the folds 0 to k - 1 of column fold, scored on the rows of that fold; fits run
-    side by side."""
-    ready = stored(train.select(*features, label, "fold"), "cv-folds")
+    side by side. Rows of the same bins have the same score, so those of a large table are scored
+    once and counted as many."""
+    ready, cut, many = _of_folds(train, features, label, {p: [v] for p, v in params.items()}, "cv-folds")
 
     def one(f: int) -> list[float]:
-        model = boosted_trees(features, label, **params).fit(fit_rows(ready.where(F.col("fold") != f)))
-        held = stored(model.transform(ready.where(F.col("fold") == f)).select(label, probability(train).alias("score"), "prediction"), "cv-scores")
-        counts = confusion(held, F.col("prediction") == 1, F.col(label) == 1).first()
-        return [ranking_metrics(held, label, "score").first()["auc"] or 0.0, *(float(counts[m] or 0.0) for m in ("precision", "recall", "f1"))]
+        rest, own = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
+        if cut:
+            rest = stored(units(cells(rest, [*cut.getOutputCols(), label], F.col("weight")), many), "cv-fit")
+        model = (binned_trees(cut, label, **params) if cut else boosted_trees(features, label, **params)).fit(fit_rows(rest))
+        held = stored(model.transform(own).select(label, probability(train).alias("score"), "prediction", F.col("n") if cut else F.lit(1).alias("n")), "cv-scores")
+        counts = confusion(held, F.col("prediction") == 1, F.col(label) == 1, rows=F.col("n")).first()
+        return [ranking_metrics(held, label, "score", rows=F.col("n")).first()["auc"] or 0.0, *(float(counts[m] or 0.0) for m in ("precision", "recall", "f1"))]
 
     found = zip(*side_by_side([partial(one, f) for f in range(k)], parallelism), strict=True)
     rows = [(m, list(s), float(np.mean(s)), float(np.std(s))) for m, s in zip(("auc", "precision", "recall", "f1"), found, strict=True)]
@@ -184,13 +274,16 @@ def newest_model(spark: SparkSession, root: str) -> tuple[PipelineModel, list[st
 
 
 # Ranking metrics.
-def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", rows: Column | None = None) -> DataFrame:
     """One row: auc, average_precision, brier, log_loss, precision_at_half_recall. Labels are
-    counted by score, and running counts go through ranges of the scores."""
+    counted by score, and running counts go through ranges of the scores. rows: how many a row
+    of df stands for, if not one."""
     y = F.col(label).cast("double")
     p = F.greatest(F.lit(2.2e-16), F.least(F.lit(1 - 2.2e-16), F.col(score)))
-    plain = df.agg(F.avg(F.pow(F.col(score) - y, 2)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
-    by = df.groupBy((-F.col(score).cast("double")).alias("down")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    k = F.lit(1) if rows is None else rows
+    mean = lambda x: F.avg(x) if rows is None else F.try_divide(F.sum(x * k), F.sum(F.when(x.isNotNull(), k)))
+    plain = df.agg(mean(F.pow(F.col(score) - y, 2)).alias("brier"), mean(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
+    by = df.groupBy((-F.col(score).cast("double")).alias("down")).agg(F.sum(y * k).alias("p"), F.sum((1 - y) * k).alias("n"))
     t = ranks.running(by, [], "down", ["p", "n"])
     tp, fp = F.col("p_upto"), F.col("n_upto")
     t = t.withColumns({"precision": tp / (tp + fp), "recall": F.try_divide(tp, "p_all")})

@@ -37,9 +37,10 @@ def route(df: DataFrame, config: RouteConfig = RouteConfig(), outcomes: DataFram
     ).drop("review_decision", "review_action", "review_confidence")
 
 
-def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str] | None = None) -> DataFrame:
-    """tp, fp, tn, fn, precision, recall, f1, fpr and accuracy; 0 on empty denominators."""
-    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str] | None = None, rows: Column | None = None) -> DataFrame:
+    """tp, fp, tn, fn, precision, recall, f1, fpr and accuracy; 0 on empty denominators. rows: how
+    many a row of df stands for, if not one."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long") if rows is None else c.cast("long") * rows), F.lit(0))
     p, a = F.coalesce(predicted, F.lit(False)), F.coalesce(actual, F.lit(False))
     counts = df.groupBy(*(by or [])).agg(n(p & a).alias("tp"), n(p & ~a).alias("fp"), n(~p & ~a).alias("tn"), n(~p & a).alias("fn"))
     rate = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))

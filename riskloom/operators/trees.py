@@ -11,6 +11,7 @@ The export is as large as the model: at most a few thousand nodes a tree, never
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ class Forest(NamedTuple):
 
 def exported(model: PipelineModel) -> Forest:
     """The trees of a pipeline whose last stage is a fitted ensemble. Splits on categories have no
-    thresholds: a ValueError."""
+    thresholds: a ValueError. If its first stage makes bins, splits are told in what goes into them."""
     fitted = model.stages[-1]
+    cuts = model.stages[0].getSplitsArray() if isinstance(model.stages[0], Bucketizer) else None
     trees: list[Tree] = []
     waiting: list[list] = []  # splits whose right side is still to come
     weight = 1.0
@@ -51,7 +54,8 @@ def exported(model: PipelineModel) -> Forest:
             weight = float(found[1])
             trees.append(Tree([], []))
         elif found := SPLIT.match(line):
-            waiting.append([int(found[1]), float(found[2]), len(trees[-1].values)])
+            feature, at = int(found[1]), float(found[2])
+            waiting.append([feature, _below(cuts[feature], at) if cuts else at, len(trees[-1].values)])
         elif line.startswith("Else"):
             trees[-1].splits.append((*waiting.pop(), len(trees[-1].values)))
         elif line.startswith("Predict:"):
@@ -61,6 +65,12 @@ def exported(model: PipelineModel) -> Forest:
     return Forest(fitted.numFeatures, trees)
 
 
+def _below(cuts: list[float], at: float) -> float:
+    """The last value in the bins up to at; a bin ends before the cut that begins the next."""
+    end = cuts[min(math.floor(at) + 1, len(cuts) - 1)]
+    return end if math.isinf(end) else math.nextafter(end, -math.inf)
+
+
 class _Tables:
     """Bit sets of a forest, built once in a task."""
 

@@ -328,16 +328,20 @@ def _(t: Tables) -> DataFrame:
 FEATURES = ["amt", "card1", "addr1", "dt"]
 
 
-def _train(t: Tables) -> DataFrame:
-    """All rows, missing values filled as in missing_policy, in three stratified folds."""
-    rows = M.drop_and_fill(t("v_card").select("transaction_id", F.col("is_fraud").cast("double").alias("label"), *(F.col(c).cast("double").alias(c) for c in FEATURES)), [])
-    return io.stored(tables.folds(rows, "transaction_id", "label", 3).withColumn("fold", F.col("fold").cast("int")), "train")
+def _filled(t: Tables) -> DataFrame:
+    """All rows, missing values filled as in missing_policy."""
+    return M.drop_and_fill(t("v_card").select("transaction_id", F.col("is_fraud").cast("double").alias("label"), *(F.col(c).cast("double").alias(c) for c in FEATURES)), [])
+
+
+def _train(t: Tables, k: int = 3) -> DataFrame:
+    """The filled rows in k stratified folds."""
+    return io.stored(tables.folds(_filled(t), "transaction_id", "label", k).withColumn("fold", F.col("fold").cast("int")), "train")
 
 
 @query("gbt_scores")
 def _(t: Tables) -> DataFrame:
     rows = _train(t)
-    model = M.boosted_trees(FEATURES).fit(M.fit_rows(rows.where("fold <> 0")))
+    model = M.fit_trees(rows.where("fold <> 0"), FEATURES)
     return model.transform(rows.where("fold = 0")).withColumn("score", M.probability(rows)).select("transaction_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -345,7 +349,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Frauds weigh as much as all else in the fit; the held-out fold is scored from flat tables."""
     rows = _train(t)
-    model = M.boosted_trees(FEATURES, weight="weight").fit(M.fit_rows(M.class_weighted(rows.where("fold <> 0"))))
+    model = M.fit_trees(M.class_weighted(rows.where("fold <> 0")), FEATURES, weight="weight")
     margin = trees.margin(trees.exported(model), FEATURES)
     return rows.where("fold = 0").select("transaction_id", "label", F.round(trees.probability(margin), 6).alias("score"))
 
@@ -354,7 +358,7 @@ def _calibrated(t: Tables) -> DataFrame:
     """Fold 0 with the margin, score and calibrated score of trees fitted on fold 2, whose margins
     on fold 1 gave the sigmoid."""
     rows = _train(t)
-    model = M.boosted_trees(FEATURES).fit(M.fit_rows(rows.where("fold = 2")))
+    model = M.fit_trees(rows.where("fold = 2"), FEATURES)
     margin = trees.margin(trees.exported(model), FEATURES)
     slope, intercept = M.platt_fit(rows.where("fold = 1").withColumn("margin", margin))
     held = rows.where("fold = 0").withColumn("margin", margin)
@@ -382,14 +386,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("importances")
 def _(t: Tables) -> DataFrame:
-    return M.importances(M.boosted_trees(FEATURES).fit(M.fit_rows(_train(t))), FEATURES, t.spark)
+    return M.importances(M.fit_trees(io.stored(_filled(t), "train"), FEATURES), FEATURES, t.spark)
 
 
 @query("cv_scores")
 def _(t: Tables) -> DataFrame:
     """metric, scores, mean, std and band over the folds."""
-    rows = tables.folds(_train(t).drop("fold"), "transaction_id", "label", 5).withColumn("fold", F.col("fold").cast("int"))
-    return M.cross_validated(rows, FEATURES, 5, maxIter=10, maxDepth=4)
+    return M.cross_validated(_train(t, 5), FEATURES, 5, maxIter=10, maxDepth=4)
 
 
 @query("random_search")

@@ -15,7 +15,7 @@ from ..operators import ml as M
 from ..operators import review as R
 from ..sources import io
 from .adapters import Tables
-from .ledger import DECISIONS_SQL, FEATURES, NORMAL, REPLAY_SQL, _train
+from .ledger import DECISIONS_SQL, FEATURES, NORMAL, REPLAY_SQL, _filled
 from .registry import query
 from .tables import LISTS_SQL, _stats_sql
 
@@ -87,9 +87,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Two fitted pipelines written with their features and metadata; the scores of the newest,
     read again, and the trees that its metadata name."""
-    rows, root = _train(t), _folder(t, "models")
+    rows, root = io.stored(_filled(t), "train"), _folder(t, "models")
     for stamp, trees in (("20240101_000000", 2), ("20240102_000000", 3)):
-        M.save_model(M.boosted_trees(FEATURES, maxIter=trees, maxDepth=3).fit(M.fit_rows(rows)), FEATURES, {"trees": trees, "features": len(FEATURES)}, root, stamp)
+        M.save_model(M.fit_trees(rows, FEATURES, maxIter=trees, maxDepth=3), FEATURES, {"trees": trees, "features": len(FEATURES)}, root, stamp)
     model, features, about = M.newest_model(t.spark, root)
     scored = model.transform(rows.select("transaction_id", *features))
     return scored.select("transaction_id", F.round(M.probability(scored), 6).alias("score"), F.lit(about["trees"]).alias("trees"))

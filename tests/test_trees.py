@@ -127,3 +127,61 @@ def test_fits_have_few_tasks(spark, full, monkeypatch):
     ml.cross_validated(full.repartition(40), NAMES, 3, maxIter=1, maxDepth=1)
     ml.random_search(full.repartition(40), NAMES, {"maxDepth": [1], "maxIter": [1]}, 1, 3)
     assert seen == [1] * 6
+
+
+def large(monkeypatch, n=100):
+    monkeypatch.setattr(ml, "ALIKE", n)
+    seen, fit = [], ml.GBTClassifier._fit
+    monkeypatch.setattr(ml.GBTClassifier, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    return seen
+
+
+def test_bins_are_even_and_keep_single_values(rows):
+    df = rows.select("a", "b", F.when(F.col("id") % 3 == 0, -999.0).otherwise(F.col("c")).alias("c"))
+    cut = ml.bins(df, NAMES)
+    got = cut.transform(df)
+    assert all(len(s) <= ml.BINS + 1 for s in cut.getSplitsArray())
+    sizes = {c: {r[0]: r[1] for r in got.groupBy(f"{c}_bin").count().collect()} for c in NAMES}
+    assert len(sizes["b"]) == 7 and sizes["b"][6.0] == 25  # six values, and the missing above them
+    assert max(sizes["a"].values()) <= 40 and len(sizes["a"]) == ml.BINS + 1
+    alone, others = ({r[0] for r in got.where(f"c {op} -999").select("c_bin").collect()} for op in ("=", "<>"))
+    assert len(alone) == 1 and not alone & others
+    assert ml.bins(rows.select(F.lit(1.0).alias("a"), F.lit(None).cast("double").alias("b")), ["a", "b"]).getSplitsArray() == [[-math.inf, 0.0, math.inf]] * 2
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_rows_alike_fit_the_same_trees(full, monkeypatch, weight):
+    """Thirty copies of rows on a grid, without subsampling: as many trees as of all rows, each with the same leaves."""
+    grid = full.select(*(F.floor(F.col(c) * 3).cast("double").alias(c) for c in NAMES), "label", (F.col("label") * 2 + 1).alias("weight"))
+    rows = grid.crossJoin(full.sparkSession.range(30).select("id")).drop("id").cache()
+    given = {"maxIter": 3, "maxDepth": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    monkeypatch.setattr(ml, "UNITS", 1_000)
+    whole = ml.fit_trees(rows, NAMES, weight=weight, **given)
+    seen = large(monkeypatch)
+    summed = ml.fit_trees(rows, NAMES, weight=weight, **given)
+    assert seen[0] < 3_000 and len(summed.stages) == 3 and len(whole.stages) == 2
+    scored = [m.transform(rows).select(*NAMES, ml.probability(rows).alias("p")).distinct().collect() for m in (whole, summed)]
+    one, two = ({tuple(r[c] for c in NAMES): r.p for r in s} for s in scored)
+    assert max(abs(one[k] - two[k]) for k in one) < 1e-9 and len(one) == len(two)
+
+
+def test_flat_margins_of_binned_fits(rows, full, monkeypatch):
+    seen = large(monkeypatch)
+    model = ml.fit_trees(full, NAMES, maxIter=4)
+    assert len(seen) == 1 and len(model.stages) == 3
+    scored = model.transform(rows.withColumn("flat", trees.margin(trees.exported(model), NAMES)))
+    got = scored.select("flat", trees.probability(F.col("flat")).alias("p"), ml.probability(scored).alias("want")).collect()
+    assert len(got) == 900 and all(abs(r.p - r.want) < 1e-12 for r in got)
+
+
+def test_large_searches_score_all_rows(full, monkeypatch):
+    grid = {"maxDepth": [2], "maxIter": [3]}
+    rows = full.select(F.round("a").alias("a"), "b", F.round("c", 1).alias("c"), "label", "fold")
+    small, folds = ml.random_search(rows, NAMES, grid, 1, 3).first(), ml.cross_validated(rows, NAMES, 3, maxIter=3, maxDepth=2, subsamplingRate=1.0, featureSubsetStrategy="all").collect()
+    seen = large(monkeypatch)
+    assert abs(ml.random_search(rows, NAMES, grid, 1, 3).first().auc - small.auc) < 0.05
+    again = ml.cross_validated(rows, NAMES, 3, maxIter=3, maxDepth=2, subsamplingRate=1.0, featureSubsetStrategy="all").collect()
+    assert max(abs(x - y) for a, b in zip(folds, again, strict=True) for x, y in zip(a.scores, b.scores, strict=True)) < 1e-9
+    assert len(seen) == 6 and max(seen) <= 600
+    ml.cross_validated(rows, NAMES, 3, maxIter=1, maxDepth=1, minInstancesPerNode=5)
+    assert seen[-3:] == [600] * 3
