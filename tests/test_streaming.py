@@ -106,3 +106,33 @@ def test_state_is_written_as_changes(spark, tmp_path):
     assert jobs.finished(jobs.hopping_totals(stream), name).count() > 0
     assert glob.glob(f"{jobs.shared_folder(spark)}/{name}-*/checkpoint/state/**/*.changelog", recursive=True)
     assert all(spark.conf.get(k, None) != v for k, v in jobs.STATE.items() if "trackTotal" in k)
+
+
+def test_hopping_totals_hold_hours_and_not_windows(spark, tmp_path):
+    """The windows of the built-in aggregate, with rows that are late, NULL and NaN, from a state of one row a user."""
+    import json
+
+    hour, base = 3600, 1_704_067_200
+    times = [[100, 5000, 10 * hour], [36 * hour, 9 * hour + 1, 60], [30 * hour, 14 * hour, 49 * hour], [50 * hour, 26 * hour], [70 * hour - 1, 26 * hour, 50 * hour], [110 * hour, 50 * hour]]
+    amounts, kind, seen = [1.25, None, float("nan"), 3.5, 2.0], "user_id string, amount double, s long", 0
+    for k, batch in enumerate(times):
+        rows = [(user, amounts[(j + k) % 5] if user != "w" else None, base + at) for user in ("u", None, "w") for j, at in enumerate(batch) if user or j != 1]
+        spark.createDataFrame([*rows, ("v", 1.0, None)], kind).selectExpr("user_id", "amount", "timestamp_seconds(s) as ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id string, amount double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    plain = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "24 hours", "1 hour"), "user_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    got = lambda df, name: sorted(map(str, jobs.finished(df, name).selectExpr("window.start", "window.end", "user_id", "n", "amount").collect()))
+    ours, want = got(jobs.hopping_totals(stream), f"hours-{tmp_path.name}"), got(plain, f"plain-{tmp_path.name}")
+    assert len(ours) == len(set(ours)) > 150 and not set(ours) ^ set(want)
+
+    query = jobs.hopping_totals(spark.readStream.schema(stream.schema).parquet(f"{tmp_path}/in"))
+    before = {k: spark.conf.get(k, None) for k in jobs.STATE}
+    try:
+        for k, v in jobs.STATE.items():
+            spark.conf.set(k, v)
+        run = query.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # Three users, a mark and two entries of a timer for each group, where there were 24 windows a row.
+    assert max(json.loads(p.json)["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress) <= 15
